@@ -4,7 +4,7 @@ from importlib import import_module
 
 from keepsake.catalog.registry import ENTRIES
 
-for _name in ("recall", "lifecycle"):
+for _name in ("recall", "lifecycle", "messages"):
     import_module(f"keepsake.catalog.{_name}")
 
 __all__ = ["ENTRIES"]

@@ -320,3 +320,43 @@ def fact_entities(spark: SparkSession, sf: str) -> DataFrame:
     return facts(spark, sf).withColumn(
         "entities", F.slice(tx.capitalised_entities(F.col("content")), 1, 5)
     )
+
+
+def statements(spark: SparkSession, sf: str) -> DataFrame:
+    """Short first-person turns, one per order: (session_id, turn_id, ts, text)."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf, "orders")
+    c = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_nationkey", "c_mktsegment")
+    n = spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", "n_name")
+    tail = pick(
+        [
+            "remember: pack it twice. The deadline 2024-03-01 stands",
+            "To fix a late order, use grep. We switched to air freight",
+            "I'm a buyer at Acme, my brother Tom knows",
+            "nothing else",
+            "I used bash to count boxes. installed the label tool",
+        ],
+        k % 5,
+    )
+    return (
+        o.join(c, o.o_custkey == c.c_custkey)
+        .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+        .select(
+            F.col("o_custkey").alias("session_id"),
+            k.alias("turn_id"),
+            F.col("o_orderdate").cast("timestamp").alias("ts"),
+            F.concat(
+                F.lit("I live in "), "n_name", F.lit(". I like "), F.lower("c_mktsegment"), F.lit(", always use "),
+                "o_orderpriority", F.lit(". "), tail, F.lit("."),
+            ).alias("text"),
+        )
+    )
+
+
+STATEMENTS = """statements AS (
+  SELECT o_custkey AS session_id, o_orderkey AS turn_id, o_orderdate AS ts,
+    'I live in ' || n_name || '. I like ' || lower(c_mktsegment) || ', always use ' || o_orderpriority || '. ' ||
+    list_extract(['remember: pack it twice. The deadline 2024-03-01 stands', 'To fix a late order, use grep. We switched to air freight',
+      'I''m a buyer at Acme, my brother Tom knows', 'nothing else', 'I used bash to count boxes. installed the label tool'],
+      (o_orderkey % 5 + 1)::INT) || '.' AS text
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""

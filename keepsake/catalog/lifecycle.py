@@ -102,9 +102,9 @@ def prune_flags(spark, sf):
     return rows.select("fact_id", reason.alias("reason"))
 
 
-TOMB = f"""tomb AS (SELECT doc_id AS fact_id, doc_id + 1 AS by, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'low_quality' END AS reason, 2 AS at FROM labels WHERE toxic = 1 OR quality = 0
+TOMB = f"""tomb AS (SELECT doc_id AS fact_id, doc_id + 1 AS b, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'low_quality' END AS reason, 2 AS tm FROM labels WHERE toxic = 1 OR quality = 0
   UNION ALL SELECT doc_id, doc_id + 2, 'contradicted', 1 FROM labels WHERE toxic = 1),
-t AS (SELECT fact_id, arg_min(by, at * 100000000 + by) AS by, arg_min(reason, at * 100000000 + by) AS reason FROM tomb GROUP BY ALL)"""
+t AS (SELECT fact_id, arg_min(b, tm * 100000000 + b) AS b, arg_min(reason, tm * 100000000 + b) AS reason FROM tomb GROUP BY ALL)"""
 
 
 def tombstones(spark, sf):
@@ -120,7 +120,7 @@ def tombstones(spark, sf):
     return one.unionByName(two)
 
 
-@query("soft_delete_once", "LIF11", f"""WITH {d.FACTS}, {TOMB} SELECT fact_id, coalesce(superseded_by, by) AS superseded_by,
+@query("soft_delete_once", "LIF11", f"""WITH {d.FACTS}, {TOMB} SELECT fact_id, coalesce(superseded_by, b) AS superseded_by,
   CASE WHEN superseded_by IS NULL THEN reason END AS superseded_reason FROM facts LEFT JOIN t USING (fact_id)""")
 def soft_delete_once(spark, sf):
     """Deletes are applied, then applied again: the second time changes nothing."""
@@ -155,15 +155,15 @@ def touches(spark, sf):
     )
 
 
-TOUCH = f"""{d.TOOL_CALLS}, touch AS (SELECT event_id * 7 % (SELECT count(*) FROM documents) AS fact_id, tool AS source, ts AS at, event_id AS rating_id, 1 + k % 5 AS rating FROM calls)"""
+TOUCH = f"""{d.TOOL_CALLS}, touch AS (SELECT event_id * 7 % (SELECT count(*) FROM documents) AS fact_id, tool AS source, ts AS tm, event_id AS rating_id, 1 + k % 5 AS rating FROM calls)"""
 
 
-@query("reinforce", "LIF13", f"""WITH {d.FACTS}, {TOUCH}, c AS (SELECT fact_id, count(*) AS n, max(at) AS at FROM touch GROUP BY ALL),
-s AS (SELECT fact_id, source, min(at) AS f FROM touch GROUP BY ALL),
+@query("reinforce", "LIF13", f"""WITH {d.FACTS}, {TOUCH}, c AS (SELECT fact_id, count(*) AS n, max(tm) AS tm FROM touch GROUP BY ALL),
+s AS (SELECT fact_id, source, min(tm) AS f FROM touch GROUP BY ALL),
 l AS (SELECT fact_id, string_agg(source, ',' ORDER BY f) AS sources FROM (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY f DESC) AS r FROM s) WHERE r <= 10 GROUP BY ALL)
 SELECT fact_id, CASE WHEN superseded_by IS NULL THEN coalesce(sources, '') ELSE '' END AS sources, source_count + CASE WHEN superseded_by IS NULL THEN coalesce(n, 0) ELSE 0 END AS source_count,
   1 + CASE WHEN superseded_by IS NULL THEN coalesce(n, 0) ELSE 0 END AS version,
-  epoch_us(CASE WHEN superseded_by IS NULL AND n IS NOT NULL THEN c.at ELSE last_confirmed_ts END) AS confirmed
+  epoch_us(CASE WHEN superseded_by IS NULL AND n IS NOT NULL THEN c.tm ELSE last_confirmed_ts END) AS confirmed
 FROM facts LEFT JOIN c USING (fact_id) LEFT JOIN l USING (fact_id)""")
 def reinforce(spark, sf):
     out = lifecycle.reinforce(d.facts(spark, sf), touches(spark, sf))
@@ -174,7 +174,7 @@ def reinforce(spark, sf):
 
 
 @query("feedback_apply", "LIF14", f"""WITH {d.FACTS}, {TOUCH},
-h AS (SELECT fact_id, list(rating::DOUBLE ORDER BY at, rating_id) AS r, arg_max(rating, at) AS user_rating, max(CASE WHEN rating >= 4 THEN at END) AS up_at,
+h AS (SELECT fact_id, list(rating::DOUBLE ORDER BY tm, rating_id) AS r, arg_max(rating, tm) AS user_rating, max(CASE WHEN rating >= 4 THEN tm END) AS up_at,
   count(*) FILTER (rating >= 4) AS up, bool_or(rating <= 2) AS low FROM touch GROUP BY ALL)
 SELECT fact_id, round(coalesce(list_reduce(list_prepend(importance, r), lambda x, y: CASE WHEN y >= 4 THEN least(1.0, x * 1.2) WHEN y <= 2 THEN greatest(0.05, x * 0.7) ELSE x END), importance), 6) AS importance,
   user_rating, coalesce(low, false) AS needs_review, source_count + CASE WHEN superseded_by IS NULL THEN coalesce(up, 0) ELSE 0 END AS source_count

@@ -55,6 +55,11 @@ REDACTIONS = [
 ]
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of white space, line ends included."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")

@@ -75,3 +75,23 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, r
     """First ``k`` rows per group. Spark prunes to ``k`` per task before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+
+
+def with_running_sum(
+    df: DataFrame, keys: list[str], order: list[Column], chunk: Column, value: str, out: str
+) -> DataFrame:
+    """Add the running sum of ``value`` along the group, this row included."""
+    chunked = df.withColumn("_chunk", chunk)
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        chunked.groupBy(*keys, "_chunk")
+        .agg(F.sum(value).alias("_s"))
+        .select(*keys, "_chunk", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_offset"))
+    )
+    return (
+        chunked.withColumn("_run", F.sum(value).over(inside))
+        .join(offsets, [*keys, "_chunk"])
+        .withColumn(out, F.col("_offset") + F.col("_run"))
+        .drop("_chunk", "_run", "_offset")
+    )
