@@ -210,8 +210,14 @@ def secret_report(spark, sf):
     return messages.secret_report(d.table(spark, sf, "documents"), "text", "source")
 
 
-@query("redact", "MSG8", f"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, {q(SECRETS_RE2[0][1])}, '[REDACTED_GITHUB_TOKEN]', 'g'),
-  {q(SECRETS_RE2[1][1])}, '[REDACTED_API_KEY]', 'g'), {q(SECRETS_RE2[2][1])}, '[REDACTED_TOKEN]', 'g'), {q(KEYWORD_RE2)}, '\\1\\2[REDACTED]', 'g') AS text FROM documents""")
+def redact_sql(expr: str) -> str:
+    out = expr
+    for (_, pattern), by in zip(SECRETS_RE2, ["[REDACTED_GITHUB_TOKEN]", "[REDACTED_API_KEY]", "[REDACTED_TOKEN]", "\\1\\2[REDACTED]"]):
+        out = f"regexp_replace({out}, {q(pattern)}, '{by}', 'g')"
+    return out
+
+
+@query("redact", "MSG8", f"SELECT doc_id, {redact_sql('text')} AS text FROM documents")
 def redact(spark, sf):
     return d.table(spark, sf, "documents").select("doc_id", tx.redact(F.col("text")).alias("text"))
 

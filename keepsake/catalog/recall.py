@@ -206,9 +206,7 @@ def bm25_upkeep(spark, sf):
     ix = lexical.add_documents(ix, every.filter("category = 'preference'"))
     gone = every.filter("category = 'warning'").select(F.col("fact_id").alias("doc_id"))
     ix = lexical.remove_documents(ix, gone)
-    return ix.idf.join(F.broadcast(ix.stats.select("n_docs"))).select(
-        "term", "df", F.round("idf", 4).alias("idf"), "n_docs"
-    )
+    return ix.idf.select("term", "df", F.round("idf", 4).alias("idf"), ix.stats.select("n_docs").scalar().alias("n_docs"))
 
 
 def boost_sql(text: str, content: str) -> str:

@@ -51,19 +51,19 @@ def build_index(docs: DataFrame, id_col: str = "fact_id", extra: str | None = No
     postings = cut(postings)
     size = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     words = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_words"))
-    totals = size.join(F.broadcast(words)).select(  # one row each
-        "n_docs", (F.col("n_words") / F.col("n_docs")).alias("avg_len")
-    )
+    totals = size.select("n_docs", (words.scalar() / F.col("n_docs")).alias("avg_len"))
+    return _weigh(postings, totals)
+
+
+def _weigh(postings: DataFrame, totals: DataFrame) -> Index:
+    """Term weights from stored postings and the one row of totals."""
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = F.col("n_docs").cast("double")
-    raw = df.join(F.broadcast(totals.select("n_docs"))).withColumn(  # totals is one row
-        "raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    )
+    n = totals.select(F.col("n_docs").cast("double")).scalar()
+    raw = cut(df.select("term", "df", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    idf = raw.join(F.broadcast(mean)).select(  # mean is one row
-        "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf")
-    )
-    return Index(postings, idf, totals.join(F.broadcast(mean)))
+    weight = F.when(F.col("raw") < 0, EPSILON * mean.scalar()).otherwise(F.col("raw"))
+    stats = cut(totals.select("n_docs", "avg_len", mean.scalar().alias("mean_idf")))
+    return Index(postings, raw.select("term", "df", weight.alias("idf")), stats)
 
 
 def write_index(index: Index, path: str, buckets: int = 256) -> None:
@@ -91,29 +91,19 @@ def _reweigh(index, new_postings, new_docs, gone):
     base = stats.select("n_docs", (F.col("n_docs") * F.col("avg_len")).alias("total_len"))
     if gone is not None:
         lens = postings.join(gone, "doc_id", "left_semi").select("doc_id", "doc_len").distinct()
-        drop = lens.agg(F.coalesce(F.sum("doc_len"), F.lit(0)).alias("l")).join(
-            F.broadcast(gone.agg(F.count(F.lit(1)).alias("c")))
-        )
-        base = base.join(F.broadcast(drop)).select(
-            (F.col("n_docs") - F.col("c")).alias("n_docs"), (F.col("total_len") - F.col("l")).alias("total_len")
+        words, docs = lens.agg(F.coalesce(F.sum("doc_len"), F.lit(0))), gone.agg(F.count(F.lit(1)))
+        base = base.select(
+            (F.col("n_docs") - docs.scalar()).alias("n_docs"), (F.col("total_len") - words.scalar()).alias("total_len")
         )
         postings = postings.join(gone, "doc_id", "left_anti")
     if new_postings is not None:
-        more = new_docs.agg(F.count(F.lit(1)).alias("c"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("l"))
-        base = base.join(F.broadcast(more)).select(
-            (F.col("n_docs") + F.col("c")).alias("n_docs"), (F.col("total_len") + F.col("l")).alias("total_len")
+        words, docs = new_docs.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))), new_docs.agg(F.count(F.lit(1)))
+        base = base.select(
+            (F.col("n_docs") + docs.scalar()).alias("n_docs"), (F.col("total_len") + words.scalar()).alias("total_len")
         )
         postings = postings.unionByName(new_postings)
     totals = base.select("n_docs", (F.col("total_len") / F.col("n_docs")).alias("avg_len"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.join(F.broadcast(totals.select("n_docs"))).withColumn(
-        "raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    )
-    mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    idf = raw.join(F.broadcast(mean)).select(
-        "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf")
-    )
-    return Index(postings, idf, totals.join(F.broadcast(mean)))
+    return _weigh(postings, totals)
 
 
 def search(index: Index, queries: DataFrame, k: int, text_col: str = "text") -> DataFrame:
@@ -129,22 +119,21 @@ def search(index: Index, queries: DataFrame, k: int, text_col: str = "text") ->
         .agg(F.count(F.lit(1)).alias("repeat"))
         .join(index.idf.select("term", "idf"), "term")
     )
-    avg = index.stats.select("avg_len")  # one row
+    avg = index.stats.select("avg_len").scalar()
     weight = (
         F.col("repeat")
         * F.col("idf")
         * F.col("tf")
         * (K1 + 1)
-        / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
+        / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / avg))
     )
     scored = (
         index.postings.join(broadcast_if_small(terms), "term")
-        .join(F.broadcast(avg))
         .groupBy("query_id", "doc_id")
         .agg(F.sum(weight).alias("score"))
         .filter("score > 0")
     )
-    return top_per_group(scored, ["query_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")], k)
+    return cut(top_per_group(scored, ["query_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")], k))
 
 
 def boost_tokens(text: Column) -> Column:

@@ -148,8 +148,9 @@ def knn(
 
     The corpus is read once per block of queries and is never shuffled: each
     task multiplies its rows with the block and sends on its own best ``k``.
-    A query table larger than one block is worked off in passes, each written
-    to the checkpoint folder, so neither driver nor task holds more than a block.
+    A query table larger than one block is worked off in passes, so neither
+    driver nor task holds more than a block. The hits, at most queries times
+    ``k``, are written once, as later steps read them several times.
     """
     rules = rules or []
     cols = dict.fromkeys([query_id, *[r.query_col for r in rules]])
@@ -166,10 +167,11 @@ def knn(
             [F.desc("cosine"), F.asc(id_col)],
             k,
         )
-        parts.append(cut(hits) if n_pass > 1 else hits)
+        parts.append(cut(hits))
     if not parts:
-        empty = _pass(corpus, narrow.limit(0).toPandas(), k, id_col, vec_col, query_id, rules)
-        parts = [empty.withColumn("rank", F.lit(1)).limit(0)]
+        kind = queries.schema[query_id].dataType
+        names = [(query_id, kind), (id_col, corpus.schema[id_col].dataType), ("cosine", T.DoubleType()), ("rank", T.IntegerType())]
+        parts = [corpus.sparkSession.createDataFrame([], T.StructType([T.StructField(n, t) for n, t in names]))]
     hits = reduce(DataFrame.unionByName, parts)
     return hits.withColumn("score", (1 + F.col("cosine")) / 2)
 
