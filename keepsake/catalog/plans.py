@@ -112,9 +112,9 @@ FROM (SELECT *, regexp_replace(array_to_string(body, chr(10)), '^\s+|\s+$', '',
 def budget_pack(spark, sf):
     """Profile, session text and the ten nearest facts under budgets of 60 to 420 tokens."""
     q, corpus = d.query_vectors(spark, sf), rc.active_vectors(spark, sf)
-    hits = vectors.attach(vectors.knn(corpus, q, 10), corpus, ["content", "category"]).join(q.select("query_id", F.col("domain").alias("topic")), "query_id")
+    hits = vectors.attach(vectors.knn(corpus, q, 10), corpus, ["content", "category", "domain"])
     blank = F.array().cast("array<string>")
-    fact = packing.fact_line(F.col("rank"), F.col("category"), F.substring("content", 1, 900), blank, blank, F.col("topic"), F.lit(""))
+    fact = packing.fact_line(F.col("rank"), F.col("category"), F.substring("content", 1, 900), blank, blank, F.col("domain"), F.lit(""))
     lines = (
         packing.section(q, "persona", 0, F.concat(F.lit("## User Profile\n- domain: "), "domain"))
         .unionByName(packing.section(q, "session", 0, F.col("text")))
@@ -139,3 +139,55 @@ def quota_pack(spark, sf):
         F.lit("the owner sells parts").alias("persona_ctx"), F.lit("one two three four five six").alias("graph_ctx"),
     )
     return packing.pack_by_quota(reqs, hits)
+
+
+# ---------------------------------------------------------------- ingest
+
+from keepsake.catalog import messages as mc  # noqa: E402
+from keepsake.operators import admission  # noqa: E402
+from keepsake.plans import ingest  # noqa: E402
+
+
+def gate_sql(source: str) -> str:
+    """Admission without stored episodes, for rows (key, text) of ``source``: the factors of the messages catalogue."""
+    body = mc.FACTORS.replace("session_id, seq, 1 - best AS novelty", "key, 1.0::DOUBLE AS novelty").replace("FROM best)", f"FROM {source})")
+    return body
+
+
+WINDOW_TURNS = f"""{d.MESSAGES}, p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS pos FROM messages WHERE regexp_replace(content, '^\\s+|\\s+$', '', 'g') <> ''),
+wt AS (SELECT session_id || ':w' || (pos // 4) AS key, coalesce(string_agg(content, ' ' ORDER BY pos) FILTER (role = 'user'), '') AS text FROM p GROUP BY session_id, pos // 4 HAVING count(*) >= 2)"""
+
+
+@query("ingest_outcomes", "SRC11 MSG9 ADM1", f"""WITH {WINDOW_TURNS}, {gate_sql('wt')}
+SELECT key AS chunk_id, CASE WHEN text = '' THEN 'no_user_text' WHEN length(text) < 15 THEN 'trivial' WHEN score < 0.4 THEN 'gate' ELSE 'admitted' END AS outcome FROM wt JOIN adm USING (key)""")
+def ingest_outcomes(spark, sf):
+    """What becomes of each turn window when nothing is stored yet."""
+    turns = ingest.turns(d.messages(spark, sf).withColumn("content", tx.strip(F.col("content"))))
+    return ingest.gate(turns.withColumn("best", F.lit(None).cast("double"))).select("chunk_id", "outcome")
+
+
+@query("ingest_run", "SRC11 ADM2 EXT5 EXT7 STR1", None)
+def ingest_run(spark, sf):
+    """The whole ingest of statements as messages: rows written per tier."""
+    m = d.statements(spark, sf).select(
+        "session_id", F.col("turn_id").alias("seq"), F.lit("user").alias("role"), F.col("text").alias("content"), "ts"
+    )
+    out = ingest.run(m, dims=64, min_messages=1)
+    row = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("tier"), "n")
+    return (
+        row(out.episodes, "episodes").unionByName(row(out.facts, "facts")).unionByName(row(out.procedures, "procedures")).unionByName(row(out.log, "log"))
+    )
+
+
+OBS = f"""ob AS (SELECT doc_id AS key, {redact_sql("'Tool: tool_' || (doc_id % 12) || chr(10) || 'Input: ' || source || chr(10) || 'Output: ' || text[1:4000]")} AS text FROM documents)"""
+
+
+@query("observation_rows", "SRC12", f"""WITH {OBS}, {gate_sql('ob')} SELECT key AS observation_id, CASE WHEN score < 0.4 THEN 'skipped_gate' ELSE 'observed' END AS action, text AS content FROM ob JOIN adm USING (key)""")
+def observation_rows(spark, sf):
+    """Documents as tool outputs."""
+    rows = d.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("observation_id"), F.concat(F.lit("tool_"), F.col("doc_id") % 12).alias("tool_name"),
+        F.col("source").alias("tool_input"), F.col("text").alias("tool_output"), F.lit("post_tool_use").alias("hook_type"),
+        F.lit(None).cast("double").alias("best"),
+    )
+    return ingest.observe(rows).select("observation_id", "action", "content")

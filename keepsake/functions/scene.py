@@ -59,13 +59,16 @@ def language(text: Column) -> Column:
 
 def best_label(text: Column, words: dict[str, list[str]], default: str = "general") -> Column:
     """Label with most of its words inside the text; the first of equals, ``default`` if none is found."""
-    low = F.lower(text)
-    scored = []
-    for i, (label, items) in enumerate(words.items()):
-        hits = sum((low.contains(w).cast("int") for w in items[1:]), low.contains(items[0]).cast("int"))
-        scored.append(F.struct(hits.alias("n"), F.lit(-i).alias("order"), F.lit(label).alias("label")))
-    best = F.array_max(F.array(*scored))
-    return F.when(best["n"] > 0, best["label"]).otherwise(F.lit(default))
+    table = F.array(
+        *[
+            F.struct(F.lit(-i).alias("order"), F.lit(label).alias("label"), F.array(*[F.lit(w) for w in items]).alias("words"))
+            for i, (label, items) in enumerate(words.items())
+        ]
+    )
+    found = lambda low, row: F.size(F.filter(row["words"], lambda w: low.contains(w)))
+    scored = lambda low: F.transform(table, lambda r: F.struct(found(low, r).alias("n"), r["order"].alias("order"), r["label"].alias("label")))
+    best = tx.let(F.lower(text), lambda low: F.array_max(scored(low)))
+    return tx.let(best, lambda b: F.when(b["n"] > 0, b["label"]).otherwise(F.lit(default)))
 
 
 def domain(text: Column) -> Column:
