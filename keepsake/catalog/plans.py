@@ -40,14 +40,14 @@ dv AS (SELECT *, row_number() OVER (PARTITION BY query_id, session_id ORDER BY r
 final AS (SELECT query_id, fact_id, content, score, n_facts, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, fact_id) AS rank FROM dv WHERE s <= 3)"""
 
 
-@query("hybrid_recall", "REC1 REC2 FUS1 FUS2 BM5 FUS4 FUS5", f"{RANKED} SELECT query_id, fact_id, round(score, 6) AS score, rank FROM final")
+@query("hybrid_recall", "REC1 REC2 FUS1 FUS2 BM5 FUS4 FUS5", f"{RANKED} SELECT query_id, fact_id, round(score * 1e9)::BIGINT AS score_e9, rank FROM final")
 def hybrid_recall(spark, sf):
     """Fused and boosted facts for every request, scene first."""
     facts = cut(d.fact_vectors(spark, sf))
     memory = plan.Memory(facts, index=lexical.build_index(d.facts(spark, sf)))
     q = cut(plan.prepare(requests(spark, sf)))
     return plan.rank_facts(memory, q, d.as_of()).select(
-        "query_id", "fact_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank")
+        "query_id", "fact_id", F.round(F.col("score") * 1e9).cast("bigint").alias("score_e9"), F.col("rank").cast("bigint").alias("rank")
     )
 
 
