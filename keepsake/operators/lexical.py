@@ -43,8 +43,12 @@ def build_index(docs: DataFrame, id_col: str = "fact_id", extra: str | None = No
     and written once, as terms, lengths and searches all read them.
     """
     tokens = document_tokens(docs, id_col, extra)
+    # The length rides along in the exploded struct: beside the explode, Spark
+    # would tokenise the document again for each of its rows.
+    with_len = lambda ts: F.transform(ts, lambda w: F.struct(w.alias("term"), F.size(ts).cast("bigint").alias("doc_len")))
     postings = (
-        tokens.select("doc_id", F.size("tokens").cast("bigint").alias("doc_len"), F.explode("tokens").alias("term"))
+        tokens.select("doc_id", F.explode(tx.let(F.col("tokens"), with_len)).alias("_t"))
+        .select("doc_id", "_t.doc_len", "_t.term")
         .groupBy("doc_id", "doc_len", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

@@ -31,13 +31,19 @@ def local_session(name: str = "keepsake", cores: str = "*") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only if none is set."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is set a temporary folder serves, on one machine only: executors
+    of a cluster would not find it.
+    """
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if current is None:
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="keepsake-checkpoint-"))
-    return sc.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="keepsake-checkpoint-"))
+        folder = sc.getCheckpointDir()
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -52,10 +58,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# A table of so few splits is small enough to be dealt out again.
+FEW_SPLITS = 16
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rebalance a table stored in fewer splits than there are cores; larger tables stay as read."""
+    """Deal out a table stored in a handful of splits to all cores; larger tables stay as read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(min(cores, 8 * splits)) if splits < min(cores, FEW_SPLITS) else df
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
