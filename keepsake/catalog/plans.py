@@ -191,3 +191,20 @@ def observation_rows(spark, sf):
         F.lit(None).cast("double").alias("best"),
     )
     return ingest.observe(rows).select("observation_id", "action", "content")
+
+
+@query("export_roundtrip", "SRC9 SRC10", f"""WITH {d.FACTS}, {d.EPISODES} SELECT 'facts' AS kind, fact_id AS id, length(content)::BIGINT AS chars FROM facts
+UNION ALL SELECT 'episodes', episode_id, length(content)::BIGINT FROM episodes""")
+def export_roundtrip(spark, sf):
+    """Facts and episodes written as JSON, one folder per kind, and read back."""
+    import uuid
+
+    from keepsake.session import ensure_checkpoint_dir
+    from keepsake.sources import exchange
+
+    path = f"{ensure_checkpoint_dir(spark)}/export-{uuid.uuid4().hex}"
+    facts, eps = d.facts(spark, sf), d.episodes(spark, sf)
+    exchange.export(facts, eps, path)
+    size = F.length("content").cast("bigint").alias("chars")
+    back = lambda kind, df, key: exchange.read_export(spark, path, kind, df.schema).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), size)
+    return back("facts", facts, "fact_id").unionByName(back("episodes", eps, "episode_id"))
