@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import quality_rules, secret_scans, url_filters
+from keepsake.llm import decontamination, quality_rules, secret_scans, token_store, url_filters
 from keepsake.llm.common import table
+from keepsake.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +106,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scans.scan(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+@query("op10_benchmark_decontamination")
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_token_store")
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{ensure_checkpoint_dir(spark)}/token-store-{uuid.uuid4().hex}"
+    token_store.write(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    return token_store.read(spark, path, token_store.size_and_crc, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
