@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import decontamination, quality_rules, secret_scans, token_store, url_filters
+from keepsake.llm import curve_packing, decontamination, quality_rules, secret_scans, token_store, url_filters
 from keepsake.llm.common import table
 from keepsake.session import ensure_checkpoint_dir
 
@@ -118,3 +118,9 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/token-store-{uuid.uuid4().hex}"
     token_store.write(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
     return token_store.read(spark, path, token_store.size_and_crc, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+
+
+@query("op2_curve_packing")
+def op2_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = curve_packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), keep_ids=False)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
