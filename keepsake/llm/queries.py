@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import curve_packing, decontamination, quality_rules, secret_scans, token_store, url_filters
+from keepsake.llm import curve_packing, decontamination, language_id, quality_rules, secret_scans, token_store, url_filters
 from keepsake.llm.common import table
 from keepsake.session import ensure_checkpoint_dir
 
@@ -124,3 +124,9 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = curve_packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), keep_ids=False)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
