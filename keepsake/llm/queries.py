@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import curve_packing, decontamination, language_id, quality_rules, secret_scans, token_store, url_filters
+from keepsake.llm import curve_packing, decontamination, language_id, quality_rules, secret_scans, token_store, url_filters, warc_fixity
 from keepsake.llm.common import table
 from keepsake.session import ensure_checkpoint_dir
 
@@ -130,3 +130,17 @@ def op2_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.fit(docs))
+
+
+# The replica of the query is damaged where this holds: one character in the middle of a page is replaced.
+DAMAGED = "pmod(xxhash64(page_id, url), 97) = 0"
+
+
+@query("op9_warc_fixity")
+def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc_fixity.write_warc(pages, f"{path}/original")
+    broken = F.when(F.expr(DAMAGED), F.overlay("html", F.lit("\u00a4"), F.expr("length(html) div 2 + 1"))).otherwise(F.col("html"))
+    warc_fixity.write_warc(pages, f"{path}/replica", broken)
+    return warc_fixity.audit(*(warc_fixity.records(spark, f"{path}/{side}") for side in ("original", "replica")))
