@@ -9,12 +9,18 @@ a vocabulary that keeps white space) is given to the tokenizer whole.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 # The cache is emptied beyond so many words; that costs time, never results.
-CACHE_WORDS = 1_200_000
-# Unknown words go to the tokenizer joined, so many at a time.
+CACHE_WORDS = 900_000
+# Words that aren't plain letters go to the tokenizer joined, so many at a time.
 JOIN = 512
+# Letters that are the same in all normal forms and in lower case one letter again, and a closing mark.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([,.]?)")
+# A line end, as a word; the first word of a line has a line end before it.
+LINE_END = "\n\n"
 
 
 class _Cache(dict):
@@ -45,12 +51,14 @@ class WordTokenizer:
             kind = json.load(f)
         # Either white space is dropped, or it stays with the word that follows.
         self.drops_space = kind["model"].get("end_of_word_suffix") is not None
-        self.space = "" if self.drops_space else "Ġ"
+        # How the vocabulary shows bytes: printable ones as they are, the others from 256 on.
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = iter(range(256, 512))
+        self.shown = [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+        self.closing = {c: self._plain("a" + c)[1:] for c in ",."}
         if self.drops_space:
-            self.newline = np.zeros(0, np.uint32)
             self.mark = self._plain("~")
         else:
-            self.newline = np.array(self._plain("\n"), np.uint32)
             vocabulary = self.tokenizer.get_vocab()
             self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
             self.opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
@@ -83,24 +91,40 @@ class WordTokenizer:
         self.words += len(many)
 
     def _tokenize(self, words: list[str]) -> list[list[int] | None]:
-        """Ids of words; a word of a text that keeps white space begins with a space unless it opens a line."""
+        """Ids of waiting words in their order."""
         out: list = [None] * len(words)
         rest = []
-        tokenize = self.model.tokenize
+        match, tokenize, cache, drops = PLAIN.fullmatch, self.model.tokenize, self.cache, self.drops_space
         for k, word in enumerate(words):
-            bare = word[1:] if word[:1] == " " else word
+            opens = word[:1] == "\n"
+            bare = word[1:] if opens else word
+            if word == LINE_END:
+                out[k] = [] if drops else self._plain("\n")
+                continue
             if not bare:
-                out[k] = [] if self.drops_space else None
-            elif bare.isascii() and bare.isalpha():
-                lower = bare.lower() if self.drops_space else (self.space + bare if word is not bare and word[0] == " " else bare)
-                out[k] = [t.id for t in tokenize(lower)]
-            elif not self.drops_space and (bare[0].isspace() or bare[-1].isspace()):
+                out[k] = [] if drops else None
+                continue
+            plain = match(bare)
+            if plain:
+                # A word with a closing mark is the word and the mark.
+                letters, mark = plain[1], self.closing.get(plain[2])
+                known = cache.get(word[:-1], self.words) if mark else self.words
+                if known < self.words:
+                    at = self.starts[known]
+                    ids = self.ids[at : at + self.lengths[known]].tolist()
+                else:
+                    shown = letters.lower() if drops else letters
+                    if not shown.isascii():
+                        shown = "".join(map(self.shown.__getitem__, shown.encode()))
+                    ids = [t.id for t in tokenize(shown if drops or opens else "Ġ" + shown)]
+                out[k] = ids + mark if mark else ids
+            elif not drops and (bare[0].isspace() or bare[-1].isspace()):
                 out[k] = None
             else:
                 rest.append(k)
+        texts = [words[k] if drops else words[k][1:] if words[k][0] == "\n" else " " + words[k] for k in rest]
         for i in range(0, len(rest), JOIN):
-            own = rest[i : i + JOIN]
-            for k, ids in zip(own, self._joined([words[k] for k in own])):
+            for k, ids in zip(rest[i : i + JOIN], self._joined(texts[i : i + JOIN])):
                 out[k] = ids
         return out
 
@@ -123,43 +147,35 @@ class WordTokenizer:
         """All ids, text after text, and their number in each text."""
         if len(self.cache) > CACHE_WORDS:
             self._clear()
-        cache, places, counts = self.cache, [], []
+        places, counts = [], []
+        getitem = self.cache.__getitem__
         for text in texts:
-            if self.drops_space:
-                own = list(map(cache.__getitem__, text.replace("\n", " ").split(" "))) if text else []
+            before = len(places)
+            if not text:
+                pass
+            elif self.drops_space:
+                places += map(getitem, text.replace("\n", " ").split(" "))
             else:
-                own = self._spaced(text) if text else []
-            places.append(own)
-            counts.append(len(own))
-        if cache.waiting:
-            self._store(self._tokenize(cache.waiting))
-            cache.waiting = []
-        flat = np.fromiter((p for own in places for p in own), np.int64, sum(counts))
-        lengths = np.where(flat >= 0, self.lengths[np.maximum(flat, 0)], len(self.newline))
-        row = np.repeat(np.arange(len(texts)), counts)
-        whole = np.unique(row[lengths < 0])
+                for n, line in enumerate(text.split("\n")):
+                    if n:
+                        places.append(getitem(LINE_END))
+                    words = line.split(" ")
+                    places.append(getitem("\n" + words[0]))
+                    places += map(getitem, words[1:])
+            counts.append(len(places) - before)
+        if self.cache.waiting:
+            self._store(self._tokenize(self.cache.waiting))
+            self.cache.waiting = []
+        flat = np.fromiter(places, np.int64, len(places))
+        lengths = self.lengths[flat].astype(np.int64)
+        bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        whole = np.unique(np.searchsorted(bounds, np.flatnonzero(lengths < 0), "right") - 1) if len(flat) else flat
         lengths = np.maximum(lengths, 0)
-        starts = np.where(flat >= 0, self.starts[np.maximum(flat, 0)], -1)
-        total = int(lengths.sum())
-        take = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts, lengths)
-        ids = self.ids[np.maximum(take, 0)]
-        if not self.drops_space:
-            ids[np.repeat(flat < 0, lengths)] = self.newline[0]
-        many = np.bincount(row, lengths, len(texts)).astype(np.int64) if total else np.zeros(len(texts), np.int64)
+        ends = np.cumsum(lengths)
+        ids = self.ids[np.repeat(self.starts[flat] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        many = np.diff(np.concatenate([[0], ends]).astype(np.int64)[bounds])
         return (ids, many) if not len(whole) else self._with_whole(texts, ids, many, whole)
 
-    def _spaced(self, text: str) -> list[int]:
-        """Places of words with the space before them; -1 stands for a line end."""
-        getitem, out = self.cache.__getitem__, []
-        for n, line in enumerate(text.split("\n")):
-            if n:
-                out.append(-1)
-            words = line.split(" ")
-            out.append(getitem(words[0]))
-            if len(words) > 1:
-                out += map(getitem, [" " + w for w in words[1:]])
-        return out
-
     def _with_whole(self, texts, ids, many, whole):
         parts, ends = [], np.cumsum(many)
         known = set(whole.tolist())
