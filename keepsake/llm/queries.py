@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import curve_packing, decontamination, language_id, quality_rules, secret_scans, token_store, url_filters, warc_fixity
+from keepsake.llm import curve_packing, decontamination, jaccard_join, language_id, line_dedup, quality_rules, secret_scans, token_store, url_filters, warc_fixity
 from keepsake.llm.common import table
 from keepsake.session import ensure_checkpoint_dir
 
@@ -144,3 +144,13 @@ def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = F.when(F.expr(DAMAGED), F.overlay("html", F.lit("\u00a4"), F.expr("length(html) div 2 + 1"))).otherwise(F.col("html"))
     warc_fixity.write_warc(pages, f"{path}/replica", broken)
     return warc_fixity.audit(*(warc_fixity.records(spark, f"{path}/{side}") for side in ("original", "replica")))
+
+
+@query("op3_jaccard_join")
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
+@query("op7_line_dedup")
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.clean(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
