@@ -1,19 +1,55 @@
-"""Corpus pipeline: quality rules, and the stages that follow."""
+"""Corpus pipeline: quality rules, line dedup, near-duplicate join, decontamination, packing.
+
+``STAGES`` are (name, function) pairs; each function takes ``(spark, docs, sf_dir)``
+and works on all that its predecessor kept. All but the last return the columns of
+``documents``. Each calls one operator; how rows with nulls, empty texts and
+repeated ids fare is said there.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keepsake.llm import quality_rules
+from keepsake.llm import curve_packing, decontamination, jaccard_join, line_dedup, quality_rules
+from keepsake.llm.queries import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the policy keeps."""
-    book = quality_rules.measured(docs)
-    return book.withColumn("fail_bits", quality_rules.failure_bits()).where(quality_rules.passes("v1")).select(*docs.columns)
+    return quality_rules.accepted(docs, "v1")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without surplus lines; one that has no word left was a copy and goes. ``n_chars`` follows the text."""
+    out = line_dedup.clean(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of linked texts."""
+    return jaccard_join.clean(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences, with their ids."""
+    return curve_packing.pack(docs, vocabulary("word_bpe_49k.json"))
+
 
+STAGES = [
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("jaccard_join", near_duplicates),
+    ("decontamination", decontaminated),
+    ("packing", packed),
+]
 
-STAGES = [("quality_rules", quality)]
+# MinHash, components and a tokenizer have no SQL; tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 

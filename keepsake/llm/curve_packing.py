@@ -42,7 +42,7 @@ ROWS = 512
 VECTORS = "doc_id bigint, n_tokens bigint, crc bigint, ids binary, vector array<double>"
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, "
-    "sequence_length bigint, ids array<bigint>"
+    "sequence_length bigint, ids array<int>"
 )
 # A task's sequences are numbered within its range.
 RANGE_SHIFT = 40
@@ -152,15 +152,20 @@ def pieces(ordered: DataFrame, length: int = LENGTH, keep_ids: bool = True) -> D
         def out(rows):
             columns = list(zip(*rows))
             arrays = [pa.array(c, pa.int64()) for c in columns[:8]]
+            if keep_ids:
+                offsets = np.concatenate([[0], np.cumsum(columns[2])]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(columns[8]).astype(np.int32)))
+            else:
+                ids = pa.nulls(len(rows), pa.list_(pa.int32()))
             return pa.RecordBatch.from_arrays(
-                [*arrays, pa.array(columns[8], pa.list_(pa.int64()))],
+                [*arrays, ids],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length", "ids"],
             )
 
         def row(part, at, size):
             doc, start, ids, total = part
             crc = zlib.crc32(ids.astype("<u4"))
-            return (doc, start, len(ids), crc, total, first + sequence, at, size, ids.tolist() if keep_ids else None)
+            return (doc, start, len(ids), crc, total, first + sequence, at, size, ids)
 
         for batch in slices(batches, "ids", 1 << 22):
             done = []

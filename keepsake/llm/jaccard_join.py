@@ -233,4 +233,4 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     """``docs`` with one document of each component: that of the least doc_id."""
     found = join(docs, doc_id, text, percent)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col(doc_id).cast("bigint") == F.col("_id"), "left_anti").select(*docs.columns)
+    return docs.join(gone, docs[doc_id].cast("bigint") == gone["_id"], "left_anti")

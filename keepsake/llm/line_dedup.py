@@ -229,19 +229,26 @@ def surplus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
     return out.where(~kept).select("doc_id", "line", "class", F.struct("keeper.doc_id", "keeper.line").alias("keeper"))
 
 
-def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """``docs`` without surplus lines, with ``n_lines`` and ``n_dropped``; texts are otherwise as they were."""
+def counted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``row`` (all columns of ``docs`` as a struct), ``text`` without surplus lines, n_lines and n_dropped."""
     out = surplus(docs, doc_id, text, percent).distinct()
-    drops = out.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("line").alias("_lines"))
-    joined = docs.join(drops, F.col(doc_id).cast("bigint").eqNullSafe(F.col("_id")), "left").drop("_id")
-    parts = F.split(text, "\n")
-    gone = F.coalesce(F.col("_lines"), F.array().cast("array<bigint>"))
+    drops = out.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("line").alias("gone"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    joined = rows.join(drops, F.col("row").getField(doc_id).cast("bigint").eqNullSafe(F.col("id")), "left")
+    whole = F.col("row").getField(text).cast("string")
+    parts = F.split(whole, "\n")
+    gone = F.coalesce("gone", F.array().cast("array<bigint>"))
     places = F.sequence(F.lit(0).cast("bigint"), F.size(parts).cast("bigint") - 1)
     rest = F.array_join(F.transform(F.array_except(places, gone), lambda i: F.get(parts, i.cast("int"))), "\n")
-    return joined.withColumns(
-        {
-            text: F.when(F.col("_lines").isNull(), F.col(text)).otherwise(rest),
-            "n_lines": F.coalesce(F.size(parts), F.lit(0)).cast("bigint"),
-            "n_dropped": F.size(gone).cast("bigint"),
-        }
-    ).drop("_lines")
+    return joined.select(
+        "row",
+        F.when(F.col("gone").isNull(), whole).otherwise(rest).alias("text"),
+        F.when(whole.isNull(), 0).otherwise(F.size(parts)).cast("bigint").alias("n_lines"),
+        F.size(gone).cast("bigint").alias("n_dropped"),
+    )
+
+
+def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``docs`` with surplus lines taken out of their texts."""
+    done = counted(docs, doc_id, text, percent)
+    return done.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -120,6 +120,15 @@ def apply_policy(book: DataFrame, policy: str) -> DataFrame:
     return book.withColumns({"base_failed": ~passes("base"), "kept": passes(policy)})
 
 
+def accepted(docs: DataFrame, policy: str, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the policy keeps, with all their columns."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).cast("string").alias("text"))
+    judged = measured(rows).withColumn("fail_bits", failure_bits())
+    # A filter would be pushed below the measurements and repeat them; a generator stays above.
+    kept = judged.select(F.explode(F.when(passes(policy), F.array("row"))).alias("row"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def ablations(book: DataFrame, policy: str) -> DataFrame:
     """One row per rule of the policy: documents failing it, failing it alone, and kept if it were left out."""
     mask = POLICIES[policy]
