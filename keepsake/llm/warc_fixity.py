@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from keepsake.llm.common import slices
 from keepsake.session import cut
 
-FANOUT = 16
+FANOUT = 64
 ARCHIVE_BYTES = 32 << 20
-ARCHIVE_SHIFT = 24
+ARCHIVE_SHIFT = 12
 DATE = "2024-02-01T00:00:00Z"
 MARK = b"WARC/1.0\r\n"
 END = b"\r\n\r\n"
@@ -136,20 +136,31 @@ def _height(most: int) -> int:
     return n
 
 
-def tree(leaves: DataFrame, height: int, archive_height: int) -> list[tuple[str, DataFrame]]:
-    """Levels from the leaves to the replica's root, each with the name of its place; archives are places above their roots."""
+def tree(leaves: DataFrame) -> list[tuple[str, DataFrame]]:
+    """Levels of both replicas' trees (column ``side``), from the leaves to the roots, each with the name of its place.
+
+    Archives are the places above the records. Every level is written out: the
+    descent reads each once more.
+    """
+    most = leaves.agg(F.max("ordinal").alias("o"), F.max("archive").alias("a")).first()
     levels = [("ordinal", leaves)]
-    for _ in range(height):
-        levels.append(("ordinal", _parents(levels[-1][1], ["archive"], "ordinal")))
-    levels.append(("archive", levels.pop()[1].select("archive", "digest", "start", "stop")))
-    for _ in range(archive_height):
-        levels.append(("archive", _parents(levels[-1][1], [], "archive")))
+    for _ in range(max(1, _height(most.o or 0))):
+        levels.append(("ordinal", cut(_parents(levels[-1][1], ["side", "archive"], "ordinal"))))
+    # The last of these levels has one node per archive.
+    levels.append(("archive", levels.pop()[1].select("side", "archive", "digest", "start", "stop")))
+    for _ in range(_height(most.a or 0)):
+        levels.append(("archive", cut(_parents(levels[-1][1], ["side"], "archive"))))
     return levels
 
 
-def _differing(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    both = a.alias("a").join(b.alias("b"), keys, "full_outer")
-    return both.where(~F.col("a.digest").eqNullSafe(F.col("b.digest")))
+def _differing(level: DataFrame, keys: list[str]) -> DataFrame:
+    """Places at which the two sides' hashes differ, or one side has nothing; a group has two rows at most."""
+    nodes = level.groupBy(*keys).agg(*[F.first(F.when(F.col("side") == side, F.struct(*_carried(level))), True).alias(side) for side in "ab"])
+    return nodes.where(~F.col("a.digest").eqNullSafe(F.col("b.digest")))
+
+
+def _carried(level: DataFrame) -> list[str]:
+    return [c for c in ("record_id", "start", "stop", "digest") if c in level.columns]
 
 
 def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
@@ -157,20 +168,14 @@ def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
 
     ``state`` is ``changed``, ``missing`` (in the replica) or ``extra``.
     """
-    a, b = cut(original), cut(replica)
-    most = a.unionByName(b).agg(F.max("ordinal").alias("o"), F.max("archive").alias("a")).first()
-    heights = max(1, _height(most.o or 0)), _height(most.a or 0)
-    ours, theirs = tree(a, *heights), tree(b, *heights)
+    leaves = cut(original.withColumn("side", F.lit("a")).unionByName(replica.withColumn("side", F.lit("b"))))
     suspect = None
-    for (place, x), (_, y) in zip(reversed(ours), reversed(theirs)):
-        # The level's archive roots serve as nodes of both kinds of place.
+    for place, level in reversed(tree(leaves)):
         keys = ["archive"] if place == "archive" else ["archive", "ordinal"]
-        if suspect is not None:
-            x, y = (_below(level, suspect, place) for level in (x, y))
-        found = _differing(x, y, keys)
-        if place == "ordinal" and x.columns.count("record_id"):
+        found = _differing(level if suspect is None else _below(level, suspect, place), keys)
+        if "record_id" in level.columns:
             break
-        suspect = found.select(*keys)
+        suspect = cut(found.select(*keys))
     state = F.when(F.col("b.digest").isNull(), "missing").when(F.col("a.digest").isNull(), "extra").otherwise("changed")
     return found.select(
         "archive",
