@@ -233,8 +233,8 @@ def similar_pairs(spark, sf):
     return pairs.join(a, "a").join(b, "b").select("a", "b", F.round("cosine", 4).alias("cosine"), "copies_a", "copies_b")
 
 
-FACT_PAIRS = f"""{d.FACT_VECTORS}, act AS (SELECT * FROM fact_vectors WHERE superseded_by IS NULL),
-cand AS (SELECT a.fact_id AS a, b.fact_id AS b, list_cosine_similarity(a.embedding, b.embedding) AS cosine, a.ts AS ta, b.ts AS tb
+FACT_PAIRS = f"""{d.FACT_VECTORS}, act AS MATERIALIZED (SELECT * FROM fact_vectors WHERE superseded_by IS NULL),
+cand AS MATERIALIZED (SELECT a.fact_id AS a, b.fact_id AS b, list_cosine_similarity(a.embedding, b.embedding) AS cosine, a.ts AS ta, b.ts AS tb
   FROM act a JOIN act b ON a.fact_id < b.fact_id AND list_cosine_similarity(a.embedding, b.embedding) >= 0.35)"""
 AFF = "cosine * exp(-0.03 * abs(epoch_us(ta) - epoch_us(tb)) / 86400000000.0)"
 

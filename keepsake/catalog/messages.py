@@ -84,11 +84,11 @@ def turn_windows(spark, sf):
     return messages.turn_windows(d.messages(spark, sf))
 
 
-@query("markdown_sections", "SRC5", r"""WITH m AS (SELECT doc_id, source, '## ' || replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10), chr(10) || '## ') AS md FROM documents WHERE NOT contains(text, '## ')),
+@query("markdown_sections", "SRC5", r"""WITH m AS (SELECT doc_id, source, '## ' || replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10), chr(10) || '## ') AS md FROM documents),
 s AS (SELECT doc_id, source, unnest(list_transform(string_split(md, chr(10) || '## '), lambda x, i: {'no': i - 1, 'body': CASE WHEN i = 1 THEN x ELSE '## ' || x END}), recursive := true) FROM m)
 SELECT doc_id || '' AS source, no::BIGINT AS section_no, length(regexp_replace(body, '^\s+|\s+$', '', 'g')[1:2000]) AS chars, doc_id % 5 AS priority FROM s WHERE length(regexp_replace(body, '^\s+|\s+$', '', 'g')) >= 80""")
 def markdown_sections(spark, sf):
-    docs = d.table(spark, sf, "documents").filter(~F.col("text").contains("## "))
+    docs = d.table(spark, sf, "documents")
     files = docs.select(
         F.col("doc_id").cast("string").alias("source"),
         F.concat(F.lit("## "), F.regexp_replace(tx.strip(F.col("text")), "\n", "\n## ")).alias("text"),

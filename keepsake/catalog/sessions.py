@@ -59,7 +59,7 @@ fx AS (SELECT event_id AS fact_id, ts, (event_id * 37 % 100) / 100.0::DOUBLE AS
 j AS (SELECT s.session_id, f.*, row_number() OVER (PARTITION BY s.session_id ORDER BY importance DESC, fact_id) AS r FROM se s JOIN fx f ON abs(epoch_us(f.ts) - epoch_us(s.ts)) < 3600000000
   WHERE epoch_us(TIMESTAMP '{d.AS_OF}') - epoch_us(s.ts) >= 86400000000),
 dg AS (SELECT session_id, count(*) AS facts_available, least(count(*), 20)::INT AS fact_count, string_agg(fact_id::VARCHAR, ',' ORDER BY r) FILTER (r <= 20) AS fact_ids,
-  array_to_string(list_sort(list(DISTINCT tool))[1:20], ',') AS entities, array_to_string(list_sort(list(DISTINCT category) FILTER (r <= 20)), ',') AS categories FROM j GROUP BY 1 HAVING count(*) >= 5)"""
+  array_to_string(list_sort(list(DISTINCT tool)), ',') AS entities, array_to_string(list_sort(list(DISTINCT category) FILTER (r <= 20)), ',') AS categories FROM j GROUP BY 1 HAVING count(*) >= 5)"""
 
 
 def digest_rows(spark, sf):

@@ -83,7 +83,7 @@ def stream_access_bumps(spark, sf):
     base = f"{ensure_checkpoint_dir(spark)}/bumps-{uuid.uuid4().hex}"
     hits = call_stream(spark, sf).select((F.col("event_id") * 7 % n).alias("fact_id"), F.col("ts").alias("hit_ts"))
     jobs.access_bumps(hits, lambda: d.facts(spark, sf), f"{base}/out", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/out/facts").select("fact_id", "access_count")
+    return jobs.bumped(spark, f"{base}/out").select("fact_id", "access_count")
 
 
 @query("stream_ingest", "STR1 STR9", None)

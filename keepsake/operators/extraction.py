@@ -123,8 +123,10 @@ MODEL_FACT = (
     "keywords:array<string>,persons:array<string>,entities:array<string>,topic:string,location:string,"
     "triple:struct<s:string,p:string,o:string>>>"
 )
-_FLAT = r'\{(?:[^{}"]|"(?:[^"\\]|\\.)*")*\}'
-_OBJECT = r'\{(?:[^{}"]|"(?:[^"\\]|\\.)*"|' + _FLAT + r")*\}"
+# Possessive throughout: the branches exclude each other, and a long answer needs no stack.
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+_FLAT = r'\{(?:[^{}"]++|' + _STRING + r")*+\}"
+_OBJECT = r'\{(?:[^{}"]++|' + _STRING + "|" + _FLAT + r")*+\}"
 
 
 def parse_array(raw: Column) -> Column:
@@ -134,7 +136,7 @@ def parse_array(raw: Column) -> Column:
     ).otherwise(raw)
     whole = F.regexp_extract(body, r"(?s)(\[.*\])", 1)
     ok = F.try_parse_json(whole)
-    prefix = F.regexp_extract(body, r"(?s)\[\s*(" + _OBJECT + r"(?:\s*,\s*" + _OBJECT + r")*)", 1)
+    prefix = F.regexp_extract(body, r"(?s)\[\s*(" + _OBJECT + r"(?:\s*+,\s*+" + _OBJECT + r")*+)", 1)
     return F.when((whole != "") & ok.isNotNull(), whole).when(prefix != "", F.concat(F.lit("["), prefix, F.lit("]")))
 
 

@@ -210,14 +210,15 @@ def merge_candidates_by_age(pairs: DataFrame, facts: DataFrame, as_of: Column, t
     return both.withColumn("combined", F.col(similarity) * factor).filter(F.col("combined") >= threshold).select("a", "b", similarity, "combined")
 
 
-def choose_keepers(nodes: DataFrame, pairs: DataFrame, priority: list[str], max_rounds: int = 64) -> DataFrame:
+def choose_keepers(nodes: DataFrame, pairs: DataFrame, priority: list[str]) -> DataFrame:
     """(id, keeper_id): the result of one pass in priority order over the pair graph.
 
     In each round every undecided node without an undecided better neighbour
     becomes a keeper and its undecided neighbours become losers. A loser goes to
     its best adjacent keeper. ``nodes`` holds ``id`` and the priority columns,
     all larger-is-better; equal priorities are decided by the smaller id. Only
-    nodes with a neighbour take part in the rounds.
+    nodes with a neighbour take part in the rounds, which end because each decides
+    at least the best undecided node.
     """
     rank = lambda p: F.struct(*[F.col(f"{p}{c}") for c in priority], (-F.col(f"{p}id")).alias("neg_id"))
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("o_id")).unionByName(
@@ -232,7 +233,7 @@ def choose_keepers(nodes: DataFrame, pairs: DataFrame, priority: list[str], max_
     open_ids = edges.select("id").distinct()
     open_edges = edges
     keepers = None
-    for _ in range(max_rounds):
+    while True:
         blocked = open_edges.filter("other_better").select("id").distinct()
         new = cut(open_ids.join(blocked, "id", "left_anti"))
         keepers = new if keepers is None else keepers.unionByName(new)
@@ -242,10 +243,6 @@ def choose_keepers(nodes: DataFrame, pairs: DataFrame, priority: list[str], max_
             break
         left = open_ids.withColumnRenamed("id", "o_id")
         open_edges = cut(open_edges.join(open_ids, "id", "left_semi").join(left, "o_id", "left_semi"))
-    else:
-        raise RuntimeError("keeper rounds did not end; raise max_rounds")
-    if keepers is None:
-        return nodes.select("id", F.col("id").alias("keeper_id"))
     to_keeper = (
         edges.join(keepers, "id", "left_anti")
         .join(keepers.withColumnRenamed("id", "o_id"), "o_id", "left_semi")

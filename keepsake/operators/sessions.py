@@ -190,10 +190,7 @@ def digests(
         F.sort_array(F.collect_list(F.struct("_r", "fact_id"))).alias("_f"), F.sort_array(F.collect_set("category")).alias("categories")
     )
     names = slots.select(*group, F.explode("entities").alias("entity")).distinct()
-    few = top_per_group(names, group, [F.asc("entity")], top, "_r").drop("_r")
-    ents = top_per_group(near(few).select("_s", "entity").distinct(), ["_s"], [F.asc("entity")], top, "_r").groupBy("_s").agg(
-        F.sort_array(F.collect_list("entity")).alias("entities")
-    )
+    ents = near(names).select("_s", "entity").distinct().groupBy("_s").agg(F.sort_array(F.collect_list("entity")).alias("entities"))
     return (
         ready.select("session_id", "_s")
         .join(counts.filter(F.col("facts_available") >= min_facts), "_s")

@@ -54,7 +54,7 @@ def _allowed(batch: pa.RecordBatch, start: int, stop: int, rules, bounds) -> np.
         if rule.kind == "equal":
             ok = (have == want) | free
         elif rule.kind == "differ":
-            ok = have != want
+            ok = (have != want) | free
         elif rule.kind == "at_least":
             ok = (have >= want) | free
         else:

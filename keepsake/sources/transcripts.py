@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake.functions import text as tx
+from keepsake.operators.ordering import with_position
 
 BLOCK = "array<struct<type:string,text:string,name:string>>"
 # --- fixed values ---
@@ -19,12 +20,14 @@ MIN_TURNS = 2
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of all files under ``path``. ``line_no`` grows along a file, also when it is read in splits."""
-    return spark.read.text(path).select(
+    """Lines of all files under ``path``, numbered from 0 along each file, also when it is read in splits."""
+    lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("path"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("line_no"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
         "value",
     )
+    return with_position(lines, ["path"], [F.col("_row")], F.col("_block"), "line_no").select("path", "line_no", "value")
 
 
 def _events(lines: DataFrame) -> DataFrame:

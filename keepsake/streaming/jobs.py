@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,13 +118,36 @@ def split_late(rows: DataFrame, arrival: str, delay_minutes: int, ts: str = "ts"
 
 
 def access_bumps(hits: DataFrame, facts: Callable[[], DataFrame], path: str, checkpoint: str, id_col: str = "fact_id"):
-    """Hits of recall applied to the facts: each batch writes the touched rows of the next version."""
+    """Hits of recall applied to the facts: each batch writes the touched rows of the next version.
+
+    A batch starts from the rows earlier batches wrote and takes only facts that
+    none touched from ``facts``; run again, it sees the same earlier batches.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            touched = batch.select(id_col).distinct()
+            now = facts().join(touched, id_col, "left_semi")
+            if number and (done := bumped(batch.sparkSession, path, id_col, number)) is not None:
+                before = done.join(touched, id_col, "left_semi")
+                now = before.unionByName(now.join(before.select(id_col), id_col, "left_anti"), allowMissingColumns=True)
+            ranking.bump_access(now, batch, id_col).write.mode("overwrite").parquet(f"{path}/facts/batch={number}")
+        finally:
+            batch.unpersist()
+
+    return hits.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
 
-    def step(batch: DataFrame) -> dict[str, DataFrame]:
-        touched = facts().join(batch.select(id_col).distinct(), id_col, "left_semi")
-        return {"facts": ranking.bump_access(touched, batch, id_col)}
 
-    return hits.writeStream.option("checkpointLocation", checkpoint).foreachBatch(idempotent_sink(path, step))
+def bumped(spark: SparkSession, path: str, id_col: str = "fact_id", before: int | None = None) -> DataFrame | None:
+    """The newest version of each fact that batches (numbered below ``before``) of ``access_bumps`` wrote; None if there is none."""
+    try:
+        rows = spark.read.parquet(f"{path}/facts")
+    except AnalysisException:
+        return None
+    rows = rows if before is None else rows.where(F.col("batch") < before)
+    newest = rows.groupBy(id_col).agg(F.max("batch").alias("batch"))
+    return rows.join(newest, [id_col, "batch"]).drop("batch")
 
 
 def upkeep_due(facts_since: Column, hours_since: Column, prune_runs: Column, hours_since_digest: Column) -> dict[str, Column]:
