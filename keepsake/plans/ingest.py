@@ -15,10 +15,6 @@ from keepsake.operators import admission, embedding, extraction, graph, lifecycl
 from keepsake.operators.ordering import with_position
 from keepsake.session import cut
 
-# Up to so many new rows are compared exactly with the stored ones, in passes;
-# more are looked up in the nearest cells.
-EXACT_LOOKUPS = 65_536
-
 
 @dataclass(frozen=True)
 class Stored:
@@ -63,13 +59,10 @@ def gate(windows: DataFrame, text: str = "user_text", best: str = "best") -> Dat
 
 
 def nearest(new: DataFrame, stored: DataFrame | None, id_col: str, k: int = 1) -> DataFrame | None:
-    """Best stored row per new row (query_id, id, score); exact for few rows, by cells for many."""
+    """Best stored row per new row (query_id, id, score); exact, however many there are."""
     if stored is None:
         return None
-    if new.count() <= EXACT_LOOKUPS:
-        hits = vectors.knn(stored, new, k, id_col)
-    else:
-        hits = similarity.approximate_knn(stored, new, k, id_col=id_col).withColumn("score", (1 + F.col("cosine")) / 2)
+    hits = vectors.knn(stored, new, k, id_col)
     return hits.groupBy("query_id").agg(F.max_by(id_col, F.struct("score", -F.col(id_col))).alias(id_col), F.max("score").alias("score"))
 
 
