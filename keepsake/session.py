@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +48,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+_RUNS: list[str] = []
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[str]:
+    """Tables that ``cut`` writes inside go to one folder, which is deleted at the end.
+
+    Results must be written before the block ends, as they read these tables.
+    """
+    folder = f"{ensure_checkpoint_dir(spark)}/run-{uuid.uuid4().hex}"
+    _RUNS.append(folder)
+    try:
+        yield folder
+    finally:
+        _RUNS.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder and continue from the files.
 
@@ -53,7 +74,8 @@ def cut(df: DataFrame) -> DataFrame:
     once: a lost executor then costs a re-read and not a recomputation, and the
     planner sees true sizes.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    folder = _RUNS[-1] if _RUNS else ensure_checkpoint_dir(df.sparkSession)
+    path = f"{folder}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

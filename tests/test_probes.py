@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keepsake.operators import extraction, lifecycle, messages, vectors
 from keepsake.plans.consolidate import consolidate
+from keepsake.session import cut, temporary_tables
 from keepsake.sources import transcripts
 from keepsake.streaming import jobs
 
@@ -70,3 +71,13 @@ def test_second_batch_sees_the_first(spark, tmp_path):
         jobs.access_bumps(stream, lambda: facts, f"{tmp_path}/out", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     assert [(r.fact_id, r.access_count) for r in jobs.bumped(spark, f"{tmp_path}/out").collect()] == [(1, 3)]
     facts.unpersist()
+
+
+def test_temporary_tables_go_at_the_end(spark):
+    with temporary_tables(spark) as folder:
+        assert cut(spark.range(5)).count() == 5
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        assert files.exists(place)
+    assert not files.exists(place)
+    assert cut(spark.range(3)).count() == 3
