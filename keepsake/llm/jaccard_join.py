@@ -9,12 +9,13 @@ other class is a group of its own. This step need not find every link.
 
 *Matrix.* Of every class the prefix is taken: its first ``n - need(n) + 1`` shingles
 in one global order, rare ones first. Two classes that link share a prefix shingle,
-so a group's row of the matrix is the union of its members' prefixes. A class, the
-query, counts what its prefix shares with a group's union. That count bounds the
-overlap with each member: beyond the shorter prefix lie at most
-``need(max(n, m)) - 1`` shingles of the larger set. Groups below the overlap that
-the similarity asks for stay closed; the members of the others are compared with
-the query exactly. Each pair of groups is asked once, from the smaller one, and a
+so a group's row of the matrix is the union of its members' prefixes, each shingle
+with how far its members reach from there. A class, the query, meets a group at a
+shingle if enough of both lies behind it, and then counts what its prefix shares
+with the group's union. That count bounds the overlap with each member: beyond the
+shorter prefix lie at most ``need(max(n, m)) - 1`` shingles of the larger set. Groups
+below the overlap that the similarity asks for stay closed; the members of the
+others are compared with the query exactly. Each pair of groups is asked once, from the smaller one, and a
 class never queries its own group, where it is connected already. So no link that
 matters to the components is lost, and a group of many near copies costs one
 comparison with a pivot each.
@@ -35,14 +36,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.llm import linking
 from keepsake.llm.common import id_text, slices
 from keepsake.llm.components import components
 from keepsake.llm.hashing import list_array, mix, sets
-from keepsake.llm.line_dedup import sets_of
 from keepsake.llm.sketches import gathered, sliced, within
 from keepsake.session import cut
 
@@ -54,7 +54,6 @@ SEEN_SETS = 200_000
 
 SIGNATURES = "doc_id bigint, class bigint, n bigint, keys array<bigint>, slice int, cells binary"
 PREFIXES = "class bigint, n bigint, tokens array<bigint>"
-SETS = "member bigint, tokens array<bigint>"
 
 _ODD = mix(np.arange(101, 101 + KEYS, dtype=np.uint64)) | np.uint64(1)
 _PLACE = mix(np.arange(201, 201 + KEYS, dtype=np.uint64))
@@ -139,25 +138,23 @@ def prefixes(docs: DataFrame, counts, percent: int) -> DataFrame:
     return docs.mapInArrow(run, PREFIXES)
 
 
-def _sets(docs: DataFrame, wanted) -> DataFrame:
+def _texts(docs: DataFrame, wanted) -> DataFrame:
+    """Texts whose class may be among those of a bit set, once per task."""
+
     def run(batches):
         seen: set[int] = set()
         for batch in slices(batches):
-            own = sets(batch.column(1))
-            names = np.array([set_class(s) for s in own], np.int64)
+            names = np.array([set_class(s) for s in sets(batch.column(1))], np.int64)
             chosen = []
             for i in np.flatnonzero(within(wanted.value, names)):
-                if names[i] not in seen:
+                if names[i] and names[i] not in seen:
                     chosen.append(i)
                     if len(seen) < SEEN_SETS:
                         seen.add(names[i])
             if chosen:
-                picked = [own[i] for i in chosen]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[chosen]), list_array(np.concatenate(picked), np.array([len(s) for s in picked]))], names=["member", "tokens"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(names[chosen]), batch.column(1).take(pa.array(chosen))], names=["member", "text"])
 
-    return docs.mapInArrow(run, SETS)
+    return docs.mapInArrow(run, linking.TEXTS)
 
 
 def _fewest(n: Column, m: Column, percent: int) -> Column:
@@ -171,8 +168,8 @@ def _grouped(classes: DataFrame, plain: DataFrame, percent: int) -> tuple[DataFr
     """Links of classes to pivots, and class, n, group."""
     buckets = classes.select(F.explode("keys").alias("key"), F.col("class").alias("member"), "n")
     pairs = cut(linking.pivot_pairs(linking.with_pivots(buckets), percent).where(F.col("n_keys") >= LEAST_KEYS).select("a", "b"))
-    members = cut(pairs.select(F.explode(F.array("a", "b")).alias("member")).distinct())
-    links = cut(linking.verified(pairs, sets_of(plain, members, _sets), percent))
+    texts = linking.texts_of(plain, pairs.select(F.explode(F.array("a", "b")).alias("member")).distinct(), _texts)
+    links = cut(linking.verified(pairs, texts, sets, percent))
     groups = cut(components(links))
     of = classes.select("class", "n").join(groups.withColumnRenamed("node", "class"), "class", "left")
     return links, of.select("class", "n", F.coalesce("component", "class").alias("group"))
@@ -182,18 +179,23 @@ def _opened_links(plain: DataFrame, groups: DataFrame, counts: np.ndarray, perce
     """Links across groups."""
     shared = plain.sparkSession.sparkContext.broadcast(np.frexp(counts.astype(np.float64) + 1)[1].astype(np.uint8))
     table = cut(prefixes(plain, shared, percent))
-    rows = table.select("class", F.explode("tokens").alias("token")).distinct()
+    rows = table.select("class", F.posexplode("tokens").alias("place", "token"))
     # A shingle of one class matches nothing; those are nearly all.
-    known = rows.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("token")
-    rows = rows.join(known, "token", "left_semi").join(groups, "class")
-    rows = cut(rows)
+    of_token = Window.partitionBy("token")
+    rows = rows.withColumns({"low": F.min("class").over(of_token), "high": F.max("class").over(of_token)}).where("low < high")
+    rows = cut(rows.select("class", "token", "place").distinct().join(groups, "class"))
     sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least"), F.max("n").alias("most"))
-    matrix = rows.groupBy("token", "group").agg(F.count(F.lit(1)).alias("_")).drop("_").join(sizes, "group")
-    matrix = matrix.select("token", F.col("group").alias("host"), F.struct("members", "group").alias("host_rank"), "least", "most")
-    asking = rows.join(sizes.select("group", "members"), "group").select("token", "class", "n", F.struct("members", "group").alias("rank"))
-    met = asking.join(matrix, "token").where("rank < host_rank")
-    met = met.where(f"100 * n >= {percent} * least and 100 * most >= {percent} * n")
-    counted = met.groupBy("class", "host").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("most").alias("most"))
+    # A set of n reaches sets of m or fewer from a place, if enough of it lies behind that place.
+    reach = F.expr(f"100 * n - {100 + percent} * place")
+    matrix = cut(rows.groupBy("token", "group").agg(F.min("n").alias("low"), F.max(reach).alias("reach")).join(sizes, "group"))
+    matrix = matrix.select("token", F.col("group").alias("host"), "low", "reach", F.struct("members", "group").alias("host_rank"), "least", "most")
+    asking = cut(rows.join(sizes.select("group", "members"), "group").select("token", "class", "n", reach.alias("own"), F.struct("members", "group").alias("rank")))
+    near = (F.col("own") >= percent * F.col("low")) & (F.col("reach") >= percent * F.col("n")) & F.expr(f"100 * n >= {percent} * least and 100 * most >= {percent} * n")
+    met = asking.join(matrix.select("token", "host", "low", "reach", "host_rank", "least", "most"), "token").where((F.col("rank") < F.col("host_rank")) & near)
+    pairs = cut(met.select("class", "host").distinct())
+    # Only for these pairs all that their prefixes share is counted.
+    both = pairs.join(asking.select("class", "token", "n"), "class").join(matrix.select("token", "host", "least", "most"), ["token", "host"])
+    counted = both.groupBy("class", "host").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("most").alias("most"))
     low = F.greatest("least", F.ceil(percent * F.col("n") / 100))
     high = F.least("most", F.floor(100 * F.col("n") / percent))
     bound = F.least(_fewest(F.col("n"), low, percent), _fewest(F.col("n"), high, percent))
@@ -202,8 +204,8 @@ def _opened_links(plain: DataFrame, groups: DataFrame, counts: np.ndarray, perce
     inside = groups.join(spans, F.col("group") == F.col("key")).where(f"100 * n >= {percent} * lo and 100 * hi >= {percent} * n")
     hosts = cut(inside.select("key", F.col("class").alias("member")))
     guests = opened.select("key", "member")
-    members = cut(guests.select("member").unionByName(hosts.select("member")).distinct())
-    return linking.opened(guests, hosts, sets_of(plain, members, _sets), percent)
+    texts = linking.texts_of(plain, guests.select("member").unionByName(hosts.select("member")).distinct(), _texts)
+    return linking.opened(guests, hosts, texts, sets, percent)
 
 
 def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:

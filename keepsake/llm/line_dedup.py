@@ -32,7 +32,7 @@ from keepsake.llm import linking
 from keepsake.llm.common import id_text, slices
 from keepsake.llm.components import components
 from keepsake.llm.hashing import _BASE, _BASE_INVERSE, _WHITE, PIECE, _power_table, list_array, mix, text_bytes
-from keepsake.llm.sketches import bit_set, within
+from keepsake.llm.sketches import within
 from keepsake.session import cut
 
 PERCENT = 80
@@ -44,7 +44,6 @@ BINS = BANDS * ROWS
 SEEN_LINES = 200_000
 
 LINES = "doc_id bigint, line bigint, class bigint, bands array<bigint>"
-SETS = "member bigint, tokens array<bigint>"
 
 _NEWLINE = 10
 _POINTS = mix(np.arange(1, 1 << 14, dtype=np.uint64))
@@ -80,23 +79,8 @@ class Lines:
         self.starts = solid[np.searchsorted(solid, starts)] if len(starts) else starts
         self.ends = solid[np.searchsorted(solid, ends) - 1] + 1 if len(starts) else ends
 
-    def characters(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the shingles of the chosen lines, line after line, and their number; shorter lines have one."""
-        texts = [self.raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(self.starts[chosen], self.ends[chosen])]
-        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        sizes = np.array([len(t) for t in texts], np.int64)
-        many = np.maximum(sizes - WIDTH + 1, 1)
-        points = _POINTS[points] if len(points) and points.max() < len(_POINTS) else mix(points + np.uint64(1))
-        # Characters beyond a short line's end count as blanks of their own kind.
-        padded = np.maximum(sizes, WIDTH)
-        wide = np.zeros(int(padded.sum()), np.uint64)
-        offset = np.cumsum(padded) - padded
-        wide[np.repeat(offset, sizes) + np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = points
-        at = np.repeat(offset, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        n = len(wide)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(wide * _power_table(_BASE, n + 1)[:n], out=sums[1:], dtype=np.uint64)
-        return mix((sums[at + WIDTH] - sums[at]) * _power_table(_BASE_INVERSE, n + 1)[at]), many
+    def texts(self, chosen: np.ndarray) -> list[str]:
+        return [self.raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(self.starts[chosen], self.ends[chosen])]
 
     def classes(self) -> np.ndarray:
         """A 64-bit hash of each line."""
@@ -110,6 +94,31 @@ class Lines:
         return out
 
 
+def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of lines, line after line, and their number; a line shorter than a shingle has one."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    many = np.maximum(sizes - WIDTH + 1, 1)
+    points = _POINTS[points] if len(points) and points.max() < len(_POINTS) else mix(points + np.uint64(1))
+    # Characters beyond a short line's end count as blanks of their own kind.
+    padded = np.maximum(sizes, WIDTH)
+    wide = np.zeros(int(padded.sum()), np.uint64)
+    offset = np.cumsum(padded) - padded
+    wide[np.repeat(offset - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(points))] = points
+    at = np.repeat(offset - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    n = len(wide)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(wide * _power_table(_BASE, n + 1)[:n], out=sums[1:], dtype=np.uint64)
+    return mix((sums[at + WIDTH] - sums[at]) * _power_table(_BASE_INVERSE, n + 1)[at]), many
+
+
+def line_sets(column: pa.Array) -> list[np.ndarray]:
+    """The distinct shingles of each line of a column, ascending."""
+    hashes, many = characters(column.to_pylist())
+    ends = np.cumsum(many)
+    return [np.unique(hashes[e - n : e]) for e, n in zip(ends, many)]
+
+
 _EXACT = np.random.RandomState(11).randint(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -145,11 +154,6 @@ def bands(hashes: np.ndarray, many: np.ndarray) -> np.ndarray:
     return key + _SALTS
 
 
-def _distinct(hashes: np.ndarray, many: np.ndarray) -> list[np.ndarray]:
-    ends = np.cumsum(many)
-    return [np.unique(hashes[e - n : e]) for e, n in zip(ends, many)]
-
-
 def described(docs: DataFrame) -> DataFrame:
     """One row per line that takes part; the signature comes with the first of equal lines of a task."""
 
@@ -163,7 +167,7 @@ def described(docs: DataFrame) -> DataFrame:
             seen.update(own.tolist())
             if len(seen) > SEEN_LINES:
                 seen = set()
-            hashes, many = lines.characters(fresh)
+            hashes, many = characters(lines.texts(fresh))
             keys = bands(hashes, many)
             held = np.zeros(len(classes), np.int64)
             held[fresh] = BANDS
@@ -176,8 +180,8 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, LINES)
 
 
-def _sets(docs: DataFrame, wanted) -> DataFrame:
-    """Shingle sets of the lines whose class may be among those of a bit set, once per task."""
+def _texts(docs: DataFrame, wanted) -> DataFrame:
+    """Lines whose class may be among those of a bit set, once per task."""
 
     def run(batches):
         seen: set[int] = set()
@@ -189,19 +193,9 @@ def _sets(docs: DataFrame, wanted) -> DataFrame:
             if len(seen) < SEEN_LINES:
                 seen.update(classes[fresh].tolist())
             if len(fresh):
-                sets = _distinct(*lines.characters(fresh))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(classes[fresh].view(np.int64)), list_array(np.concatenate(sets), np.array([len(s) for s in sets]))], names=["member", "tokens"]
-                )
-
-    return docs.mapInArrow(run, SETS)
-
+                yield pa.RecordBatch.from_arrays([pa.array(classes[fresh].view(np.int64)), pa.array(lines.texts(fresh), pa.string())], names=["member", "text"])
 
-def sets_of(docs: DataFrame, members: DataFrame, make) -> DataFrame:
-    """member, tokens of the classes in the one column of ``members``; a bit set of fixed size keeps most others from the shuffle."""
-    wanted = docs.sparkSession.sparkContext.broadcast(bit_set(members))
-    wide = make(docs, wanted).groupBy("member").agg(F.first("tokens").alias("tokens"))
-    return cut(wide.join(members, "member", "left_semi"))
+    return docs.mapInArrow(run, linking.TEXTS)
 
 
 def surplus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -213,13 +207,11 @@ def surplus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
     buckets = classes.select(F.explode("bands").alias("key"), F.col("class").alias("member"), F.lit(1).alias("n"))
     pivoted = cut(linking.with_pivots(buckets))
     pairs = linking.pivot_pairs(pivoted, percent)
-    members = cut(pivoted.select("member").distinct())
-    sets = sets_of(plain, members, _sets)
-    links = cut(linking.verified(pairs, sets, percent))
-    rest = cut(linking.left_over(pivoted, links))
-    hosts = pivoted.select("key", "member").join(rest.select("key").distinct(), "key", "left_semi")
-    more = linking.opened(rest, hosts, sets, percent)
-    found = components(links.unionByName(more))
+    texts = linking.texts_of(plain, pivoted.select("member").distinct(), _texts)
+    links = cut(linking.verified(pairs, texts, line_sets, percent))
+    groups = components(links)
+    visitors, hosts = linking.left_over(pivoted, groups)
+    found = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(linking.opened(visitors, hosts, texts, line_sets, percent)))
     component = F.coalesce("component", "class")
     joined = classes.join(found.withColumnRenamed("node", "class"), "class", "left").select("class", component.alias("component"), "place", "lines")
     keepers = joined.groupBy("component").agg(F.min("place").alias("keeper"), F.sum("lines").alias("all_lines")).where("all_lines > 1")

@@ -1,11 +1,14 @@
-"""Links between sets that share a bucket, without all pairs of a bucket.
-
-Every member of a bucket is compared with the bucket's ``PIVOTS`` least members;
-a bucket of at most ``PIVOTS + 1`` members is compared in full that way. In a larger
-one, members linked to the same pivot are connected already, so only members that
-no pivot took are compared with the rest of the bucket, in tiles of bounded size.
-A tile returns a forest of its links, so output is linear in the members even
-where everything is linked.
+"""Links between texts that share a bucket, without all pairs of a bucket.
+
+Every member of a bucket is compared with ``PIVOTS`` members of it;
+a bucket of at most ``PIVOTS + 1`` members is compared in full that way. What those
+links connect needs no further comparison. In a larger bucket, members outside its
+largest component so far are then compared with the whole bucket, in tiles of
+bounded size. A tile returns a forest of its links, so output is linear in the
+members even where everything is linked.
+
+Members travel with their texts; sets are made where two of them meet, by the
+``sets`` function of the operator (an Arrow column to sorted arrays of hashes).
 """
 
 from __future__ import annotations
@@ -15,47 +18,83 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keepsake.llm.common import slices
 from keepsake.llm.components import EDGES, forest_edges
+from keepsake.llm.sketches import bit_set
+from keepsake.session import cut
 
 PIVOTS = 4
 TILE = 256
 # Columns of one block of a tile's incidence matrices.
 COLUMNS = 8192
 
+TEXTS = "member bigint, text string"
+
+
+def texts_of(docs: DataFrame, members: DataFrame, make) -> DataFrame:
+    """member, text of the classes in the one column of ``members`` and of few others.
+
+    ``make(docs, wanted)`` gives the texts of classes that may be in a bit set of fixed size.
+    """
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_set(members))
+    return cut(make(docs, wanted).groupBy("member").agg(F.first("text").alias("text")))
+
 
 def with_pivots(buckets: DataFrame) -> DataFrame:
-    """``buckets`` (key, member, n) of two members or more, with ``pivots`` and the bucket's ``size``."""
-    order = Window.partitionBy("key").orderBy("member").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = [F.nth_value("member", k + 1).over(order) for k in range(PIVOTS)]
-    sizes = [F.nth_value("n", k + 1).over(order) for k in range(PIVOTS)]
-    pairs = F.array(*[F.struct(m.alias("member"), n.alias("n")) for m, n in zip(first, sizes)])
-    return buckets.select("key", "member", "n", pairs.alias("pivots"), F.count(F.lit(1)).over(order).alias("size")).where("size > 1")
+    """``buckets`` (key, member, n) of two members or more, with ``pivots`` and the bucket's ``size``.
+
+    Pivots are the members that meet most others over all their buckets: of a group
+    of near copies, those nearest to what the copies have in common.
+    """
+    # Most buckets have one member and go before anything is ordered.
+    shared = cut(buckets.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1"))
+    met = shared.groupBy("member").agg(F.sum("size").alias("met"))
+    order = Window.partitionBy("key").orderBy(F.desc("met"), "member").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    pivot = F.struct("member", "n")
+    pivots = F.filter(F.array(*[F.nth_value(pivot, k + 1).over(order) for k in range(PIVOTS)]), lambda p: p.isNotNull())
+    return shared.join(met, "member").withColumn("pivots", pivots).drop("met")
 
 
 def pivot_pairs(pivoted: DataFrame, percent: int) -> DataFrame:
     """a, b, n_keys: members and pivots whose sizes allow a link, and in how many buckets they meet."""
-    pair = pivoted.select("member", "n", F.explode("pivots").alias("p")).where("p.member is not null and p.member <> member")
-    pair = pair.where(F.expr(f"100 * least(n, p.n) >= {percent} * greatest(n, p.n)"))
+    pair = pivoted.select("member", "n", F.transform("pivots", lambda p: p["member"]).alias("all"), F.explode("pivots").alias("p"))
+    # Two pivots of one bucket meet once in it.
+    pair = pair.where("p.member < member or (p.member > member and not array_contains(all, member))")
+    pair = pair.where(f"100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
     return pair.groupBy(F.greatest("member", "p.member").alias("a"), F.least("member", "p.member").alias("b")).agg(F.count(F.lit(1)).alias("n_keys"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose ``sets`` (member, tokens) reach the Jaccard similarity."""
-    both = pairs.select("a", "b").join(sets.select(F.col("member").alias("a"), F.col("tokens").alias("x")), "a")
-    both = both.join(sets.select(F.col("member").alias("b"), F.col("tokens").alias("y")), "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("bigint").alias("s"), (F.size("x") + F.size("y")).alias("t"))
-    return shared.where(f"100 * s >= {percent} * (t - s)").select("a", "b")
+def verified(pairs: DataFrame, texts: DataFrame, sets, percent: int) -> DataFrame:
+    """The pairs (a, b) that reach the Jaccard similarity."""
+    both = pairs.select("a", "b").join(texts.select(F.col("member").alias("a"), F.col("text").alias("x")), "a")
+    both = both.join(texts.select(F.col("member").alias("b"), F.col("text").alias("y")), "b")
+
+    def run(batches):
+        for batch in slices(batches, "x"):
+            keep = []
+            for x, y in zip(sets(batch.column(2)), sets(batch.column(3))):
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, EDGES)
+
 
+def left_over(pivoted: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Visitors and hosts (key, member): of buckets of more than PIVOTS + 1 members that ``groups`` (node, component) leaves apart.
 
-def left_over(pivoted: DataFrame, links: DataFrame) -> DataFrame:
-    """key, member: in buckets of more than PIVOTS + 1, the members that no pivot of the bucket took."""
-    large = pivoted.where(F.col("size") > PIVOTS + 1)
-    pair = large.select("key", "member", F.explode("pivots").alias("p"))
-    a, b = F.greatest("member", "p.member"), F.least("member", "p.member")
-    known = links.select("a", "b", F.lit(True).alias("linked"))
-    seen = pair.select("key", "member", a.alias("a"), b.alias("b")).join(known, ["a", "b"], "left")
-    taken = seen.groupBy("key", "member").agg(F.max(F.coalesce("linked", F.lit(False)) | (F.col("a") == F.col("b"))).alias("taken"))
-    return taken.where("not taken").select("key", "member")
+    Visitors are the members outside the bucket's largest component, hosts all members.
+    Of buckets with the same members one is taken.
+    """
+    large = pivoted.where(F.col("size") > PIVOTS + 1).select("key", "member")
+    print_ = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("member") % (1 << 40)), F.bit_xor(F.xxhash64("member")))
+    once = large.groupBy("key").agg(print_.alias("f")).groupBy("f").agg(F.min("key").alias("key")).select("key")
+    placed = large.join(once, "key").join(groups.withColumnRenamed("node", "member"), "member", "left")
+    placed = cut(placed.select("key", "member", F.coalesce("component", "member").alias("component")))
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    tops = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    apart = placed.join(tops, "key")
+    return apart.where("component <> top.component").select("key", "member"), apart.select("key", "member")
 
 
 def _tiled(rows: DataFrame, own: str, other: str, counts: DataFrame) -> DataFrame:
@@ -65,19 +104,19 @@ def _tiled(rows: DataFrame, own: str, other: str, counts: DataFrame) -> DataFram
     return rows.join(counts, "key").select("key", "member", tile.alias(f"{own}_tile"), copies.alias(f"{other}_tile"), F.lit(own == "visitor").alias("visits"))
 
 
-def opened(visitors: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links a, b between visitors and members (key, member each) of a key, as forests of tiles."""
-    counts = visitors.groupBy("key").agg(F.count(F.lit(1)).alias("n_visitor")).join(members.groupBy("key").agg(F.count(F.lit(1)).alias("n_host")), "key")
-    both = _tiled(visitors, "visitor", "host", counts).unionByName(_tiled(members, "host", "visitor", counts))
-    rows = both.join(sets.select("member", "tokens"), "member")
+def opened(visitors: DataFrame, hosts: DataFrame, texts: DataFrame, sets, percent: int) -> DataFrame:
+    """Links a, b between visitors and hosts (key, member each) of a key, as forests of tiles."""
+    counts = visitors.groupBy("key").agg(F.count(F.lit(1)).alias("n_visitor")).join(hosts.groupBy("key").agg(F.count(F.lit(1)).alias("n_host")), "key")
+    both = _tiled(visitors, "visitor", "host", counts).unionByName(_tiled(hosts, "host", "visitor", counts))
+    rows = both.join(texts, "member")
 
     def compare(group: pa.Table) -> pa.Table:
         flags = group.column("visits").to_numpy()
         names = group.column("member").to_numpy()
-        tokens = [np.unique(x.values.to_numpy()) for x in group.column("tokens")]
-        guests, hosts = np.flatnonzero(flags), np.flatnonzero(~flags)
-        i, j = linked([tokens[g] for g in guests], [tokens[h] for h in hosts], percent)
-        edges = forest_edges(names[guests][i], names[hosts][j])
+        own = sets(group.column("text").combine_chunks())
+        guests, rest = np.flatnonzero(flags), np.flatnonzero(~flags)
+        i, j = linked([own[g] for g in guests], [own[h] for h in rest], percent)
+        edges = forest_edges(names[guests][i], names[rest][j])
         return pa.table([pa.array([x for x, _ in edges], pa.int64()), pa.array([y for _, y in edges], pa.int64())], names=["a", "b"])
 
     return rows.groupBy("key", "visitor_tile", "host_tile").applyInArrow(compare, EDGES)
