@@ -7,7 +7,7 @@ import types
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A task works on slices of a batch of about this much text (or one text, if longer).
@@ -23,6 +23,16 @@ def id_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A hash of id and text: rows that differ in one of them have keys of their own, in every run of a task."""
+    return F.xxhash64(doc_id.cast("bigint"), text.cast("string"))
+
+
+def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id_text`` and the key of each row."""
+    return id_text(docs, doc_id, text).withColumn("row", row_key(F.col("doc_id"), F.col("text")))
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches by the size of their texts, so that memory is bounded by the slice or the longest text."""
     import pyarrow as pa

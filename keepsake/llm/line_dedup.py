@@ -7,17 +7,18 @@ signature of its distinct shingles of ``WIDTH`` characters, cut into ``BANDS`` b
 of ``ROWS`` values: lines of a similarity of 0.8 share a band with a chance above
 0.99. Classes that share a band are compared exactly (``linking``), components of
 links are found (``components``), and of each component the first line by
-(doc_id, line number) is kept.
+(doc_id, row key, line number) is kept. A row's key is a hash of its id and text.
 
 Texts are read three times and never gathered: for the signatures, for the
 shingles of classes that share a band, and to take the lines out. Shared arrays
-have fixed sizes (``sketches``). Rows of a hot line carry 24 bytes and fold in the
+have fixed sizes (``sketches``). Rows of a hot line carry 32 bytes and fold in the
 task that reads them.
 
-Defined cases: a null text stays null and has no line; rows with one doc_id count
-as copies of one document, so they keep the same lines; rows with null doc_id come
-last in the choice of what is kept; an empty table gives an empty result; other
-columns pass through ``clean``. Classes are told apart by a 64-bit hash.
+Defined cases: a null text stays null and has no line; rows with one doc_id are
+documents of their own, and of rows with equal id and text one keeps its lines;
+rows with null doc_id come last in the choice of what is kept; an empty table gives
+an empty result; other columns pass through ``clean``. Classes are told apart by a
+64-bit hash.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.llm import linking
-from keepsake.llm.common import id_text, slices
+from keepsake.llm.common import id_text, keyed, row_key, slices
 from keepsake.llm.components import components
 from keepsake.llm.hashing import _BASE, _BASE_INVERSE, _WHITE, PIECE, _power_table, list_array, mix, text_bytes
 from keepsake.llm.sketches import within
@@ -43,7 +44,7 @@ BINS = BANDS * ROWS
 # A task forgets which lines it has seen beyond so many; they are then described again.
 SEEN_LINES = 200_000
 
-LINES = "doc_id bigint, line bigint, class bigint, bands array<bigint>"
+LINES = "doc_id bigint, row bigint, line bigint, class bigint, bands array<bigint>"
 
 _NEWLINE = 10
 _POINTS = mix(np.arange(1, 1 << 14, dtype=np.uint64))
@@ -173,8 +174,8 @@ def described(docs: DataFrame) -> DataFrame:
             held[fresh] = BANDS
             signature = pc.if_else(pa.array(held > 0), list_array(keys.reshape(-1), held), None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(lines.row)), pa.array(lines.line), pa.array(classes.view(np.int64)), signature],
-                names=["doc_id", "line", "class", "bands"],
+                [*(batch.column(i).take(pa.array(lines.row)) for i in (0, 2)), pa.array(lines.line), pa.array(classes.view(np.int64)), signature],
+                names=["doc_id", "row", "line", "class", "bands"],
             )
 
     return docs.mapInArrow(run, LINES)
@@ -198,11 +199,11 @@ def _texts(docs: DataFrame, wanted) -> DataFrame:
     return docs.mapInArrow(run, linking.TEXTS)
 
 
-def surplus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, line, class, keeper (doc_id and line of the one kept) of every line to take out."""
+def shared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """row, line, class and kept of every line that has copies; of rows with one key all have the kept line or none."""
     plain = id_text(docs, doc_id, text)
-    lines = cut(described(plain))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line")
+    lines = cut(described(keyed(docs, doc_id, text)))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "line")
     classes = cut(lines.groupBy("class").agg(F.min(place).alias("place"), F.first("bands", True).alias("bands"), F.count(F.lit(1)).alias("lines")))
     buckets = classes.select(F.explode("bands").alias("key"), F.col("class").alias("member"), F.lit(1).alias("n"))
     pivoted = cut(linking.with_pivots(buckets))
@@ -216,17 +217,32 @@ def surplus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
     joined = classes.join(found.withColumnRenamed("node", "class"), "class", "left").select("class", component.alias("component"), "place", "lines")
     keepers = joined.groupBy("component").agg(F.min("place").alias("keeper"), F.sum("lines").alias("all_lines")).where("all_lines > 1")
     of_class = joined.select("class", "component").join(keepers, "component").select("class", "keeper")
-    out = lines.select("doc_id", "line", "class").join(of_class, "class")
-    kept = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("line") == F.col("keeper.line"))
-    return out.where(~kept).select("doc_id", "line", "class", F.struct("keeper.doc_id", "keeper.line").alias("keeper"))
+    kept = (F.col("row") == F.col("keeper.row")) & (F.col("line") == F.col("keeper.line"))
+    return lines.select("row", "line", "class").join(of_class, "class").select("row", "line", "class", kept.alias("kept"))
+
+
+def _dropped(docs: DataFrame, out: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``row`` (all columns of ``docs`` as a struct) and ``gone``, the numbers of its lines to take out."""
+    every = F.collect_set("line")
+    drops = out.groupBy(F.col("row").alias("key")).agg(F.collect_set(F.when(~F.col("kept"), F.col("line"))).alias("gone"), every.alias("every"), F.count(F.lit(1)).alias("n"))
+    # Of rows with one key each line is there as often as the row.
+    drops = drops.select("key", "gone", F.when(F.col("n") > F.size("every"), F.col("every")).alias("every"))
+    drops = cut(drops.where("size(gone) > 0 or every is not null"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), row_key(F.col(doc_id), F.col(text)).alias("key"))
+    joined = rows.join(drops, "key", "left")
+    repeated = drops.where("every is not null")
+    if repeated.isEmpty():
+        return joined.select("row", "gone")
+    # The first of equal rows keeps its lines, the others lose all that take part. Places are written before they are compared.
+    placed = cut(rows.join(repeated, "key").withColumn("place", F.monotonically_increasing_id()))
+    first = placed.groupBy("key").agg(F.min("place").alias("place")).select("place", F.lit(True).alias("first"))
+    decided = placed.join(first, "place", "left").select("row", F.when(F.col("first"), F.col("gone")).otherwise(F.col("every")).alias("gone"))
+    return joined.where("every is null").select("row", "gone").unionByName(decided)
 
 
 def counted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """``row`` (all columns of ``docs`` as a struct), ``text`` without surplus lines, n_lines and n_dropped."""
-    out = surplus(docs, doc_id, text, percent).distinct()
-    drops = out.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("line").alias("gone"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    joined = rows.join(drops, F.col("row").getField(doc_id).cast("bigint").eqNullSafe(F.col("id")), "left")
+    joined = _dropped(docs, shared(docs, doc_id, text, percent), doc_id, text)
     whole = F.col("row").getField(text).cast("string")
     parts = F.split(whole, "\n")
     gone = F.coalesce("gone", F.array().cast("array<bigint>"))

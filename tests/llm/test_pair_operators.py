@@ -175,6 +175,23 @@ def test_line_dedup_of_odd_rows(odd, none):
     assert line_dedup.clean(none).count() == 0
 
 
+def test_line_dedup_tells_rows_of_one_id_apart(spark):
+    rng = random.Random(21)
+    a, b, c, d = (sentence(rng, 12) for _ in range(4))
+    rows = [(None, f"{a}\n{b}", 1), (None, f"{c}\n{a}", 2), (4, f"{d}\n{a}", 3), (4, f"{b}\n{d}", 4), (5, f"{c}x", 5)]
+    own = sentence(rng, 12)
+    rows += [(6, f"{own}\nfew words", 6)] * 3 + [(None, sentence(rng, 12), 7)] * 2
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n bigint").repartition(3)
+    got = [(r.doc_id, r.text, r.n) for r in line_dedup.clean(docs).collect()]
+    lines = [x for _, t, _ in got for x in t.split("\n") if len(words(x)) >= 5]
+    # Each line once, whatever the ids; no document is emptied of lines that it alone has.
+    assert sorted(lines) == sorted([a, b, d, f"{c}x", own, rows[-1][1]])
+    texts = {n: [t for _, t, m in got if m == n] for _, _, n in rows}
+    assert texts[1] == texts[2] == [""] and texts[5] == [f"{c}x"]
+    assert sorted(texts[6]) == sorted(["few words", "few words", f"{own}\nfew words"]) and sorted(texts[7]) == ["", rows[-1][1]]
+    assert all(r.n_lines - r.n_dropped == len([x for x in r.text.split("\n") if x]) for r in line_dedup.counted(docs).collect())
+
+
 @pytest.mark.parametrize("members", [2, 5, 6, 40])
 def test_pivots_cover_small_buckets(spark, members):
     buckets = spark.range(members).select(F.lit(1).cast("bigint").alias("key"), F.col("id").alias("member"), F.lit(10).alias("n"))
