@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without surplus lines; one that has no word left was a copy and goes. ``n_chars`` follows the text."""
-    out = line_dedup.clean(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = line_dedup.clean(docs, least_words=line_dedup.EVERY).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 

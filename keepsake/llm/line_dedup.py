@@ -1,7 +1,9 @@
 """Fuzzy line dedup: MinHash on character shingles, banding, exact Jaccard, union-find.
 
 Lines are the parts between ``\\n``, without the white space around them. Lines of
-at least ``LEAST_WORDS`` words take part; shorter ones recur by chance and stay.
+at least ``least_words`` words take part: of ``EVERY`` all that are not blank, as in
+the query and the pipeline, else those of ``LEAST_WORDS`` or more. A line shorter
+than a shingle links with equal lines only.
 Equal lines fold to one class first. A class has a one-permutation MinHash
 signature of its distinct shingles of ``WIDTH`` characters, cut into ``BANDS`` bands
 of ``ROWS`` values: lines of a similarity of 0.8 share a band with a chance above
@@ -23,6 +25,8 @@ an empty result; other columns pass through ``clean``. Classes are told apart by
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,6 +43,8 @@ from keepsake.session import cut
 PERCENT = 80
 WIDTH = 8
 LEAST_WORDS = 5
+# Words are cut at ASCII white space, so only this takes in lines of scripts without it.
+EVERY = 1
 BANDS, ROWS = 8, 3
 BINS = BANDS * ROWS
 # A task forgets which lines it has seen beyond so many; they are then described again.
@@ -54,7 +60,7 @@ _SALTS = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 class Lines:
     """The lines that take part of the texts of a column: rows, numbers, classes and places."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, least_words: int = LEAST_WORDS):
         raw, rows = text_bytes(column)
         white = _WHITE[raw]
         n = len(raw)
@@ -73,7 +79,7 @@ class Lines:
         before = np.concatenate([[0], np.cumsum(word_first)])
         words = before[ends] - before[starts]
         line = np.arange(len(starts)) - np.searchsorted(starts, rows[:-1])[np.minimum(row, len(rows) - 2)] if len(starts) else starts
-        use = words >= LEAST_WORDS
+        use = words >= least_words
         solid = np.flatnonzero(inside)
         self.raw, self.row, self.line = raw, row[use], line[use]
         starts, ends = starts[use], ends[use]
@@ -155,13 +161,13 @@ def bands(hashes: np.ndarray, many: np.ndarray) -> np.ndarray:
     return key + _SALTS
 
 
-def described(docs: DataFrame) -> DataFrame:
+def described(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """One row per line that takes part; the signature comes with the first of equal lines of a task."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in slices(batches):
-            lines = Lines(batch.column(1))
+            lines = Lines(batch.column(1), least_words)
             classes = lines.classes()
             own, first = np.unique(classes, return_index=True)
             fresh = np.sort(first[[c not in seen for c in own.tolist()]]) if len(own) else first
@@ -181,13 +187,13 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, LINES)
 
 
-def _texts(docs: DataFrame, wanted) -> DataFrame:
+def _texts(docs: DataFrame, wanted, least_words: int = LEAST_WORDS) -> DataFrame:
     """Lines whose class may be among those of a bit set, once per task."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in slices(batches):
-            lines = Lines(batch.column(1))
+            lines = Lines(batch.column(1), least_words)
             classes = lines.classes()
             own, first = np.unique(classes, return_index=True)
             fresh = first[within(wanted.value, own.view(np.int64)) & np.array([c not in seen for c in own.tolist()], bool)]
@@ -199,16 +205,16 @@ def _texts(docs: DataFrame, wanted) -> DataFrame:
     return docs.mapInArrow(run, linking.TEXTS)
 
 
-def shared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def shared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
     """row, line, class and kept of every line that has copies; of rows with one key all have the kept line or none."""
     plain = id_text(docs, doc_id, text)
-    lines = cut(described(keyed(docs, doc_id, text)))
+    lines = cut(described(keyed(docs, doc_id, text), least_words))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "line")
     classes = cut(lines.groupBy("class").agg(F.min(place).alias("place"), F.first("bands", True).alias("bands"), F.count(F.lit(1)).alias("lines")))
     buckets = classes.select(F.explode("bands").alias("key"), F.col("class").alias("member"), F.lit(1).alias("n"))
     pivoted = cut(linking.with_pivots(buckets))
     pairs = linking.pivot_pairs(pivoted, percent)
-    texts = linking.texts_of(plain, pivoted.select("member").distinct(), _texts)
+    texts = linking.texts_of(plain, pivoted.select("member").distinct(), partial(_texts, least_words=least_words))
     links = cut(linking.verified(pairs, texts, line_sets, percent))
     groups = components(links)
     visitors, hosts = linking.left_over(pivoted, groups)
@@ -240,9 +246,9 @@ def _dropped(docs: DataFrame, out: DataFrame, doc_id: str, text: str) -> DataFra
     return joined.where("every is null").select("row", "gone").unionByName(decided)
 
 
-def counted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def counted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
     """``row`` (all columns of ``docs`` as a struct), ``text`` without surplus lines, n_lines and n_dropped."""
-    joined = _dropped(docs, shared(docs, doc_id, text, percent), doc_id, text)
+    joined = _dropped(docs, shared(docs, doc_id, text, percent, least_words), doc_id, text)
     whole = F.col("row").getField(text).cast("string")
     parts = F.split(whole, "\n")
     gone = F.coalesce("gone", F.array().cast("array<bigint>"))
@@ -256,7 +262,7 @@ def counted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
     )
 
 
-def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with surplus lines taken out of their texts."""
-    done = counted(docs, doc_id, text, percent)
+    done = counted(docs, doc_id, text, percent, least_words)
     return done.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -192,6 +192,15 @@ def test_line_dedup_tells_rows_of_one_id_apart(spark):
     assert all(r.n_lines - r.n_dropped == len([x for x in r.text.split("\n") if x]) for r in line_dedup.counted(docs).collect())
 
 
+def test_short_lines_and_lines_without_spaces_take_part(spark):
+    lines = ["Les.", "a", "日本語の行には空白がないので一語と数えられる" * 2, "Share this page"]
+    near = lines[2][:-1] + "五"
+    rows = [(1, "\n".join(lines)), (2, "\n".join([" Les. ", "", "b", near])), (3, "\n".join(["a", *lines[2:]]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    got = {r.doc_id: r.text for r in line_dedup.clean(docs, least_words=line_dedup.EVERY).collect()}
+    assert got == {1: rows[0][1], 2: "\nb", 3: ""}
+
+
 @pytest.mark.parametrize("members", [2, 5, 6, 40])
 def test_pivots_cover_small_buckets(spark, members):
     buckets = spark.range(members).select(F.lit(1).cast("bigint").alias("key"), F.col("id").alias("member"), F.lit(10).alias("n"))
