@@ -26,10 +26,12 @@ are made anew from the texts; a bit set of fixed size keeps most others out.
 
 Defined cases: null or wordless texts have an empty set and are a component of
 their own each; a text of one to four words has its whole sequence as its one
-shingle; rows of one doc_id are joined as one document if one of their texts links
-(rows with null doc_id form no component and keep null); an empty table gives an
-empty result; other columns pass through ``clean``. Sets are told apart by a 64-bit
-hash of their shingles' hashes.
+shingle; rows are joined by their texts, so rows of one doc_id may lie in several
+components, and a component whose rows all have null doc_id has a null id; ``clean``
+keeps one row of each component, rows with null doc_id last, and all rows with an
+empty set; an empty table gives an empty result; other columns pass through
+``clean``. Sets are told apart by a 64-bit hash of their shingles' hashes, rows by
+one of id and text.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.llm import linking
-from keepsake.llm.common import id_text, slices
+from keepsake.llm.common import keyed, row_key, slices
 from keepsake.llm.components import components
 from keepsake.llm.hashing import list_array, mix, sets
 from keepsake.llm.sketches import gathered, sliced, within
@@ -52,7 +54,7 @@ LEAST_KEYS = 3
 ORDER_BITS = 20
 SEEN_SETS = 200_000
 
-SIGNATURES = "doc_id bigint, class bigint, n bigint, keys array<bigint>, slice int, cells binary"
+SIGNATURES = "doc_id bigint, row bigint, class bigint, n bigint, keys array<bigint>, slice int, cells binary"
 PREFIXES = "class bigint, n bigint, tokens array<bigint>"
 
 _ODD = mix(np.arange(101, 101 + KEYS, dtype=np.uint64)) | np.uint64(1)
@@ -90,17 +92,18 @@ def signatures(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array([set_class(s) for s in own], pa.int64()),
                     pa.array(sizes),
                     list_array(keys.reshape(-1), np.where(sizes > 0, KEYS, 0)),
                     pa.nulls(len(own), pa.int32()),
                     pa.nulls(len(own), pa.binary()),
                 ],
-                names=["doc_id", "class", "n", "keys", "slice", "cells"],
+                names=["doc_id", "row", "class", "n", "keys", "slice", "cells"],
             )
         part = sliced(counts)
-        blank = [pa.nulls(part.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*blank, *part.columns], names=["doc_id", "class", "n", "keys", "slice", "cells"])
+        blank = [pa.nulls(part.num_rows, t) for t in (*[pa.int64()] * 4, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*blank, *part.columns], names=["doc_id", "row", "class", "n", "keys", "slice", "cells"])
 
     return docs.mapInArrow(run, SIGNATURES)
 
@@ -209,9 +212,9 @@ def _opened_links(plain: DataFrame, groups: DataFrame, counts: np.ndarray, perce
 
 
 def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """doc_id, class, n of every row; and links a, b that connect every component of classes."""
+    """doc_id, row, class, n of every row of a keyed table; and links a, b that connect every component of classes."""
     made = cut(signatures(docs))
-    rows = made.where("slice is null").select("doc_id", "class", "n")
+    rows = made.where("slice is null").select("doc_id", "row", "class", "n")
     classes = cut(made.where("slice is null and n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("keys").alias("keys")))
     counts = gathered(made.where("slice is not null"), 1 << ORDER_BITS, "u4", np.add)
     links, groups = _grouped(classes, docs, percent)
@@ -221,7 +224,7 @@ def classes_and_links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFram
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the least doc_id reachable by links."""
-    rows, links = classes_and_links(id_text(docs, doc_id, text), percent)
+    rows, links = classes_and_links(keyed(docs, doc_id, text), percent)
     found = components(links).select(F.col("node").alias("class"), "component")
     placed = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("first")).join(found, "class", "left")
     placed = cut(placed.select("class", "first", F.coalesce("component", "class").alias("component")))
@@ -232,7 +235,20 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: i
 
 
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component: that of the least doc_id."""
-    found = join(docs, doc_id, text, percent)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs[doc_id].cast("bigint") == gone["_id"], "left_anti")
+    """``docs`` with one row of each component: that of the least doc_id, then of the least row key."""
+    rows, links = classes_and_links(keyed(docs, doc_id, text), percent)
+    found = components(links).select(F.col("node").alias("class"), "component")
+    own = rows.where("n > 0").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("class").alias("class"), F.count(F.lit(1)).alias("times"))
+    own = cut(own.join(found, "class", "left").select("row", "doc_id", "times", F.coalesce("component", "class").alias("component")))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "times")
+    kept = cut(own.groupBy("component").agg(F.min(place).alias("keeper")).select(F.col("keeper.row").alias("_row"), F.col("keeper.times").alias("_times")))
+    gone = own.select(F.col("row").alias("_row")).join(kept.where("_times = 1"), "_row", "left_anti")
+    key = row_key(docs[doc_id], docs[text])
+    left = docs.join(gone, key == gone["_row"], "left_anti")
+    repeated = kept.where("_times > 1").select("_row")
+    if repeated.isEmpty():
+        return left
+    # Of rows with equal id and text any one, chosen once.
+    equal = docs.select(F.struct(*docs.columns).alias("whole"), key.alias("_row")).join(repeated, "_row")
+    one = cut(equal.groupBy("_row").agg(F.first("whole").alias("whole")))
+    return left.unionByName(one.select(*[F.col("whole").getField(c).alias(c) for c in docs.columns]))

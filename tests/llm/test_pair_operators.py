@@ -110,6 +110,18 @@ def test_jaccard_of_odd_rows(odd, none):
     assert jaccard_join.join(none).count() == jaccard_join.clean(none).count() == 0
 
 
+def test_jaccard_clean_chooses_by_row(spark):
+    rng = random.Random(22)
+    a, b, c, d, e = (sentence(rng, 40) for _ in range(5))
+    rows = [(3, a, 1), (5, a, 2), (5, b, 3), (None, a, 4), (None, c, 5), (None, c, 6), (None, c + " end", 7)]
+    rows += [(6, d, 8), (6, d, 8), (6, d + " end", 9), (None, e, 10), (7, None, 11), (7, "", 12), (7, "", 12)]
+    left = jaccard_join.clean(spark.createDataFrame(rows, "doc_id bigint, text string, n bigint").repartition(3)).collect()
+    got = sorted(r.n for r in left)
+    of_c, of_d = [n for n in got if n in (5, 6, 7)], [n for n in got if n in (8, 9)]
+    assert len(of_c) == len(of_d) == 1
+    assert [n for n in got if n not in of_c + of_d] == [1, 3, 10, 11, 12, 12]
+
+
 def plain_dedup(rows):
     """Texts after dedup, and (doc, line) of the lines taken out."""
     lines = [(i, n, x.strip(" \t\n\r\x0b\x0c")) for i, t in rows for n, x in enumerate((t or "").split("\n")) if len(words(x)) >= 5]
