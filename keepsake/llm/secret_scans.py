@@ -34,9 +34,9 @@ LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 KINDS = ("assign", "access", "hex", "random")
 
 # Random runs: least length, and fewer characters per token than this.
-LEAST_RUN = 20
+LEAST_RUN = 16
 CHARS_PER_TOKEN = 2.0
-RUN = rb"[A-Za-z0-9+/_=-]{20,}"
+RUN = rb"[A-Za-z0-9+/_=-]{16,}"
 DIGEST = rb"[0-9a-fA-F]+"
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 UUID = rb"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
@@ -81,7 +81,7 @@ class Scanner:
     def is_random(self, run: bytes) -> bool:
         if self.uuid.fullmatch(run) or (self.digest.fullmatch(run) and len(run) in DIGEST_LENGTHS):
             return False
-        if run.isdigit() or not re.search(rb"[0-9]", run) or not re.search(rb"[A-Za-z]", run):
+        if not re.search(rb"[A-Za-z]", run):
             return False
         if self.identifier.fullmatch(run) and len(re.findall(rb"[A-Za-z]{4,}", run)) * 12 >= len(run):
             return False

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -103,6 +104,17 @@ def test_random_strings(spark, text, found):
         assert text[int(start) : int(end)] == "Zx8Qv1LmT0aWp93KfHd2RbYc7"
 
 
+def test_random_strings_without_digits_and_of_16_characters():
+    scanner = secret_scans.Scanner(secret_scans.tiktoken_encoding(RANKS))
+    rng = random.Random(4)
+    for alphabet, size, least in ((string.ascii_letters, 32, 0.99), (string.ascii_letters, 16, 0.99), (string.ascii_lowercase, 40, 0.95), (string.ascii_letters + string.digits, 16, 0.95)):
+        runs = ["".join(rng.choice(alphabet) for _ in range(size)) for _ in range(300)]
+        found = sum(scanner.spans(f"see {x} there".encode()) == [(4, 3, 4 + size)] for x in runs)
+        assert found >= least * len(runs), (alphabet, size, found)
+    plain = "internationalization Geschwindigkeitsbegrenzung getUserAccountSettings anticonstitucionalmente aaaaaaaaaaaaaaaaaaaaaaaa ==================== some/path/of/plain/words 1234567890123456-7890"
+    assert scanner.spans(plain.encode()) == []
+
+
 def test_secret_scan_of_odd_rows(odd, none):
     assert secret_scans.scan(odd, RANKS).count() == odd.count()
     assert secret_scans.scan(none, RANKS).count() == 0
