@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm import curve_packing, decontamination, jaccard_join, language_id, line_dedup, quality_rules, secret_scans, token_store, url_filters, warc_fixity
+from keepsake.llm import curve_packing, decontamination, exact_dedup, filter_audit, jaccard_join, language_id, line_dedup
+from keepsake.llm import periodic_runs, quality_rules, secret_scans, token_store, url_filters, warc_fixity
 from keepsake.llm.common import table
 from keepsake.session import ensure_checkpoint_dir
 
@@ -154,3 +155,90 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_line_dedup")
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.counted(table(spark, sf_dir, "documents"), least_words=line_dedup.EVERY).select("row.doc_id", "n_lines", "n_dropped", "text")
+
+
+def with_cycles(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``; the words of one document in ten repeat with a period from some word on.
+
+    Which documents, from where and with what period follows from crc32 of the id; a null id is left as it is.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    cycled = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
+    cycled = cycled.select("doc_id", "text", "words", F.size("words").cast("bigint").alias("n"), F.floor(F.col("h") / 10).alias("g"))
+    cycled = cycled.select("doc_id", "text", "words", "n", "g", F.expr("if(n > 0, g % n, 0)").alias("a"))
+    cycled = cycled.select("doc_id", "text", "words", "n", "a", F.expr("1 + (n - a) div (3 + g % 8)").alias("p"))
+    again = F.expr("transform(sequence(0L, n - 1), i -> get(words, cast(if(i < a, i, a + (i - a) % p) as int)))")
+    return cycled.select("doc_id", F.when(F.col("n") > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find(with_cycles(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    shown = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), longest.alias("top"), F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return shown.select(
+        "doc_id",
+        "n_runs",
+        (-F.col("top.start")).alias("start"),
+        F.col("top.length").alias("length"),
+        (-F.col("top.period")).alias("period"),
+        F.expr("1000 * top.length div -top.period").alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
+OP12 = r"""
+with d as (select doc_id, coalesce(text, '') as text, coalesce(source, '') as part from documents),
+t as (select text, min(doc_id) as least from d group by text),
+l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words from d),
+m as (
+  select w.part, coalesce(l.good, 0) as good, coalesce(l.toxic, 0) as toxic,
+         case when len(words) < 200 then 1 else 0 end + case when 100 * len(list_distinct(words)) < 50 * len(words) then 2 else 0 end
+         + case when 100 * length(regexp_replace(w.text, '[^A-Z]', '', 'g')) > 2 * length(w.text) then 4 else 0 end
+         + case when regexp_matches(w.text, '[#$%&*|]') then 8 else 0 end + case when t.least < w.doc_id then 16 else 0 end as bits
+  from w join t on w.text = t.text left join l on w.doc_id = l.doc_id),
+c as (select part, bits, count(*) as n, sum(good) as good, sum(toxic) as toxic from m group by part, bits),
+f(letter, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o as (
+  select a.letter || b.letter || x.letter || y.letter || z.letter as filter_order
+  from f a, f b, f x, f y, f z where a.bit + b.bit + x.bit + y.bit + z.bit = 31 and (a.bit | b.bit | x.bit | y.bit | z.bit) = 31),
+s as (
+  select filter_order, cast(step as integer) as step, f.bit,
+         coalesce((select sum(g.bit) from f g where contains(substr(filter_order, 1, cast(step as integer) - 1), g.letter)), 0) as gone
+  from o, range(1, 6) r(step), f where f.letter = substr(filter_order, cast(step as integer), 1)),
+k as (
+  select part, filter_order, step, bit,
+         sum(case when bits & cast(gone as integer) = 0 and bits & bit = 0 then n else 0 end) as kept,
+         sum(case when bits & cast(gone as integer) = 0 and bits & bit > 0 then n else 0 end) as removed,
+         sum(case when bits & cast(gone as integer) > 0 and bits & bit > 0 then n else 0 end) as redundant,
+         sum(case when bits = bit then n else 0 end) as unique_fails,
+         sum(case when bits & cast(gone as integer) = 0 and bits & bit > 0 then good else 0 end) as good_lost,
+         sum(case when bits & cast(gone as integer) = 0 and bits & bit > 0 then toxic else 0 end) as toxic_lost
+  from c, s group by part, filter_order, step, bit)
+select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+       cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+       cast(sum(removed) over (partition by part, bit) as bigint) as shapley
+from k
+"""
+
+
+@query("op12_filter_audit", OP12)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13 = """
+with d as (select doc_id, coalesce(text, '') as text from documents)
+select doc_id, max(doc_id) over (partition by text) as keep_id, count(*) over (partition by text) as group_size,
+       doc_id = max(doc_id) over (partition by text) as kept, sha256(text) as text_sha256
+from d
+"""
+
+
+@query("op13_exact_dedup", OP13)
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"), keep=exact_dedup.GREATEST)
