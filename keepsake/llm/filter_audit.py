@@ -15,7 +15,7 @@
 Defined cases: a null text counts as empty, and all empty texts as equal; a null part as
 the empty string; a document with a null doc_id is no copy and makes none. Rows that
 repeat id and text count one by one. Of several label rows of an id one that says so is
-enough. Null or missing labels are 0. Empty tables give an empty result. Other columns
+enough; a label without an id belongs to no row. Null or missing labels are 0. Empty tables give an empty result. Other columns
 are ignored, whatever their names.
 """
 
