@@ -11,6 +11,7 @@ from keepsake.functions import text as tx
 from keepsake.operators import lifecycle, similarity
 from keepsake.operators.ranking import days_between
 from keepsake.plans.consolidate import consolidate
+from keepsake.session import cut
 
 NOW = f"TIMESTAMP '{d.AS_OF}'"
 
@@ -233,6 +234,26 @@ def similar_pairs(spark, sf):
     return pairs.join(a, "a").join(b, "b").select("a", "b", F.round("cosine", 4).alias("cosine"), "copies_a", "copies_b")
 
 
+NEAR = """near AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings UNION ALL
+  SELECT vec_id + 1000000, list_transform(embedding::DOUBLE[], lambda x, i: x + (vec_id % 5 + 1) * 0.125 * embedding[(i + 6) % len(embedding) + 1]) FROM embeddings)"""
+
+
+@query("banded_pairs_recall", "SIM1", f"""WITH {NEAR} SELECT count(*) AS exact_pairs, true AS recall_reached, true AS all_exact
+FROM near a JOIN near b ON a.id < b.id AND list_cosine_similarity(a.v, b.v) >= 0.85""")
+def banded_pairs_recall(spark, sf):
+    """The join by bands against the exact one, over vectors and mixtures of each with its own shifted self."""
+    e = d.embeddings(spark, sf).select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    own = e.select(F.col("vec_id").alias("id"), "v")
+    shifted = F.transform("v", lambda x, i: x + (F.col("vec_id") % 5 + 1) * 0.125 * F.get("v", (i + 7) % F.size("v")))
+    near = cut(own.unionByName(e.select((F.col("vec_id") + 1_000_000).alias("id"), shifted.alias("v"))))
+    exact = cut(similarity.similar_pairs(near, 0.85, "id", "v").select("a", "b"))
+    found = cut(similarity.banded_pairs(near, 0.85, "id", "v").select("a", "b"))
+    counts = exact.agg(F.count(F.lit(1)).alias("exact_pairs"))
+    share = found.join(exact, ["a", "b"], "left_semi").agg(F.count(F.lit(1)).alias("n"))
+    wrong = found.join(exact, ["a", "b"], "left_anti").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("exact_pairs", (share.scalar() >= 0.95 * F.col("exact_pairs")).alias("recall_reached"), (wrong.scalar() == 0).alias("all_exact"))
+
+
 FACT_PAIRS = f"""{d.FACT_VECTORS}, act AS MATERIALIZED (SELECT * FROM fact_vectors WHERE superseded_by IS NULL),
 cand AS MATERIALIZED (SELECT a.fact_id AS a, b.fact_id AS b, list_cosine_similarity(a.embedding, b.embedding) AS cosine, a.ts AS ta, b.ts AS tb
   FROM act a JOIN act b ON a.fact_id < b.fact_id AND list_cosine_similarity(a.embedding, b.embedding) >= 0.35)"""
@@ -284,7 +305,7 @@ def merge_clusters(spark, sf):
 
 
 @query("merged_rows", "LIF9", f"""{CLUSTER} SELECT keeper_id, count(*) AS consolidated_from, max(access_count) AS access_count, max(importance) AS importance,
-  sum(source_count)::BIGINT AS source_count, arg_min(content[1:500], -length(content) * 100000000 + fact_id) AS content FROM chosen JOIN facts ON fact_id = id GROUP BY keeper_id HAVING count(*) > 1""")
+  sum(source_count)::BIGINT AS source_count, arg_min(content, -length(content) * 100000000 + fact_id) AS content FROM chosen JOIN facts ON fact_id = id GROUP BY keeper_id HAVING count(*) > 1""")
 def merged_rows(spark, sf):
     keepers = merge_clusters(spark, sf)
     return lifecycle.merged_rows(d.facts(spark, sf), keepers, d.as_of()).select(
@@ -295,10 +316,10 @@ def merged_rows(spark, sf):
 AGED_CLUSTER = f"""WITH RECURSIVE {FACT_PAIRS}, edge AS MATERIALIZED (SELECT a, b FROM cand WHERE {AFF} >= 0.35),
 nodes AS (SELECT fact_id AS id, {AGED} AS importance, ts FROM act),
 {greedy_sql('nodes', 'edge', 'importance DESC, ts DESC, n.id')},
-res AS (SELECT c.id, c.keeper_id, {AGED} AS imp, {CONF} AS conf FROM chosen c JOIN act f ON f.fact_id = c.id)"""
+res AS (SELECT c.id, c.keeper_id, {AGED} AS imp, importance AS own, {CONF} AS conf FROM chosen c JOIN act f ON f.fact_id = c.id)"""
 
 
-@query("consolidation_report", "LIF18", f"""{AGED_CLUSTER} SELECT count(*) AS total_before, count(*) AS decayed,
+@query("consolidation_report", "LIF18", f"""{AGED_CLUSTER} SELECT count(*) AS total_before, count(*) FILTER (imp <> own) AS decayed,
   (SELECT count(*) FROM (SELECT keeper_id FROM res GROUP BY 1 HAVING count(*) > 1)) AS merged,
   count(*) FILTER (id <> keeper_id) AS superseded, count(*) FILTER (id = keeper_id AND (imp < 0.05 OR conf < 0.1)) AS pruned,
   count(*) FILTER (id = keeper_id AND NOT (imp < 0.05 OR conf < 0.1)) AS total_after FROM res""")
@@ -306,6 +327,31 @@ def consolidation_report(spark, sf):
     return consolidate(d.fact_vectors(spark, sf), d.as_of(), threshold=0.35).report
 
 
+CONSOLIDATED = f"""{AGED_CLUSTER}, every AS (SELECT f.*, e.entities, 1 + f.fact_id % 3 AS version FROM fact_vectors f JOIN fact_entities e USING (fact_id)),
+own AS (SELECT e.*, r.keeper_id, r.imp, r.conf FROM every e JOIN res r ON r.id = e.fact_id),
+taken AS (SELECT keeper_id, count(*) AS consolidated_from, arg_min(content, -length(content) * 100000000 + fact_id) AS content, arg_min(embedding, -length(content) * 100000000 + fact_id) AS embedding,
+  max(access_count) AS access_count, max(imp) AS importance, sum(source_count)::BIGINT AS source_count, max(version) + 1 AS version FROM own GROUP BY keeper_id HAVING count(*) > 1),
+united AS (SELECT keeper_id, list_sort(list_distinct(flatten(list(entities))))[1:5] AS entities FROM own GROUP BY keeper_id)
+SELECT o.fact_id, coalesce(t.version, o.version) AS version, sha256(coalesce(t.content, o.content)) AS content, round(coalesce(t.embedding, o.embedding)[1], 4) AS first_coordinate,
+  coalesce(t.access_count, o.access_count) AS access_count, round(coalesce(t.importance, o.imp), 4) AS importance, coalesce(t.source_count, o.source_count) AS source_count,
+  t.consolidated_from, CASE WHEN t.keeper_id IS NULL THEN epoch_ms(o.last_confirmed_ts) ELSE epoch_ms(TIMESTAMP '{d.AS_OF}') END AS last_confirmed, array_to_string(CASE WHEN t.keeper_id IS NULL THEN o.entities ELSE u.entities END, '|') AS entities,
+  CASE WHEN o.keeper_id <> o.fact_id THEN o.keeper_id::VARCHAR WHEN o.imp < 0.05 OR o.conf < 0.1 THEN 'pruned' END AS superseded_by,
+  CASE WHEN o.keeper_id <> o.fact_id THEN 'merged' WHEN o.imp < 0.05 THEN 'pruned' WHEN o.conf < 0.1 THEN 'confidence_expired' END AS superseded_reason
+FROM own o LEFT JOIN taken t ON t.keeper_id = o.fact_id LEFT JOIN united u ON u.keeper_id = o.fact_id
+UNION ALL SELECT fact_id, version, sha256(content), round(embedding[1], 4), access_count, round(importance, 4), source_count, NULL, epoch_ms(last_confirmed_ts), array_to_string(entities, '|'), superseded_by::VARCHAR, NULL FROM every WHERE superseded_by IS NOT NULL"""
+
+
+@query("consolidated_facts", "LIF18 LIF9 LIF10", CONSOLIDATED.replace(f"WITH RECURSIVE {d.FACT_VECTORS}", f"WITH RECURSIVE {d.FACT_ENTITIES}, {d.FACT_VECTORS.removeprefix(d.FACTS).removeprefix(', ')}"))
+def consolidated_facts(spark, sf):
+    """All rows of the version that a consolidation pass writes."""
+    rows = d.fact_vectors(spark, sf).withColumn("version", 1 + F.col("fact_id") % 3).join(d.fact_entities(spark, sf).select("fact_id", "entities"), "fact_id")
+    return consolidate(rows, d.as_of(), threshold=0.35).facts.select(
+        "fact_id", "version", F.sha2("content", 256).alias("content"), F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("first_coordinate"),
+        "access_count", F.round("importance", 4).alias("importance"), "source_count", "consolidated_from", F.unix_millis("last_confirmed_ts").alias("last_confirmed"),
+        F.array_join("entities", "|").alias("entities"), "superseded_by", "superseded_reason",
+    )
+
+
 PROC_PAIRS = f"""{d.PROCEDURE_VECTORS}, edge AS MATERIALIZED (SELECT a.proc_id AS a, b.proc_id AS b FROM procedure_vectors a JOIN procedure_vectors b
   ON a.proc_id < b.proc_id AND list_cosine_similarity(a.embedding, b.embedding) >= 0.92), nodes AS (SELECT proc_id AS id, success_count FROM procedures)"""
 

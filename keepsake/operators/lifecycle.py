@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.functions import decay
+from keepsake.operators.components import components
 from keepsake.operators.ordering import top_per_group
 from keepsake.operators.ranking import days_between
 from keepsake.session import cut
@@ -210,64 +215,131 @@ def merge_candidates_by_age(pairs: DataFrame, facts: DataFrame, as_of: Column, t
     return both.withColumn("combined", F.col(similarity) * factor).filter(F.col("combined") >= threshold).select("a", "b", similarity, "combined")
 
 
+# A component of at most so many pairs is decided in one task.
+COMPONENT_PAIRS = 200_000
+
+
+def _decided(batches):
+    """(id, keeper_id) of all nodes of whole components; rows are (component, id, turn, o_id, o_turn), better neighbours only.
+
+    Nodes have their turns within their component. In that order a node without a keeper
+    among its better neighbours keeps itself, any other goes to the first keeper of them.
+    """
+
+    def solve(rows: pa.Table) -> pa.RecordBatch:
+        columns = {c: rows.column(c).to_numpy() for c in ("component", "id", "turn", "o_id", "o_turn")}
+        order = np.lexsort((columns["o_turn"], columns["turn"], columns["component"]))
+        keeper: dict[int, int] = {}
+        for i, o in zip(columns["id"][order].tolist(), columns["o_id"][order].tolist()):
+            # A node that had its turn has a keeper; one without better neighbours never had one and keeps itself.
+            if keeper.setdefault(o, o) == o and keeper.get(i, i) == i and i != o:
+                keeper[i] = o
+            else:
+                keeper.setdefault(i, i)
+        return pa.RecordBatch.from_arrays([pa.array(list(keeper), pa.int64()), pa.array(list(keeper.values()), pa.int64())], names=["id", "keeper_id"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < COMPONENT_PAIRS:
+            continue
+        rows = pa.Table.from_batches(held)
+        # The last component may go on in the next batch.
+        names = rows.column("component").to_numpy()
+        whole = int(np.searchsorted(names, names[-1]))
+        if whole:
+            yield solve(rows.slice(0, whole))
+            held = rows.slice(whole).to_batches()
+    if held:
+        yield solve(pa.Table.from_batches(held))
+
+
 def choose_keepers(nodes: DataFrame, pairs: DataFrame, priority: list[str]) -> DataFrame:
     """(id, keeper_id): the result of one pass in priority order over the pair graph.
 
-    In each round every undecided node without an undecided better neighbour
-    becomes a keeper and its undecided neighbours become losers. A loser goes to
-    its best adjacent keeper. ``nodes`` holds ``id`` and the priority columns,
-    all larger-is-better; equal priorities are decided by the smaller id. Only
-    nodes with a neighbour take part in the rounds, which end because each decides
-    at least the best undecided node.
+    A node without a keeper among its better neighbours keeps itself; a loser goes to its
+    best adjacent keeper. ``nodes`` holds ``id`` and the priority columns, all
+    larger-is-better; equal priorities are decided by the smaller id.
+
+    Components of at most ``COMPONENT_PAIRS`` pairs are decided in order in one task
+    each, however long their chains. In a larger one, every undecided node without an
+    undecided better neighbour becomes a keeper and its undecided neighbours losers;
+    what is left falls into components anew.
     """
-    rank = lambda p: F.struct(*[F.col(f"{p}{c}") for c in priority], (-F.col(f"{p}id")).alias("neg_id"))
+    rank = lambda p: F.struct(*[F.col(f"{p}{c}").alias(c) for c in priority], (-F.col(f"{p}id")).alias("neg_id"))
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("o_id")).unionByName(
         pairs.select(F.col("b").alias("id"), F.col("a").alias("o_id"))
-    )
+    ).where("id <> o_id").distinct()
     other = nodes.select(*[F.col(c).alias(f"o_{c}") for c in ["id", *priority]])
     edges = cut(
         both.join(nodes.select("id", *priority), "id").join(other, "o_id").select(
-            "id", "o_id", (rank("o_") > rank("")).alias("other_better"), rank("o_").alias("o_rank")
+            "id", "o_id", (rank("o_") > rank("")).alias("other_better"), rank("").alias("rank"), rank("o_").alias("o_rank")
         )
     )
-    open_ids = edges.select("id").distinct()
-    open_edges = edges
-    keepers = None
+    chosen, open_edges = [], edges
     while True:
-        blocked = open_edges.filter("other_better").select("id").distinct()
-        new = cut(open_ids.join(blocked, "id", "left_anti"))
-        keepers = new if keepers is None else keepers.unionByName(new)
-        losers = open_edges.join(new.withColumnRenamed("id", "o_id"), "o_id", "left_semi").select("id").distinct()
-        open_ids = cut(open_ids.join(new, "id", "left_anti").join(losers, "id", "left_anti"))
-        if open_ids.isEmpty():
+        found = components(open_edges.where("other_better").select(F.col("id").alias("a"), F.col("o_id").alias("b")))
+        placed = cut(open_edges.where("other_better").join(found, "id"))
+        sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+        large = cut(sizes.where(F.col("n") > COMPONENT_PAIRS).select("component"))
+        chosen.append(_in_turn(placed.join(large, "component", "left_anti")))
+        if large.isEmpty():
             break
-        left = open_ids.withColumnRenamed("id", "o_id")
-        open_edges = cut(open_edges.join(open_ids, "id", "left_semi").join(left, "o_id", "left_semi"))
-    to_keeper = (
-        edges.join(keepers, "id", "left_anti")
-        .join(keepers.withColumnRenamed("id", "o_id"), "o_id", "left_semi")
-        .groupBy("id")
-        .agg(F.max_by("o_id", "o_rank").alias("keeper_id"))
-    )
+        # One round over what is too large: the best of every neighbourhood.
+        inside = placed.join(large, "component", "left_semi")
+        ids = inside.select(F.explode(F.array("id", "o_id")).alias("id")).distinct()
+        new = cut(ids.join(inside.select("id").distinct(), "id", "left_anti"))
+        losers = cut(inside.join(new.withColumnRenamed("id", "o_id"), "o_id", "left_semi").select("id").distinct())
+        chosen.append(losers.select("id", F.lit(None).cast("bigint").alias("keeper_id")))
+        gone = new.unionByName(losers)
+        open_edges = cut(inside.join(gone, "id", "left_anti").join(gone.withColumnRenamed("id", "o_id"), "o_id", "left_anti").drop("component"))
+    to_keeper = reduce(DataFrame.unionByName, chosen)
+    if len(chosen) > 1:
+        # Keepers of a later round, and those that lost all neighbours, may be better ones of an earlier loser.
+        every = edges.select(F.explode(F.array("id", "o_id")).alias("id")).distinct()
+        keepers = cut(every.join(to_keeper.where("keeper_id is null or id <> keeper_id"), "id", "left_anti"))
+        better = edges.where("other_better").join(keepers, "id", "left_anti").join(keepers.withColumnRenamed("id", "o_id"), "o_id", "left_semi")
+        to_keeper = better.groupBy("id").agg(F.max_by("o_id", "o_rank").alias("keeper_id"))
     return nodes.select("id").join(to_keeper, "id", "left").select("id", F.coalesce("keeper_id", "id").alias("keeper_id"))
 
 
+def _in_turn(edges: DataFrame) -> DataFrame:
+    """(id, keeper_id) of the nodes of small components; ``edges`` lead from nodes to better ones."""
+    ranked = edges.select("component", "id", "rank").unionByName(edges.select("component", F.col("o_id").alias("id"), F.col("o_rank").alias("rank"))).distinct()
+    turns = ranked.select("component", "id", F.row_number().over(Window.partitionBy("component").orderBy(F.desc("rank"))).alias("turn"))
+    own = edges.select("component", "id", "o_id").join(turns.drop("component"), "id")
+    both = own.join(turns.select(F.col("id").alias("o_id"), F.col("turn").alias("o_turn")), "o_id")
+    rows = both.select("component", "id", "turn", "o_id", "o_turn").repartition("component").sortWithinPartitions("component")
+    return cut(rows.mapInArrow(_decided, "id bigint, keeper_id bigint"))
+
+
+# Caps of the lists of a merged row.
+LIST_CAPS = {"keywords": 10, "persons": 5, "entities": 5}
+
+
 def merged_rows(facts: DataFrame, keepers: DataFrame, as_of: Column) -> DataFrame:
-    """One row per keeper that took in others: longest content, maxima, sums and united lists.
+    """One row per keeper that took in others: longest content and its vector, maxima, sums, united lists, the next version.
 
     Every value is combined before the shuffle; distinct list members are counted
     per keeper first and cut to the cap, so a keeper of very many rows stays small.
     """
     joined = facts.join(keepers.withColumnRenamed("id", "fact_id"), "fact_id")
+    longest = F.struct(F.length("content"), -F.col("fact_id"))
+    version = F.max(F.coalesce("version", F.lit(1))) if "version" in facts.columns else F.lit(1)
     main = joined.groupBy("keeper_id").agg(
         F.count(F.lit(1)).alias("consolidated_from"),
-        F.max_by(F.substring("content", 1, 500), F.struct(F.length("content"), -F.col("fact_id"))).alias("content"),
+        # The content and what belongs to it come from one row.
+        F.max_by("content", longest).alias("content"),
+        *([F.max_by("embedding", longest).alias("embedding")] if "embedding" in facts.columns else []),
         F.max("access_count").alias("access_count"),
         F.max("importance").alias("importance"),
         F.sum("source_count").alias("source_count"),
+        (version + 1).cast("bigint").alias("version"),
     )
     out = main.filter("consolidated_from > 1").withColumn("last_confirmed_ts", as_of)
-    for name, cap in (("keywords", 10), ("persons", 5), ("entities", 5)):
+    for name, cap in LIST_CAPS.items():
         if name in facts.columns:
             members = joined.select("keeper_id", F.explode(name).alias("_m")).distinct()
             top = top_per_group(members, ["keeper_id"], [F.asc("_m")], cap, "_r")
