@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from keepsake.catalog import derived as d
@@ -11,6 +13,8 @@ from keepsake.functions import text as tx
 from keepsake.operators import lexical, ranking, vectors
 from keepsake.operators.ordering import top_per_group
 from keepsake.operators.vectors import Match
+from keepsake.session import ensure_checkpoint_dir
+from keepsake.sources import exchange
 
 COSINE = "list_cosine_similarity(q.embedding, f.embedding)"
 
@@ -71,6 +75,19 @@ def knn_time_range(spark, sf):
     )
 
 
+DAYS_SQL = "f.ts >= TIMESTAMP '2023-09-01' AND f.ts < TIMESTAMP '2023-10-01'"
+
+
+@query("knn_stored_days", "VEC1 SEL7 SRC13", f"{BASE}, {knn_sql(5, DAYS_SQL)} SELECT query_id, fact_id, round(cosine, 4) AS cosine, rank FROM hits")
+def knn_stored_days(spark, sf):
+    """Facts written one folder per day; a search in a month reads that month's folders."""
+    path = f"{ensure_checkpoint_dir(spark)}/days-{uuid.uuid4().hex}"
+    exchange.write_by_day(active_vectors(spark, sf).select("fact_id", "ts", "embedding"), path)
+    month = exchange.read_days(spark, path, "2023-09-01", "2023-10-01")
+    hits = vectors.knn(month, d.query_vectors(spark, sf), 5)
+    return hits.select("query_id", "fact_id", F.round("cosine", 4).alias("cosine"), F.col("rank").cast("bigint").alias("rank"))
+
+
 SCENE_GLOBAL = f"""{BASE}, {knn_sql(10, SCENE_SQL, 'scene')}, {knn_sql(10, 'TRUE', 'world')},
 found AS (SELECT q.query_id, count(s.fact_id) AS n FROM query_vectors q LEFT JOIN scene s USING (query_id) GROUP BY ALL)
 SELECT query_id, fact_id, round(cosine, 4) AS cosine, 'scene' AS source FROM scene
@@ -194,6 +211,15 @@ def bm25_topk(spark, sf):
     )
 
 
+@query("bm25_stored_topk", "BM2 BM3", f"WITH {d.FACTS}, {d.QUERIES}, {BM25}, {BM_SEARCH} SELECT query_id, fact_id, round(score, 4) AS score, rank FROM bm_hits")
+def bm25_stored_topk(spark, sf):
+    """The index written by term bucket, and a search that reads the buckets and ranges it needs."""
+    path = f"{ensure_checkpoint_dir(spark)}/bm25-{uuid.uuid4().hex}"
+    lexical.write_index(lexical.build_index(d.facts(spark, sf)), path)
+    hits = lexical.search_stored(spark, path, d.queries(spark, sf), 10)
+    return hits.select("query_id", F.col("doc_id").alias("fact_id"), F.round("score", 4).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 HALF_FACTS = d.FACTS.replace("facts AS", "every_fact AS")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake.functions import text as tx
@@ -38,20 +38,29 @@ def document_tokens(docs: DataFrame, id_col: str, extra: str | None = None) -> D
     return docs.select(F.col(id_col).alias("doc_id"), tokens.alias("tokens"))
 
 
+def _counted(tokens: str) -> Column:
+    """Each term of a row's tokens with its count and the number of all tokens: runs of the sorted tokens."""
+
+    def runs(ts: Column) -> Column:
+        begins = lambda w, i: F.when((i == 0) | (F.get(ts, i - 1) != w), i)
+        starts = F.filter(F.transform(ts, begins), lambda i: i.isNotNull())
+        size = F.size(ts)
+
+        def one(st: Column) -> Column:
+            count = lambda s, i: (F.coalesce(F.get(st, i + 1), size) - s).cast("bigint")
+            return F.transform(st, lambda s, i: F.struct(F.get(ts, s).alias("term"), count(s, i).alias("tf"), size.cast("bigint").alias("doc_len")))
+
+        return tx.let(starts, one)
+
+    return tx.let(F.sort_array(tokens), runs)
+
+
 def build_index(docs: DataFrame, id_col: str = "fact_id", extra: str | None = None) -> Index:
-    """Index tables. Postings are counted on the map side, as a document lies in one task,
+    """Index tables. Postings are counted inside each document's row, so nothing is shuffled,
     and written once, as terms, lengths and searches all read them.
     """
     tokens = document_tokens(docs, id_col, extra)
-    # The length rides along in the exploded struct: beside the explode, Spark
-    # would tokenise the document again for each of its rows.
-    with_len = lambda ts: F.transform(ts, lambda w: F.struct(w.alias("term"), F.size(ts).cast("bigint").alias("doc_len")))
-    postings = (
-        tokens.select("doc_id", F.explode(tx.let(F.col("tokens"), with_len)).alias("_t"))
-        .select("doc_id", "_t.doc_len", "_t.term")
-        .groupBy("doc_id", "doc_len", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    postings = tokens.select("doc_id", F.explode(_counted("tokens")).alias("_t")).select("doc_id", "_t.doc_len", "_t.term", "_t.tf")
     postings = cut(postings)
     size = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     words = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_words"))
@@ -70,14 +79,69 @@ def _weigh(postings: DataFrame, totals: DataFrame) -> Index:
     return Index(postings, raw.select("term", "df", weight.alias("idf")), stats)
 
 
-def write_index(index: Index, path: str, buckets: int = 256) -> None:
-    """Store the index, postings split by term hash so that a search reads a few buckets."""
-    bucket = F.pmod(F.hash("term"), F.lit(buckets))
-    index.postings.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(
-        f"{path}/postings"
+def _impact(avg_len) -> Column:
+    """What one posting adds to a score, before the term's weight."""
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / avg_len))
+
+
+def write_index(index: Index, path: str, buckets: int = 64, range_docs: int = 128) -> None:
+    """Store the index for searches that read a part of it.
+
+    Terms are dealt to ``buckets`` by hash, each a folder, and documents to ranges of
+    about ``range_docs``. ``postings`` lie by bucket, range and term; ``blocks`` has the
+    greatest impact of each term in each range, ``idf`` the weights by bucket.
+    """
+    totals = index.stats.first()
+    ranges = max(1, -(-totals.n_docs // range_docs))
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    places = {"bucket": bucket, "range": F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int")}
+    # A bucket with frequent terms goes to several tasks, by range.
+    placed = index.postings.withColumns(places).repartition("bucket", F.pmod("range", F.lit(16)))
+    placed.sortWithinPartitions("bucket", "range", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    stored = index.postings.sparkSession.read.parquet(f"{path}/postings")
+    blocks = stored.groupBy("bucket", "range", "term").agg(F.max(_impact(F.lit(totals.avg_len))).alias("top"))
+    blocks.write.partitionBy("bucket").parquet(f"{path}/blocks")
+    index.idf.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/idf")
+    index.stats.withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/stats")
+
+
+def search_stored(spark: SparkSession, path: str, queries: DataFrame, k: int, text_col: str = "text") -> DataFrame:
+    """``search`` over an index that ``write_index`` stored: the same hits from a part of the files.
+
+    Only the buckets of the queries' terms are read. Of these first the blocks: in a
+    range no document exceeds the sum of its terms' greatest impacts, and one document
+    has at least the greatest of them. So the k-th best of these least scores is a score
+    that k documents reach, and ranges whose greatest possible score is below it are
+    left out for that query.
+    """
+    stats = spark.read.parquet(f"{path}/stats").first()
+    terms = _query_terms(queries, text_col).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(stats.buckets)).cast("int"))
+    # At most one number per bucket of the index.
+    wanted = [r.bucket for r in terms.select("bucket").distinct().collect()]
+    part = lambda name: spark.read.parquet(f"{path}/{name}").where(F.col("bucket").isin(wanted))
+    gains = cut(terms.join(part("idf"), ["bucket", "term"]).select("query_id", "bucket", "term", (F.col("repeat") * F.col("idf")).alias("gain")))
+    kept = possible_ranges(part("blocks"), gains, k)
+    asked = kept.join(gains, "query_id")
+    weight = F.col("gain") * _impact(F.lit(stats.avg_len))
+    found = part("postings").join(broadcast_if_small(asked), ["bucket", "range", "term"])
+    scored = found.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score")).filter("score > 0")
+    return cut(top_per_group(scored, ["query_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")], k))
+
+
+def possible_ranges(blocks: DataFrame, gains: DataFrame, k: int) -> DataFrame:
+    """query_id, range: where one of the ``k`` best documents may lie."""
+    bound = F.col("gain") * F.col("top")
+    met = blocks.join(broadcast_if_small(gains), ["bucket", "term"])
+    # A term of negative weight can only lower a score, and then no least score is known.
+    limits = cut(
+        met.groupBy("query_id", "range").agg(F.sum(F.greatest(bound, F.lit(0.0))).alias("most"), F.max(bound).alias("least"))
     )
-    index.idf.write.parquet(f"{path}/idf")
-    index.stats.write.parquet(f"{path}/stats")
+    kth = top_per_group(limits, ["query_id"], [F.desc("least"), F.asc("range")], k).where(F.col("rank") == k).select("query_id", F.col("least").alias("floor"))
+    sure = gains.groupBy("query_id").agg(F.min("gain").alias("low")).where("low >= 0").select("query_id")
+    floors = kth.join(sure, "query_id")
+    # Scores are compared to nine places.
+    enough = F.col("floor").isNull() | (F.col("most") >= F.col("floor") - 1e-6)
+    return limits.join(floors, "query_id", "left").where(enough).select("query_id", "range")
 
 
 def add_documents(index: Index, docs: DataFrame, id_col: str = "fact_id") -> Index:
@@ -110,6 +174,11 @@ def _reweigh(index, new_postings, new_docs, gone):
     return _weigh(postings, totals)
 
 
+def _query_terms(queries: DataFrame, text_col: str) -> DataFrame:
+    words = queries.select("query_id", F.explode(tx.search_tokens(F.col(text_col))).alias("term"))
+    return words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("repeat"))
+
+
 def search(index: Index, queries: DataFrame, k: int, text_col: str = "text") -> DataFrame:
     """Top ``k`` documents per query: (query_id, doc_id, score, rank).
 
@@ -117,20 +186,8 @@ def search(index: Index, queries: DataFrame, k: int, text_col: str = "text") ->
     to the postings when small, so postings stay where they are; beyond the bound
     a shuffle join on the term takes over, whose hot terms AQE splits.
     """
-    terms = (
-        queries.select("query_id", F.explode(tx.search_tokens(F.col(text_col))).alias("term"))
-        .groupBy("query_id", "term")
-        .agg(F.count(F.lit(1)).alias("repeat"))
-        .join(index.idf.select("term", "idf"), "term")
-    )
-    avg = index.stats.select("avg_len").scalar()
-    weight = (
-        F.col("repeat")
-        * F.col("idf")
-        * F.col("tf")
-        * (K1 + 1)
-        / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / avg))
-    )
+    terms = _query_terms(queries, text_col).join(index.idf.select("term", "idf"), "term")
+    weight = F.col("repeat") * F.col("idf") * _impact(index.stats.select("avg_len").scalar())
     scored = (
         index.postings.join(broadcast_if_small(terms), "term")
         .groupBy("query_id", "doc_id")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +13,10 @@ from pyspark.sql import types as T
 from keepsake.operators.ordering import top_per_group
 from keepsake.session import cut
 
-# Query vectors sent to the tasks in one pass. At 384 dimensions this is 12 MB.
-QUERIES_PER_PASS = 4096
+# Queries of one block. At 384 dimensions their vectors are 12 MB.
+QUERY_BLOCK = 4096
+# Corpus rows of one tile where queries fill several blocks.
+CORPUS_TILE = 1 << 16
 # Entries of the score matrix held at once in a task.
 SCORES_PER_STEP = 4_000_000
 
@@ -45,93 +46,124 @@ def matrix(column) -> np.ndarray:
     return rows / np.where(norms == 0, 1.0, norms)
 
 
-def _allowed(batch: pa.RecordBatch, start: int, stop: int, rules, bounds) -> np.ndarray | None:
-    mask = None
-    for rule, wanted in zip(rules, bounds):
-        have = batch.column(rule.corpus_col).slice(start, stop - start).to_pandas().to_numpy()[:, None]
-        free = np.array([w is None or w == rule.wildcard for w in wanted])[None, :]
-        want = np.array([have[0, 0] if w is None else w for w in wanted], dtype=have.dtype)[None, :]
-        if rule.kind == "equal":
-            ok = (have == want) | free
-        elif rule.kind == "differ":
-            ok = (have != want) | free
-        elif rule.kind == "at_least":
-            ok = (have >= want) | free
-        else:
-            ok = (have <= want) | free
-        mask = ok if mask is None else mask & ok
-    return mask
-
-
-def _pass(corpus: DataFrame, block, k: int, id_col: str, vec_col: str, query_id: str, rules) -> DataFrame:
-    """One pass of the corpus against one block of queries: top ``k`` of every task."""
-    qids = block[query_id].tolist()
-    qmat = np.array(block["_q"].tolist(), dtype=np.float64)
-    norms = np.linalg.norm(qmat, axis=1, keepdims=True)
-    qmat = (qmat / np.where(norms == 0, 1.0, norms)).T.copy()
-    bounds = [[None if v is None or v != v else v for v in block[r.query_col].tolist()] for r in rules]
-    id_field = corpus.schema[id_col].dataType
-    qid_type = T.LongType() if all(isinstance(q, int) for q in qids) else T.StringType()
-    schema = T.StructType(
-        [
-            T.StructField(query_id, qid_type),
-            T.StructField(id_col, id_field),
-            T.StructField("cosine", T.DoubleType()),
-        ]
-    )
-
-    def keep_best(q, ids, s):
-        # order by query, score down, id up; keep the first k of each query
+def _values(column) -> np.ndarray:
+    return column.to_pandas().to_numpy()
+
+
+class _Queries:
+    """A block of queries: ids, unit vectors as columns, and what their rules ask for."""
+
+    def __init__(self, table: pa.Table, rules: list[Match]):
+        self.ids = table.column(0)
+        self.vectors = matrix(table.column(1)).T.copy() if table.num_rows else np.zeros((1, 0))
+        self.wanted = [[None if v is None or v != v else v for v in _values(table.column(2 + i)).tolist()] for i in range(len(rules))]
+        self.rules = rules
+
+    def allowed(self, rows: pa.RecordBatch) -> np.ndarray | None:
+        """Which rows (down) the rules of which queries (across) admit; nothing is ruled out without rules."""
+        mask = None
+        for i, (rule, wanted) in enumerate(zip(self.rules, self.wanted)):
+            have = _values(rows.column(2 + i))[:, None]
+            free = np.array([w is None or w == rule.wildcard for w in wanted])[None, :]
+            want = np.array([have[0, 0] if w is None else w for w in wanted], dtype=have.dtype)[None, :]
+            if rule.kind == "equal":
+                ok = (have == want) | free
+            elif rule.kind == "differ":
+                ok = (have != want) | free
+            elif rule.kind == "at_least":
+                ok = (have >= want) | free
+            else:
+                ok = (have <= want) | free
+            mask = ok if mask is None else mask & ok
+        return mask
+
+
+class _Best:
+    """The best ``k`` rows of each query so far: by score down, then id up."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.n = k, queries
+        self.floor = np.full(queries, -np.inf)
+        self.found = None
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        n, k = len(scores), self.k
+        cutoff = self.floor
+        if n > k:
+            cutoff = np.maximum(cutoff, np.partition(scores, n - k, axis=0)[n - k])
+        r, q = np.nonzero((scores >= cutoff) & (scores > -np.inf))
+        found = (q, ids[r], scores[r, q])
+        if self.found is not None:
+            found = tuple(np.concatenate(p) for p in zip(self.found, found))
+        if not len(found[0]):
+            return
+        q, ids, s = found
         order = np.lexsort((ids, -s, q))
         q, ids, s = q[order], ids[order], s[order]
         first = np.r_[True, q[1:] != q[:-1]]
         start = np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
         keep = np.arange(len(q)) - start < k
-        return q[keep], ids[keep], s[keep]
-
-    def scan(batches):
-        nq = len(qids)
-        floor = np.full(nq, -np.inf)
-        best = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            rows = matrix(batch.column(vec_col))
-            ids = batch.column(id_col).to_pandas().to_numpy()
-            if ids.dtype == object:
-                ids = ids.astype(str)
-            step = max(1, SCORES_PER_STEP // nq)
-            for a in range(0, len(rows), step):
-                b = min(a + step, len(rows))
-                # Equal vectors must tie whatever kernel computed them.
-                scores = np.round(rows[a:b] @ qmat, 12)
-                mask = _allowed(batch, a, b, rules, bounds)
-                if mask is not None:
-                    scores = np.where(mask, scores, -np.inf)
-                cutoff = floor
-                if b - a > k:
-                    cutoff = np.maximum(floor, np.partition(scores, b - a - k, axis=0)[b - a - k])
-                r, q = np.nonzero((scores >= cutoff) & (scores > -np.inf))
-                found = (q, ids[a:b][r], scores[r, q])
-                if best is not None:
-                    found = tuple(np.concatenate(p) for p in zip(best, found))
-                if len(found[0]) == 0:
-                    continue
-                best = keep_best(*found)
-                count = np.bincount(best[0], minlength=nq)
-                worst = np.full(nq, np.inf)
-                np.minimum.at(worst, best[0], best[2])
-                floor = np.where(count >= k, worst, -np.inf)
-        if best is not None:
-            q, ids, s = best
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([qids[i] for i in q]), pa.array(ids), pa.array(s)],
-                names=[query_id, id_col, "cosine"],
-            )
-
-    needed = [id_col, vec_col, *dict.fromkeys(r.corpus_col for r in rules)]
-    narrow = corpus.select(*dict.fromkeys(needed)).filter(F.col(vec_col).isNotNull())
-    return narrow.mapInArrow(scan, schema)
+        self.found = q, ids, s = q[keep], ids[keep], s[keep]
+        worst = np.full(self.n, np.inf)
+        np.minimum.at(worst, q, s)
+        self.floor = np.where(np.bincount(q, minlength=self.n) >= k, worst, -np.inf)
+
+
+def _product(batches, queries: _Queries, k: int, scopes: tuple[str, ...], schema: pa.Schema):
+    """Best rows of ``batches`` (id, vector, rule columns) for each query: within its rules, or of all rows."""
+    best = {scope: _Best(len(queries.ids), k) for scope in scopes}
+    for batch in batches:
+        if not batch.num_rows or not len(queries.ids):
+            continue
+        rows, ids = matrix(batch.column(1)), _values(batch.column(0))
+        if ids.dtype == object:
+            ids = ids.astype(str)
+        step = max(1, SCORES_PER_STEP // len(queries.ids))
+        for a in range(0, len(rows), step):
+            part = batch.slice(a, step)
+            # Equal vectors must tie whatever kernel computed them.
+            scores = np.round(rows[a : a + step] @ queries.vectors, 12)
+            for scope in scopes:
+                mask = queries.allowed(part) if scope == FILTERED else None
+                best[scope].add(scores if mask is None else np.where(mask, scores, -np.inf), ids[a : a + step])
+    for scope, own in best.items():
+        if own.found is not None:
+            q, ids, s = own.found
+            columns = [queries.ids.take(pa.array(q)), pa.array(ids), pa.array(s), pa.array([scope] * len(q), pa.string())]
+            columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, schema.types)], schema=schema)
+
+
+FILTERED, OPEN = "filtered", "open"
+
+
+def _hits(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, query_id: str, query_vec: str, rules: list[Match], scopes: tuple[str, ...]) -> DataFrame:
+    """Best ``k`` rows per query and scope, with their rank."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    # Columns go by place, as both tables and several rules may share names.
+    rows = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), *[F.col(r.corpus_col).alias(f"r{i}") for i, r in enumerate(rules)]).where("vec is not null")
+    asked = queries.select(F.col(query_id).alias("q"), F.col(query_vec).alias("vec"), *[F.col(r.query_col).alias(f"r{i}") for i, r in enumerate(rules)]).where("vec is not null")
+    schema = T.StructType([T.StructField(query_id, asked.schema["q"].dataType), T.StructField(id_col, rows.schema["id"].dataType), T.StructField("cosine", T.DoubleType()), T.StructField("scope", T.StringType())])
+    arrow = to_arrow_schema(schema)
+    n = asked.count()
+    if n <= QUERY_BLOCK:
+        # At most one block: it goes to the rows, which stay where they are.
+        block = _Queries(asked.toArrow(), rules)
+        found = rows.mapInArrow(lambda batches: _product(batches, block, k, scopes, arrow), schema)
+    else:
+        blocks, tiles = -(-n // QUERY_BLOCK), max(1, -(-rows.count() // CORPUS_TILE))
+        number = lambda c, many: F.pmod(F.xxhash64(c), F.lit(many)).cast("int")
+        every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+        left = rows.withColumn("tile", number("id", tiles)).withColumn("block", every(blocks))
+        right = asked.withColumn("block", number("q", blocks)).withColumn("tile", every(tiles))
+
+        def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+            return pa.Table.from_batches(_product(x.to_batches(max_chunksize=8192), _Queries(y, rules), k, scopes, arrow), arrow)
+
+        found = left.groupBy("tile", "block").cogroup(right.groupBy("tile", "block")).applyInArrow(meet, schema)
+    # The hits, at most queries times ``k``, are written once, as later steps read them several times.
+    return cut(top_per_group(found, [query_id, "scope"], [F.desc("cosine"), F.asc(id_col)], k)).withColumn("score", (1 + F.col("cosine")) / 2)
 
 
 def knn(
@@ -146,34 +178,18 @@ def knn(
 ) -> DataFrame:
     """Exact ``k`` nearest rows per query: (query_id, id, cosine, score, rank).
 
-    The corpus is read once per block of queries and is never shuffled: each
-    task multiplies its rows with the block and sends on its own best ``k``.
-    A query table larger than one block is worked off in passes, so neither
-    driver nor task holds more than a block. The hits, at most queries times
-    ``k``, are written once, as later steps read them several times.
+    A block of queries is multiplied with the corpus where its rows lie, and each task
+    sends on its own best ``k``; the corpus is not shuffled. More queries than a block
+    and the corpus are both dealt out, and each pair of a corpus tile and a query block
+    is a task of one job: no task and no driver holds more than one of each.
     """
-    rules = rules or []
-    cols = dict.fromkeys([query_id, *[r.query_col for r in rules]])
-    narrow = queries.select(*cols, F.col(query_vec).alias("_q")).filter(F.col("_q").isNotNull())
-    n_pass = max(1, -(-narrow.count() // QUERIES_PER_PASS))
-    parts = []
-    for p in range(n_pass):
-        block = narrow.filter(F.pmod(F.xxhash64(query_id), F.lit(n_pass)) == p).toPandas()
-        if len(block) == 0:
-            continue
-        hits = top_per_group(
-            _pass(corpus, block, k, id_col, vec_col, query_id, rules),
-            [query_id],
-            [F.desc("cosine"), F.asc(id_col)],
-            k,
-        )
-        parts.append(cut(hits))
-    if not parts:
-        kind = queries.schema[query_id].dataType
-        names = [(query_id, kind), (id_col, corpus.schema[id_col].dataType), ("cosine", T.DoubleType()), ("rank", T.IntegerType())]
-        parts = [corpus.sparkSession.createDataFrame([], T.StructType([T.StructField(n, t) for n, t in names]))]
-    hits = reduce(DataFrame.unionByName, parts)
-    return hits.withColumn("score", (1 + F.col("cosine")) / 2)
+    scopes = (FILTERED,) if rules else (OPEN,)
+    return _hits(corpus, queries, k, id_col, vec_col, query_id, query_vec, rules or [], scopes).drop("scope")
+
+
+def knn_in_and_out(corpus: DataFrame, queries: DataFrame, k: int, rules: list[Match], id_col: str = "fact_id", vec_col: str = "embedding") -> DataFrame:
+    """``knn`` within the rules and over all rows, from one product; ``scope`` tells which."""
+    return _hits(corpus, queries, k, id_col, vec_col, "query_id", "embedding", rules, (FILTERED, OPEN))
 
 
 def blend(first: str, second: str):
@@ -199,12 +215,13 @@ def scene_then_global(
     """
     want = F.col(wanted) if wanted else F.lit(k)
     wants = queries.select("query_id", want.cast("int").alias("_want"))
-    scene = knn(corpus, queries, k, id_col, rules=rules).join(wants, "query_id").filter("rank <= _want")
+    both = knn_in_and_out(corpus, queries, k, rules, id_col)
+    scene = both.where(F.col("scope") == FILTERED).drop("scope").join(wants, "query_id").filter("rank <= _want")
     found = scene.groupBy("query_id").agg(F.count(F.lit(1)).alias("_found"))
     gap = wants.join(found, "query_id", "left").select(
         "query_id", (F.col("_want") - F.coalesce("_found", F.lit(0))).alias("_gap")
     )
-    fill = knn(corpus, queries, k, id_col).join(gap, "query_id").filter("rank <= _gap")
+    fill = both.where(F.col("scope") == OPEN).drop("scope").join(gap, "query_id").filter("rank <= _gap")
     return (
         scene.drop("_want")
         .withColumn("source", F.lit("scene"))

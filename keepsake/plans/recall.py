@@ -119,7 +119,9 @@ def _boost(fused: DataFrame, corpus: DataFrame, keyword: float, importance: floa
 def rank_episodes(memory: Memory, queries: DataFrame, as_of: Column) -> DataFrame:
     eps = memory.episodes
     k = int(queries.agg(F.max("n_episodes")).first()[0] or 2)
-    scene_hits = vectors.knn(eps, queries, k, "episode_id", rules=_rules(queries, eps))
+    both = vectors.knn_in_and_out(eps, queries, k, _rules(queries, eps), "episode_id")
+    in_scope = lambda scope: both.where(F.col("scope") == scope).drop("scope")
+    scene_hits = in_scope(vectors.FILTERED)
     wants = queries.select("query_id", "n_episodes")
     scene_hits = scene_hits.join(wants, "query_id").filter("rank <= n_episodes")
     found = scene_hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
@@ -127,7 +129,7 @@ def rank_episodes(memory: Memory, queries: DataFrame, as_of: Column) -> DataFram
     gap = wants.join(found, "query_id", "left").select(
         "query_id", F.when(n < F.greatest(F.lit(2), F.floor(F.col("n_episodes") / 2)), F.col("n_episodes") - n).otherwise(0).alias("_gap")
     )
-    fill = vectors.knn(eps, queries, k, "episode_id").join(gap, "query_id").filter("rank <= _gap")
+    fill = in_scope(vectors.OPEN).join(gap, "query_id").filter("rank <= _gap")
     part = lambda df, no: df.select("query_id", "episode_id", "score", F.lit(no).alias("list_no"))
     warm = vectors.attach(part(scene_hits, 1).unionByName(part(fill, 2)), eps, ["ts", "access_count", "content"], "episode_id")
     warm = warm.withColumn("heat_score", F.greatest(F.lit(0.0), F.col("score")) * ranking.heat(F.col("ts"), F.col("access_count"), as_of))

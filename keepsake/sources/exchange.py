@@ -100,3 +100,8 @@ def write_by_day(df: DataFrame, path: str, ts: str = "ts") -> None:
     """Append rows, one folder per day, so that time ranges prune folders."""
     day = F.to_date(ts)
     df.withColumn("day", day).repartition("day", F.pmod(F.xxhash64(ts), F.lit(8))).write.mode("append").partitionBy("day").parquet(path)
+
+
+def read_days(spark: SparkSession, path: str, first: str, past: str) -> DataFrame:
+    """Rows of the days from ``first`` up to, not with, ``past``; other days' folders are not opened."""
+    return spark.read.parquet(path).where((F.col("day") >= F.lit(first).cast("date")) & (F.col("day") < F.lit(past).cast("date"))).drop("day")
