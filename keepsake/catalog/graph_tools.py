@@ -37,6 +37,17 @@ def cooccur_edges(spark, sf):
     return edges_of(spark, sf).select("src", "dst", "source_count", F.unix_millis("last_seen").alias("last_seen"))
 
 
+PERSON_CO = CO.replace("FROM fact_entities)", "FROM (SELECT fact_id, ts, list_concat(['Person ' || (fact_id % 7), 'Person ' || (fact_id % 3)], entities) AS every, list_filter(every, lambda x, i: list_position(every, x) = i) AS entities FROM (SELECT fact_id, ts, entities FROM fact_entities)))", 1)
+
+
+@query("cooccur_persons", "GR3", f"WITH {PERSON_CO} SELECT src, dst, source_count FROM edges")
+def cooccur_persons(spark, sf):
+    """Co-occurrence of the persons and entities of a fact."""
+    named = lambda m: F.concat(F.lit("Person "), F.col("fact_id") % m)
+    rows = d.fact_entities(spark, sf).withColumn("persons", F.array(named(7), named(3)))
+    return graph.upsert(graph.cooccurrences(rows, persons="persons"), with_sources=False).select("src", "dst", "source_count")
+
+
 @query("edge_upsert", "GR1", f"""WITH {CO}, s AS (SELECT src, dst, source, min(ts) AS a FROM ev GROUP BY ALL),
 l AS (SELECT src, dst, string_agg(source, ',' ORDER BY a, source) AS sources FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY a DESC, source DESC) AS r FROM s) WHERE r <= 5 GROUP BY ALL)
 SELECT src, dst, type, source_count + (SELECT CASE WHEN src < dst THEN 2 ELSE 0 END) AS source_count, CASE WHEN src < dst THEN 'uses' ELSE type END AS first_type, sources FROM edges JOIN l USING (src, dst)""")
@@ -255,6 +266,13 @@ def manifest(spark, sf):
     return tools.manifest(t)
 
 
+@query("tool_names_by_category", "TL7", f"""WITH {d.TOOLS} SELECT {label_sql("name || ' ' || description", scene.TOOL_WORDS)} AS category, name FROM tools""")
+def tool_names_by_category(spark, sf):
+    """The names lists of the manifest, one name per row again."""
+    t = d.tools(spark, sf).withColumn("category", scene.tool_category(F.col("name"), F.col("description")))
+    return tools.names_by_category(t, 7).select("category", F.explode(F.split("names", ", ")).alias("name"))
+
+
 ENV = f"""{d.TOOL_CALLS}, w AS (SELECT session_id AS agent, list_extract({tools.ENV_ORDER + ['region', 'branch']}, (k % 14 + 1)::INT) AS field, value::VARCHAR AS value, ts, event_id FROM calls),
 st AS (SELECT agent, field, arg_max(value, (ts, event_id)) AS value FROM w GROUP BY ALL)"""
 

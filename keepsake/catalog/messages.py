@@ -141,6 +141,20 @@ def explicit_facts(spark, sf):
     return exchange.remembered(rows).select("fact_id", "category", "importance", F.array_join("keywords", "|").alias("keywords"))
 
 
+@query("given_facts", "SRC14", """SELECT o_orderkey AS fact_id, 'order ' || o_orderkey AS content, CASE WHEN o_orderkey % 3 = 0 THEN 'general' ELSE lower(o_orderstatus) END AS category,
+  CASE WHEN o_orderkey % 4 = 0 THEN 0.5 ELSE 0.75 END::DOUBLE AS confidence, NULL::VARCHAR AS error FROM orders WHERE o_orderkey % 5 <> 0
+  UNION ALL SELECT o_orderkey, NULL, NULL, NULL, 'missing text' FROM orders WHERE o_orderkey % 5 = 0""")
+def given_facts(spark, sf):
+    """Facts given in a batch, with defaults, and the rows that cannot be stored."""
+    k = F.col("o_orderkey")
+    rows = d.table(spark, sf, "orders").select(
+        k.alias("fact_id"), F.when(k % 5 != 0, F.concat(F.lit("order "), k)).alias("text"),
+        F.when(k % 3 != 0, F.lower("o_orderstatus")).alias("category"), F.when(k % 4 != 0, F.lit(0.75)).alias("importance"),
+    )
+    facts, bad = exchange.given_facts(rows)
+    return facts.select("fact_id", "content", "category", "confidence", F.lit(None).cast("string").alias("error")).unionByName(bad.select("fact_id", "error"), allowMissingColumns=True)
+
+
 # ---------------------------------------------------------------- cleaning
 
 TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -368,6 +382,22 @@ def contradictions(spark, sf):
     return gone.select(F.col("fact_id").alias("old_id"))
 
 
+@query("contradiction_edges", "ADM4", f"""WITH {CONTRA}, hit AS (SELECT DISTINCT old_id FROM pr WHERE {OPP}),
+x AS (SELECT 'Pair ' || (old_id // 2) AS a, 'Box ' || (old_id % 5) AS b, 'Pair ' || (old_id // 2) AS c, 'Crate ' || (old_id % 3) AS e FROM hit),
+ed AS (SELECT unnest([{{'s': a, 'd': e}}, {{'s': b, 'd': c}}, {{'s': b, 'd': e}}]) AS p FROM x)
+SELECT p.s AS src, p.d AS dst, 'contradicts' AS type FROM ed UNION SELECT p.d, p.s, 'contradicts' FROM ed""")
+def contradiction_edges(spark, sf):
+    """The edges of opposed statements, both ways."""
+    word = d.pick(["is not", "is", "has"], F.col("turn_id") % 3)
+    s = d.statements(spark, sf).withColumn("t", F.concat("text", F.lit(" It "), word, F.lit(" here.")))
+    pair = lambda k: F.concat(F.lit("Pair "), F.floor(k / 2))
+    turn = F.col("turn_id")
+    a = s.select(turn.alias("old_id"), (turn + 1).alias("new_id"), F.col("t").alias("old"), F.array(pair(turn), F.concat(F.lit("Box "), turn % 5)).alias("old_entities"))
+    b = s.select(turn.alias("new_id"), F.col("t").alias("new"), F.array(pair(turn), F.concat(F.lit("Crate "), (turn - 1) % 3)).alias("new_entities"))
+    _, edges = admission.contradiction_results(a.join(b, "new_id"))
+    return edges.select("src", "dst", "type")
+
+
 # ---------------------------------------------------------------- extraction
 
 

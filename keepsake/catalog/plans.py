@@ -67,7 +67,7 @@ def recall_context(spark, sf):
         edges=cut(edges_of(spark, sf)),
         persona="## User Profile\n- name: owner",
         pinned="Closed the last open order.",
-        contexts=d.messages(spark, sf).filter("seq = 0").select(F.concat(F.lit("src"), F.col("session_id") % 10).alias("session_id"), "content").groupBy("session_id").agg(F.min(F.substring("content", 1, 300)).alias("context")),
+        contexts=d.messages(spark, sf).select(F.concat(F.lit("src"), F.col("session_id") % 10).alias("session_id"), "seq", "content").groupBy("session_id").agg(F.max_by("content", F.struct("seq", "content")).alias("context")),
         tools=registry,
         tool_graph=tools.transitions(d.tool_calls(spark, sf), F.date_trunc("day", "ts")),
         procedures=d.procedure_vectors(spark, sf),
@@ -96,7 +96,7 @@ LINES = f"""{rc.BASE}, {rc.knn_sql(10)},
 raw AS (SELECT query_id, 0 AS section, 0 AS line_no, 'head' AS kind, '## User Profile' || chr(10) || '- domain: ' || domain AS text FROM queries UNION ALL SELECT query_id, 0, 1000000, 'end', '' FROM queries
   UNION ALL SELECT query_id, 6, -1, 'head', '## Current Session Context' FROM queries UNION ALL SELECT query_id, 6, 0, 'item', text FROM queries UNION ALL SELECT query_id, 6, 1000000, 'end', '' FROM queries
   UNION ALL SELECT query_id, 7, -1, 'head', '## Long-Term Memory (Facts)' FROM queries UNION ALL SELECT query_id, 7, 1000000, 'end', '' FROM queries
-  UNION ALL SELECT query_id, 7, rank, 'item', rank || '. [' || category || '] (topic:' || domain || ') ' || content[1:900] FROM hits JOIN facts USING (fact_id)),
+  UNION ALL SELECT query_id, 7, rank, 'item', rank || '. [' || category || '] (topic:' || domain || ') ' || content FROM hits JOIN facts USING (fact_id)),
 red AS (SELECT * EXCLUDE (text), {redact_sql('text')} AS text FROM raw),
 ln AS (SELECT *, {words_sql('text')} AS cost, row_number() OVER (PARTITION BY query_id ORDER BY section, line_no) AS i FROM red),
 run(query_id, i, used, items, begun, open, body) AS (SELECT query_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, false, false, []::VARCHAR[] FROM queries UNION ALL
@@ -114,7 +114,7 @@ def budget_pack(spark, sf):
     q, corpus = d.query_vectors(spark, sf), rc.active_vectors(spark, sf)
     hits = vectors.attach(vectors.knn(corpus, q, 10), corpus, ["content", "category", "domain"])
     blank = F.array().cast("array<string>")
-    fact = packing.fact_line(F.col("rank"), F.col("category"), F.substring("content", 1, 900), blank, blank, F.col("domain"), F.lit(""))
+    fact = packing.fact_line(F.col("rank"), F.col("category"), F.col("content"), blank, blank, F.col("domain"), F.lit(""))
     lines = (
         packing.section(q, "persona", 0, F.concat(F.lit("## User Profile\n- domain: "), "domain"))
         .unionByName(packing.section(q, "session", 0, F.col("text")))

@@ -25,6 +25,13 @@ def stream_tool_outcomes(spark, sf):
     return jobs.run_to_end(jobs.tool_outcomes(call_stream(spark, sf)), "complete").drop("batch")
 
 
+@query("stream_outcome_rates", "STR4", f"""WITH {d.TOOL_CALLS} SELECT 'tool_' || (k % 12) AS tool, epoch_us(date_trunc('day', ts)) AS day, count(*) AS n, round(avg((event_type <> 'error')::INT), 4) AS rate FROM calls GROUP BY ALL""")
+def stream_outcome_rates(spark, sf):
+    """Success rates per tool and day, as windows of a stream."""
+    out = jobs.run_to_end(jobs.outcome_rates(call_stream(spark, sf), "1 day"), "complete")
+    return out.select("tool", F.unix_micros("w.start").alias("day"), "n", F.round("rate", 4).alias("rate"))
+
+
 @query("stream_transitions", "STR5 TL2", f"WITH {GRAPH} SELECT src, dst, n FROM tg")
 def stream_transitions(spark, sf):
     pairs = jobs.run_to_end(jobs.transitions(call_stream(spark, sf), None))
@@ -102,7 +109,7 @@ def stream_ingest(spark, sf):
     )
 
     def step(batch):
-        turns = ingest.gate(ingest.turns(batch, min_messages=1).withColumn("best", F.lit(None).cast("double")))
+        turns = ingest.gate(ingest.turns(batch, min_messages=1, by_first=True).withColumn("best", F.lit(None).cast("double")))
         kept = turns.filter("outcome = 'admitted'")
         facts = extraction.rule_facts(kept.select("chunk_id", F.col("user_text").alias("text")), "chunk_id")
         due = jobs.upkeep_due(F.count(F.lit(1)), F.lit(0), F.lit(0), F.lit(0))

@@ -14,7 +14,12 @@ EPISODE_CHARS = 2000
 EMBED_CHARS = 500
 
 
-def flatten(content: Column, depth: int = 3) -> Column:
+# Levels of blocks in blocks that are opened. A block as text inside a block's text doubles
+# its escapes with each level, so deeper ones do not occur.
+DEPTH = 10
+
+
+def flatten(content: Column, depth: int = DEPTH) -> Column:
     """Plain text of a string that may hold a block or a list of blocks as JSON.
 
     Blocks of tools and thinking are dropped. Text inside a block may again be

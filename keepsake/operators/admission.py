@@ -118,7 +118,7 @@ def contradicts(old: Column, new: Column, old_entities: Column, new_entities: Co
 
 
 def contradiction_results(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (old_id, old, new, old_entities, new_entities): superseded ids, and edges between differing entities.
+    """From (old_id, old, new, old_entities, new_entities): superseded ids, and edges between differing entities, both ways.
 
     Entity lists are capped by the fact schema, so a pair yields few edges.
     """
@@ -127,5 +127,6 @@ def contradiction_results(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("old_id").alias("fact_id"), F.lit("contradicted").alias("by"), F.lit("contradicted").alias("reason")
     )
     crossed = hits.select(F.explode("old_entities").alias("src"), "new_entities").select("src", F.explode("new_entities").alias("dst"))
-    edges = crossed.filter(F.lower("src") != F.lower("dst")).select("src", "dst", F.lit("contradicts").alias("type"), F.lit(0.9).alias("confidence"))
+    both = crossed.unionByName(crossed.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    edges = both.filter(F.lower("src") != F.lower("dst")).distinct().select("src", "dst", F.lit("contradicts").alias("type"), F.lit(0.9).alias("confidence"))
     return gone, edges

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.functions import text as tx
+from keepsake.session import broadcast_if_small, cut
 
 # --- fixed values ---
 PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~。，！？；：“”‘’（）【】、…—～·《》〈〉「」『』]"""
@@ -108,10 +109,47 @@ def full_context(messages: DataFrame, part_turns: int = 1024) -> DataFrame:
     return rows.groupBy("session_id", "part").agg(joined.alias("text")).withColumn("tokens", F.size(tokens(F.col("text"))))
 
 
-def latency(log: DataFrame, group: str, value: str) -> DataFrame:
-    return log.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile(value, F.lit(0.5)).alias("p50"), F.percentile(value, F.lit(0.95)).alias("p95")
+# Groups of at most so many values are their own bracket.
+WHOLE_GROUP = 10_000
+# Ranks to both sides of a percentile that a bracket takes in, as a share; the sketch errs by far less.
+BRACKET = 0.02
+
+
+def percentiles(rows: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
+    """group, n and ``p0``, ``p1``, .. : exact percentiles, between ranks by proportion.
+
+    A mergeable sketch per group (KLL) gives a bracket around each percentile. One more
+    pass counts what lies below the bracket, and the distinct values inside; both are
+    combined before the shuffle, and no group's values meet in one buffer.
+    """
+    own = rows.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).where("v is not null")
+    sketch = F.kll_sketch_agg_double("v", 2000)
+    known = cut(own.groupBy("g").agg(F.count(F.lit(1)).alias("n"), sketch.alias("s"), F.min("v").alias("least"), F.max("v").alias("most")))
+    at = lambda share: F.kll_sketch_get_quantile_double("s", F.lit(float(min(1.0, max(0.0, share)))))
+    whole = F.col("n") <= WHOLE_GROUP
+    bracket = F.array(
+        *[
+            F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), F.when(whole, F.col("least")).otherwise(at(p - BRACKET)).alias("lo"), F.when(whole, F.col("most")).otherwise(at(p + BRACKET)).alias("hi"))
+            for i, p in enumerate(shares)
+        ]
     )
+    brackets = known.select("g", "n", F.explode(bracket).alias("b")).select("g", "n", "b.*")
+    met = own.join(broadcast_if_small(brackets.withColumnRenamed("g", "bg")), F.col("g").eqNullSafe(F.col("bg"))).where("v <= hi")
+    # What lies below the bracket counts as one value, before all of it.
+    place = F.when(F.col("v") >= F.col("lo"), F.col("v"))
+    counts = met.groupBy("g", "n", "i", "p", place.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    order = Window.partitionBy("g", "i").orderBy(F.col("v").asc_nulls_first())
+    placed = counts.withColumn("upto", F.sum("c").over(order))
+    rank = F.col("p") * (F.col("n") - 1)
+    from_rank = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
+    low, high = from_rank(F.floor(rank)), from_rank(F.ceil(rank))
+    found = placed.groupBy("g", "n", "i").agg((low + (high - low) * F.max(rank - F.floor(rank))).alias("x"))
+    wide = found.groupBy("g", "n").agg(*[F.max(F.when(F.col("i") == i, F.col("x"))).alias(f"p{i}") for i in range(len(shares))])
+    return wide.withColumnRenamed("g", group)
+
+
+def latency(log: DataFrame, group: str, value: str) -> DataFrame:
+    return percentiles(log, group, value, [0.5, 0.95]).withColumnsRenamed({"p0": "p50", "p1": "p95"})
 
 
 def writer_stats(log: DataFrame) -> DataFrame:

@@ -18,12 +18,15 @@ MAX_SOURCES = 5
 # --- end of fixed values ---
 
 
-def cooccurrences(facts: DataFrame, entities: str = "entities", confidence: float = 0.8) -> DataFrame:
-    """Edge events for every pair of a fact's entities, both ways.
+def cooccurrences(facts: DataFrame, entities: str = "entities", confidence: float = 0.8, persons: str | None = None) -> DataFrame:
+    """Edge events for every pair of a fact's entities (and ``persons``, if named), both ways.
 
     Pairs are formed inside the row from a list the fact schema caps, so a fact
     gives a bounded number of rows and nothing is joined.
     """
+    if persons is not None:
+        none = F.array().cast("array<string>")
+        facts = facts.withColumn(entities, F.array_distinct(F.concat(F.coalesce(F.col(persons), none), F.coalesce(F.col(entities), none))))
     pairs = F.flatten(
         F.transform(
             entities,

@@ -32,17 +32,21 @@ class Ingested:
     log: DataFrame  # chunk_id, outcome
 
 
-def turns(rows: DataFrame, size: int = 4, min_messages: int = 2) -> DataFrame:
-    """Windows of clean messages: (session_id, window_id, chunk_id, ts, turn_text, user_text)."""
+def turns(rows: DataFrame, size: int = 4, min_messages: int = 2, by_first: bool = False) -> DataFrame:
+    """Windows of clean messages: (session_id, window_id, chunk_id, ts, turn_text, user_text).
+
+    A window is named by its number in the session or, ``by_first``, by its first
+    message: batches of one session, which all count from 0, then share no name.
+    """
     clean = messages.clean(rows).join(messages.noise_sessions(rows), "session_id", "left_anti")
     placed = with_position(clean, ["session_id"], [F.asc("seq")], messages.turn_chunk())
     grouped = placed.withColumn("window_id", F.floor(F.col("pos") / size)).groupBy("session_id", "window_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.max("ts").alias("ts"), F.sort_array(F.collect_list(F.struct("pos", "role", "text"))).alias("_m")
+        F.count(F.lit(1)).alias("_n"), F.max("ts").alias("ts"), F.min("seq").alias("_first"), F.sort_array(F.collect_list(F.struct("pos", "role", "text"))).alias("_m")
     )
     return grouped.filter(F.col("_n") >= min_messages).select(
         "session_id",
         "window_id",
-        F.concat("session_id", F.lit(":w"), "window_id").alias("chunk_id"),
+        F.concat("session_id", F.lit(":m"), F.col("_first")).alias("chunk_id") if by_first else F.concat("session_id", F.lit(":w"), "window_id").alias("chunk_id"),
         "ts",
         F.array_join(F.transform("_m", lambda m: F.concat_ws(": ", m["role"], m["text"])), "\n").alias("turn_text"),
         F.array_join(F.transform(F.filter("_m", lambda m: m["role"] == "user"), lambda m: m["text"]), " ").alias("user_text"),
@@ -139,9 +143,9 @@ def persona_of(facts: DataFrame, subject: str, owner) -> DataFrame:
     return persona.build(facts.select(F.col(subject).alias("subject"), "category", "content"), owner)
 
 
-def edges_of(facts: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Co-occurrence edges of facts that carry entity lists."""
-    return graph.upsert(graph.cooccurrences(facts), stored)
+def edges_of(facts: DataFrame, stored: DataFrame | None = None, persons: str | None = None) -> DataFrame:
+    """Co-occurrence edges of facts that carry entity (and person) lists."""
+    return graph.upsert(graph.cooccurrences(facts, persons=persons), stored)
 
 
 def observe(rows: DataFrame) -> DataFrame:

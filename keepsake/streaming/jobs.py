@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,10 +140,12 @@ def access_bumps(hits: DataFrame, facts: Callable[[], DataFrame], path: str, che
 
 def bumped(spark: SparkSession, path: str, id_col: str = "fact_id", before: int | None = None) -> DataFrame | None:
     """The newest version of each fact that batches (numbered below ``before``) of ``access_bumps`` wrote; None if there is none."""
-    try:
-        rows = spark.read.parquet(f"{path}/facts")
-    except AnalysisException:
+    # Only a folder that is not there means that no batch was written; other errors are errors.
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/facts")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder) or not files.listStatus(folder):
         return None
+    rows = spark.read.parquet(f"{path}/facts")
     rows = rows if before is None else rows.where(F.col("batch") < before)
     newest = rows.groupBy(id_col).agg(F.max("batch").alias("batch"))
     return rows.join(newest, [id_col, "batch"]).drop("batch")

@@ -42,9 +42,10 @@ def previous_rows(stream: DataFrame, value: str, row_id: str, ttl_ms: int | None
         previous.iloc[0] = before
         yield pd.DataFrame({"session_id": key[0], row_id: batch[row_id], "previous": previous, "current": values})
 
+    kind = lambda c: stream.schema[c].dataType.simpleString()
     return stream.select("session_id", "ts", row_id, value).groupBy("session_id").applyInPandasWithState(
         step,
-        outputStructType=f"session_id bigint, {row_id} bigint, previous string, current string",
+        outputStructType=f"session_id {kind('session_id')}, {row_id} {kind(row_id)}, previous string, current string",
         stateStructType="v string",
         outputMode="append",
         timeoutConf=_timeout(ttl_ms),
@@ -73,7 +74,7 @@ def rolling_contexts(stream: DataFrame, ttl_ms: int | None = TTL_MS) -> DataFram
 
     return stream.select("session_id", "seq", "summary").groupBy("session_id").applyInPandasWithState(
         step,
-        outputStructType="session_id bigint, turns bigint, context string",
+        outputStructType=f"session_id {stream.schema['session_id'].dataType.simpleString()}, turns bigint, context string",
         stateStructType="text string, turns bigint",
         outputMode="update",
         timeoutConf=_timeout(ttl_ms),

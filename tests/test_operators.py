@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from keepsake.functions import content
 from keepsake.operators import extraction, graph, lexical, lifecycle, messages, packing, ranking, sessions, similarity, tools, vectors
 from keepsake.operators.ordering import with_next, with_position, with_previous
 from keepsake.sources import exchange, transcripts
@@ -36,7 +37,7 @@ def test_positions_cross_chunk_borders(spark):
 
 @pytest.mark.parametrize("per_pass", [1000, 3])
 def test_knn_equals_brute_force_in_any_number_of_passes(spark, monkeypatch, per_pass):
-    monkeypatch.setattr(vectors, "QUERIES_PER_PASS", per_pass)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", per_pass)
     rng = np.random.default_rng(1)
     a, q = unit(rng, 120, 8), unit(rng, 7, 8)
     a[60] = a[3]
@@ -203,3 +204,97 @@ def test_keep_last_pairs(spark):
     df = spark.createDataFrame([(1, i, r, "x") for i, r in enumerate(roles)], "session_id int, seq int, role string, content string")
     got = sorted((r.seq, r.pair, r.kept) for r in messages.keep_last_pairs(df, keep=2).collect())
     assert got == [(0, 1, False), (1, 2, False), (2, 2, False), (3, 3, True), (4, 4, True), (5, 4, True)]
+
+
+@pytest.mark.parametrize("tile", [512, 3])
+def test_bands_find_nearly_all_pairs(spark, monkeypatch, tile):
+    monkeypatch.setattr(similarity, "BUCKET_TILE", tile)
+    rng = np.random.default_rng(8)
+    m = unit(rng, 300, 32).astype(float)
+    # Copies at cosines around the threshold, some equal vectors, a null.
+    m = np.vstack([m] + [m[:200] + s * unit(rng, 200, 32) for s in (0.1, 0.4, 0.6)] + [m[:5]])
+    rows = vec_table(spark, m.astype(np.float32), "fact_id").repartition(3)
+    null = spark.createDataFrame([(9999, None)], rows.schema)
+    exact = {(r.a, r.b): r.cosine for r in similarity.similar_pairs(rows, 0.85).collect()}
+    found = [(r.a, r.b, r.cosine) for r in similarity.banded_pairs(rows.unionByName(null), 0.85).collect()]
+    assert len({(a, b) for a, b, _ in found}) == len(found)
+    assert all(abs(exact[a, b] - c) < 1e-9 for a, b, c in found)
+    assert len(found) >= 0.95 * len(exact) > 300
+    assert similarity.banded_pairs(rows.limit(0), 0.85).count() == 0
+
+
+def test_bands_grow_with_rows_and_threshold():
+    assert similarity.bands_for(0.9, 1 << 20, 0.9)[1] == 16 > similarity.bands_for(0.9, 1 << 14, 0.9)[1]
+    assert similarity.bands_for(0.95, 1 << 20, 0.9)[0] < similarity.bands_for(0.85, 1 << 20, 0.9)[0]
+    assert similarity.bands_for(1.0, 10, 0.9)[0] == 1
+
+
+def lexical_docs(spark):
+    rng = random.Random(12)
+    words = [a + b for a in ("red", "blue", "old", "new", "tall", "wide") for b in ("barn", "road", "tree", "lake", "hill", "gate", "farm")]
+    weights = [1 / (i + 1) for i in range(len(words))]
+    rows = [(i, " ".join(rng.choices(words, weights, k=rng.randint(3, 60))), None) for i in range(700)]
+    rows += [(1000, "", None), (1001, None, None), (1002, "redbarn redbarn", 3), (1003, "redbarn " * 500, None)]
+    asked = [(q, " ".join(rng.choices(words, k=rng.randint(1, 4)))) for q in range(12)] + [(50, "unknown words"), (51, ""), (52, None)]
+    return spark.createDataFrame(rows, "fact_id bigint, content string, superseded_by bigint"), spark.createDataFrame(asked, "query_id bigint, text string")
+
+
+def test_counted_postings_equal_plain_counts(spark):
+    docs, _ = lexical_docs(spark)
+    got = {(r.doc_id, r.term): (r.tf, r.doc_len) for r in lexical.build_index(docs).postings.collect()}
+    want = {}
+    for r in docs.collect():
+        words = (r.content or "").split() if r.superseded_by is None else []
+        for w in words:
+            want[r.fact_id, w] = (words.count(w), len(words))
+    assert got == want
+
+
+@pytest.mark.parametrize("range_docs", [16, 128, 10_000])
+def test_stored_search_equals_search(spark, tmp_path, range_docs):
+    docs, asked = lexical_docs(spark)
+    index = lexical.build_index(docs)
+    lexical.write_index(index, f"{tmp_path}/ix", buckets=8, range_docs=range_docs)
+    show = lambda hits: sorted((r.query_id, r.rank, r.doc_id, round(r.score, 8)) for r in hits.collect())
+    assert show(lexical.search_stored(spark, f"{tmp_path}/ix", asked, 5)) == show(lexical.search(index, asked, 5))
+
+
+def test_stored_search_reads_a_part(spark, tmp_path):
+    docs, _ = lexical_docs(spark)
+    path = f"{tmp_path}/ix"
+    lexical.write_index(lexical.build_index(docs), path, buckets=8, range_docs=16)
+    blocks = spark.read.parquet(f"{path}/blocks")
+    gains = spark.read.parquet(f"{path}/idf").where("term in ('widefarm', 'redbarn')").select(F.lit(1).alias("query_id"), "bucket", "term", F.col("idf").alias("gain"))
+    kept = lexical.possible_ranges(blocks, gains, 3)
+    assert 3 <= kept.count() < blocks.select("range").distinct().count() / 2
+    plan = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin([1]))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_filtered_and_open_search_from_one_product(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    facts = vec_table(spark, unit(rng, 90, 6), "fact_id").withColumn("domain", F.when(F.col("fact_id") % 3 == 0, "a").otherwise("b"))
+    asked = vec_table(spark, unit(rng, 9, 6), "query_id").withColumn("domain", F.when(F.col("query_id") % 2 == 0, "a").otherwise("c"))
+    rules = [vectors.Match("domain", "domain")]
+    for block, tile in ((4096, 1 << 16), (2, 20)):
+        monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+        monkeypatch.setattr(vectors, "CORPUS_TILE", tile)
+        both = vectors.knn_in_and_out(facts, asked, 4, rules)
+        show = lambda hits: sorted((r.query_id, r["rank"], r.fact_id, r.cosine) for r in hits.collect())
+        assert show(both.where("scope = 'open'")) == show(vectors.knn(facts, asked, 4))
+        assert show(both.where("scope = 'filtered'")) == show(vectors.knn(facts, asked, 4, rules=rules))
+        assert {r.query_id for r in both.where("scope = 'filtered'").collect()} == {0, 2, 4, 6, 8}
+        assert vectors.knn(facts, asked.limit(0), 4).count() == vectors.knn(facts.limit(0), asked, 4).count() == 0
+
+
+def test_blocks_in_blocks_are_opened(spark):
+    import json
+
+    text = "the  innermost text"
+    for _ in range(4):
+        text = json.dumps([{"type": "text", "text": text}, {"type": "thinking", "text": "no"}])
+    nested = [{"type": "text", "text": "deep"}]
+    for _ in range(8):
+        nested = [{"type": "text", "content": nested}]
+    rows = spark.createDataFrame([(1, text), (2, json.dumps(nested))], "id int, c string")
+    assert [r.t for r in rows.select("id", content.flatten(F.col("c")).alias("t")).orderBy("id").collect()] == ["the  innermost text", "deep"]

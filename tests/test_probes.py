@@ -1,11 +1,13 @@
 """Cases that registered queries do not meet: long answers, null ids, later batches, rows that must not be lost."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from keepsake.operators import extraction, lifecycle, messages, vectors
+from keepsake.operators.components import components
 from keepsake.plans.consolidate import consolidate
 from keepsake.session import cut, temporary_tables
 from keepsake.sources import transcripts
@@ -36,13 +38,51 @@ def test_transcript_files_to_windows(spark, tmp_path):
 
 
 def test_long_chain_of_near_facts_ends(spark):
-    n = 200
+    n = 10_000
     nodes = spark.createDataFrame([(i, n - i) for i in range(n)], "id bigint, p bigint")
-    pairs = spark.createDataFrame([(i, i + 1) for i in range(0, n - 1, 2)], "a bigint, b bigint")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a bigint, b bigint")
     kept = lifecycle.choose_keepers(nodes, pairs, ["p"]).collect()
     assert {r.id: r.keeper_id for r in kept} == {i: i - i % 2 for i in range(n)}
 
 
+@pytest.mark.parametrize("pairs_in_task", [5, 200_000])
+def test_keepers_of_large_and_small_components(spark, monkeypatch, pairs_in_task):
+    monkeypatch.setattr(lifecycle, "COMPONENT_PAIRS", pairs_in_task)
+    rng = random.Random(pairs_in_task)
+    n = 60
+    priority = {i: rng.randint(0, 4) for i in range(n)}
+    pairs = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(75)}
+    nodes = spark.createDataFrame(list(priority.items()), "id bigint, p int")
+    got = {r.id: r.keeper_id for r in lifecycle.choose_keepers(nodes, spark.createDataFrame(sorted(pairs), "a bigint, b bigint").repartition(3), ["p"]).collect()}
+    keepers, want = [], {}
+    for i in sorted(range(n), key=lambda i: (-priority[i], i)):
+        want[i] = next((k for k in keepers if (min(i, k), max(i, k)) in pairs), i)
+        if want[i] == i:
+            keepers.append(i)
+    assert got == want
+
+
+@pytest.mark.parametrize("last", [1, 500_000])
+def test_components_by_contraction(spark, last):
+    rng = random.Random(7)
+    edges = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 30)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)] + [(5, 5)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            up[root(a)] = root(b)
+    rng.shuffle(edges)
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(7), last).collect()}
+    assert set(got) == set(up)
+    assert all((got[x] == got[y]) == (root(x) == root(y)) for x in got for y in got)
+    assert components(spark.createDataFrame([], "a bigint, b bigint"), last).count() == 0
+
+
 def test_consolidation_keeps_all_rows(spark):
     day = "timestamp'2024-01-01'"
     rows = spark.createDataFrame(
