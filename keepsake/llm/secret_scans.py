@@ -19,6 +19,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,12 +38,14 @@ KINDS = ("assign", "access", "hex", "random")
 # Random runs: least length, and fewer characters per token than this.
 LEAST_RUN = 16
 CHARS_PER_TOKEN = 2.0
-RUN = rb"[A-Za-z0-9+/_=-]{16,}"
+RUN = rb"[A-Za-z0-9+/_=-]{%d,}"
 DIGEST = rb"[0-9a-fA-F]+"
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 UUID = rb"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
-# Words, numbers or camel-case words between separators.
-IDENTIFIER = rb"(?:(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]+)(?:[_/=+-]+|(?=[A-Z])|$))+"
+# Words, numbers or camel-case words between separators. No part gives back what it
+# took, so a run is read once: capitals belong together, as do the letters after them.
+BLOCK = rb"(?:(?:[a-z]++|[0-9]++)(?:[A-Z]++[a-z]*+)*+|(?:[A-Z]++[a-z]*+)++)"
+IDENTIFIER = BLOCK + rb"(?:[_/=+-]++" + BLOCK + rb")*+[_/=+-]*+"
 
 SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, n_random bigint, base_sha256 string, spans string"
 
@@ -57,12 +61,16 @@ def tiktoken_encoding(path: str):
 
 
 class Scanner:
-    """Finds the spans of one text; ``encoding`` gives the tokens of a run."""
+    """Finds the spans of one text; ``encoding`` gives the tokens of a run.
 
-    def __init__(self, encoding, chars_per_token: float = CHARS_PER_TOKEN):
-        self.encoding, self.chars_per_token = encoding, chars_per_token
+    Runs of fewer than ``least_run`` characters are not judged, nor are those without a
+    letter unless ``digits_too``: long numbers cost many tokens as well.
+    """
+
+    def __init__(self, encoding, chars_per_token: float = CHARS_PER_TOKEN, least_run: int = LEAST_RUN, digits_too: bool = False):
+        self.encoding, self.chars_per_token, self.least_run, self.digits_too = encoding, chars_per_token, least_run, digits_too
         self.assign, self.access, self.hex = (re.compile(p) for p in (ASSIGN, ACCESS, HEX))
-        self.run, self.digest, self.uuid, self.identifier = (re.compile(p) for p in (RUN, DIGEST, UUID, IDENTIFIER))
+        self.run, self.digest, self.uuid, self.identifier = (re.compile(p) for p in (RUN % least_run, DIGEST, UUID, IDENTIFIER))
 
     def spans(self, text: bytes) -> list[tuple[int, int, int]]:
         """(start, kind, end) in code points, ascending."""
@@ -72,16 +80,16 @@ class Scanner:
             found += [(m.start(), 0, m.end()) for m in self.assign.finditer(text) if m.end(2) - m.start(2) >= LEAST_VALUE]
         if b"AKIA" in text:
             found += [(m.start(), 1, m.end()) for m in self.access.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
-        if any(len(w) >= LEAST_RUN for w in text.split()):
+        if any(len(w) >= min(self.least_run, LEAST_HEX) for w in text.split()):
             found += [(m.start(), 2, m.end()) for m in self.hex.finditer(text) if m.end() - m.start() >= LEAST_HEX]
-            known = sorted((s, e) for s, _, e in found)
-            found += [(m.start(), 3, m.end()) for m in self.run.finditer(text) if not _meets(known, m.start(), m.end()) and self.is_random(m.group())]
+            known = _Known(found)
+            found += [(m.start(), 3, m.end()) for m in self.run.finditer(text) if not known.meet(m.start(), m.end()) and self.is_random(m.group())]
         return self._in_code_points(text, sorted(found))
 
     def is_random(self, run: bytes) -> bool:
         if self.uuid.fullmatch(run) or (self.digest.fullmatch(run) and len(run) in DIGEST_LENGTHS):
             return False
-        if not re.search(rb"[A-Za-z]", run):
+        if not self.digits_too and not re.search(rb"[A-Za-z]", run):
             return False
         if self.identifier.fullmatch(run) and len(re.findall(rb"[A-Za-z]{4,}", run)) * 12 >= len(run):
             return False
@@ -98,22 +106,38 @@ class Scanner:
         return [(places[s], k, places[e]) for s, k, e in found]
 
 
-def _meets(known: list[tuple[int, int]], start: int, end: int) -> bool:
-    return any(s < end and start < e for s, e in known)
+class _Known:
+    """Spans in order of their starts, and how far those up to each one reach."""
+
+    def __init__(self, found: list[tuple[int, int, int]]):
+        spans = sorted((s, e) for s, _, e in found)
+        self.starts, self.reach = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
+
+    def meet(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)
+        return before > 0 and self.reach[before - 1] > start
 
 
 def _joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(
+    docs: DataFrame,
+    vocabulary: str,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    chars_per_token: float = CHARS_PER_TOKEN,
+    least_run: int = LEAST_RUN,
+    digits_too: bool = False,
+) -> DataFrame:
     """One row per row of ``docs``: counts by kind, the digest of the known spans, and all spans.
 
     ``vocabulary`` is the path of a tiktoken rank file, the same on all machines.
     """
 
     def run(batches):
-        scanner = kept_in_worker(f"scanner {vocabulary}", lambda: Scanner(tiktoken_encoding(vocabulary)))
+        scanner = Scanner(kept_in_worker(f"ranks {vocabulary}", lambda: tiktoken_encoding(vocabulary)), chars_per_token, least_run, digits_too)
         for batch in slices(batches):
             rows = []
             for t in batch.column(1).cast(pa.binary()).to_pylist():

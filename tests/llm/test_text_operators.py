@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import time
 import zlib
 from collections import Counter
 
@@ -213,3 +214,27 @@ def test_decontamination_of_nothing(odd, none, spark):
     one = spark.createDataFrame([(1, " ".join(WORDS))], "item_id bigint, text string")
     assert decontamination.search(none, one).count() == 0
     assert sorted(str(r.doc_id) for r in decontamination.search(odd, one).collect()) == ["7", "7", "9", "None"]
+
+
+def test_identifiers_are_read_once():
+    scanner = secret_scans.Scanner(secret_scans.tiktoken_encoding(RANKS))
+    start = time.time()
+    for run in (b"A" * 10_000 + b"1", b"ACGT" * 2500 + b"1", b"aB" * 5000 + b"1", b"a_" * 5000 + b"=1x"):
+        assert not scanner.identifier.fullmatch(run + b"1a")
+        scanner.spans(run)
+    assert time.time() - start < 20
+    known = ["snake_case_name", "CamelCaseName", "HTTPServer", "a/b/c", "x-1-2", "ABC", "abcDEF_12Ab", "_a", "1a", "a1", "a__", ""]
+    assert [bool(scanner.identifier.fullmatch(k.encode())) for k in known] == [True] * 7 + [False] * 3 + [True, False]
+
+
+def test_runs_that_meet_known_spans():
+    known = secret_scans._Known([(10, 0, 20), (12, 2, 14), (40, 1, 41)])
+    for a in range(50):
+        for b in range(a + 1, 51):
+            assert known.meet(a, b) == any(s < b and a < e for s, e in ((10, 20), (12, 14), (40, 41)))
+
+
+def test_secret_scan_parameters(spark):
+    rows = spark.createDataFrame([(1, "k9Xq2Lm7Zp 83920174650912837465")], "doc_id bigint, text string")
+    spans = lambda **k: secret_scans.scan(rows, RANKS, **k).first().spans
+    assert spans() == "" and spans(least_run=10) == "random:0:10" and spans(digits_too=True, chars_per_token=4.0) == "random:11:31"
