@@ -2,22 +2,27 @@
 
 ``write_warc`` stores pages as WARC files, ``records`` reads them back as one row
 per record with its place and SHA-256, and ``audit`` compares two replicas. Each
-archive's records are the leaves of a tree: a node's hash covers the hashes of up
-to ``FANOUT`` children in order and the range of offsets they span, and the
-archives' roots go on to one root of the replica. The audit starts at the two
-roots and descends only where hashes differ, so equal branches are never joined
-below their top.
-
-A node gathers at most ``FANOUT`` rows. An archive is closed after
-``ARCHIVE_BYTES`` (or one longer record), which bounds what a reading task holds.
-Archives and places come from the order in which Spark deals out the table's
-files, so a repeated task writes the same file again.
+archive's records are the leaves of a tree. A node covers a stretch of records that
+begins where a hash of the record id is a multiple of ``FANOUT`` (of its powers,
+further up), about ``FANOUT`` children. Its hash covers the hashes of its children in
+order and their ranges of offsets, counted from the node's own start. So a record that
+is lost, added or of another length changes the nodes above it and no others, however
+far it moves what follows. The archives' roots go on to one root of the replica. The
+audit starts at the two roots and descends only where hashes differ; below the lowest
+nodes that differ, records are matched by id.
+
+A node gathers some ``FANOUT`` rows, and at most an archive's. An archive is closed
+after ``ARCHIVE_BYTES`` (or one longer record), which bounds what a reading task holds.
+Archives and places come from the order in which Spark deals out the table's files, so
+a repeated task writes the same file again.
 
 Defined cases: a null page is an empty payload, a null url an empty header value,
 line ends in a url become blanks; null and repeated ids are kept as separate
 records; an empty table gives empty archives and an empty audit; other columns are
 ignored. Where a record's stated length does not lead to the next record, or its
-header is broken, it ends before the next record mark.
+header is broken, it ends before the next record mark. A record whose id cannot be read
+any more is ``extra``, and its original ``missing``. Records of one id are matched in
+their order; a record that only moved is not reported.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ import re
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keepsake.llm.common import slices
@@ -115,83 +120,89 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("archive").cast("bigint"), "content").mapInArrow(run, RECORDS)
 
 
-def _parents(nodes: DataFrame, keys: list[str], place: str) -> DataFrame:
-    """Nodes one level up: up to FANOUT children, in order of ``place``, to one."""
+def _folded(nodes: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """One node per ``keys`` and side: the hash of its children in order of ``place``, with ranges counted from its start."""
     child = F.struct(F.col(place).alias("place"), "digest", "start", "stop")
-    grouped = nodes.groupBy(*keys, F.expr(f"{place} div {FANOUT}").alias(place)).agg(F.sort_array(F.collect_list(child)).alias("c"))
-    seen = F.transform("c", lambda x: F.concat_ws(":", x["place"].cast("string"), x["start"].cast("string"), x["stop"].cast("string"), x["digest"]))
-    return grouped.select(
-        *keys,
-        place,
-        F.sha2(F.concat_ws("\n", seen), 256).alias("digest"),
-        F.array_min(F.transform("c", lambda x: x["start"])).alias("start"),
-        F.array_max(F.transform("c", lambda x: x["stop"])).alias("stop"),
-    )
+    grouped = nodes.groupBy("side", *keys).agg(F.sort_array(F.collect_list(child)).alias("c"), F.min("start").alias("start"), F.max("stop").alias("stop"))
+    seen = F.transform("c", lambda x: F.concat_ws(":", *[(x[c] - F.col("start")).cast("string") for c in ("start", "stop")], x["digest"]))
+    return grouped.select("side", *keys, F.sha2(F.concat_ws("\n", seen), 256).alias("digest"), "start", "stop")
+
+
+def _rooted(archives: DataFrame) -> DataFrame:
+    """Roots of archives one level up: up to FANOUT to one, by number."""
+    child = F.struct("archive", "digest")
+    grouped = archives.groupBy("side", F.expr(f"archive div {FANOUT}").alias("archive")).agg(F.sort_array(F.collect_list(child)).alias("c"))
+    seen = F.transform("c", lambda x: F.concat_ws(":", x["archive"].cast("string"), x["digest"]))
+    return grouped.select("side", "archive", F.sha2(F.concat_ws("\n", seen), 256).alias("digest"))
 
 
 def _height(most: int) -> int:
+    """Levels of nodes of about FANOUT children each over so many places."""
     n = 0
-    while most:
-        most, n = most // FANOUT, n + 1
+    while FANOUT ** (n + 1) <= most:
+        n += 1
     return n
 
 
-def tree(leaves: DataFrame) -> list[tuple[str, DataFrame]]:
-    """Levels of both replicas' trees (column ``side``), from the leaves to the roots, each with the name of its place.
+def tree(leaves: DataFrame) -> list[tuple[list[str], DataFrame]]:
+    """Levels of both replicas' trees (column ``side``), from the leaves to the roots, each with the columns that name a node.
 
-    Archives are the places above the records. Every level is written out: the
-    descent reads each once more.
+    ``node1`` is the id of the record that begins a lowest node, and so on; archives are
+    above them. Every level is written out: the descent reads each once more.
     """
     most = leaves.agg(F.max("ordinal").alias("o"), F.max("archive").alias("a")).first()
-    levels = [("ordinal", leaves)]
-    for _ in range(max(1, _height(most.o or 0))):
-        levels.append(("ordinal", cut(_parents(levels[-1][1], ["side", "archive"], "ordinal"))))
-    # The last of these levels has one node per archive.
-    levels.append(("archive", levels.pop()[1].select("side", "archive", "digest", "start", "stop")))
-    for _ in range(_height(most.a or 0)):
-        levels.append(("archive", cut(_parents(levels[-1][1], ["side"], "archive"))))
+    names = [f"node{k}" for k in range(1, _height(most.o or 0) + 1)]
+    before = Window.partitionBy("side", "archive").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begins = {name: F.when(F.crc32("record_id") % FANOUT**k == 0, F.col("record_id")) for k, name in enumerate(names, 1)}
+    placed = leaves.withColumns({name: F.coalesce(F.last(own, True).over(before), F.lit("")) for name, own in begins.items()}) if names else leaves
+    levels = [(["archive", *names], cut(placed))]
+    for k in range(1, len(names) + 1):
+        keys = ["archive", *names[k - 1 :]]
+        levels.append((keys, cut(_folded(levels[-1][1], keys, "start"))))
+    levels.append((["archive"], cut(_folded(levels[-1][1], ["archive"], "start"))))
+    for _ in range(_height(most.a or 0) + 1):
+        levels.append((["archive"], cut(_rooted(levels[-1][1]))))
     return levels
 
 
-def _differing(level: DataFrame, keys: list[str]) -> DataFrame:
-    """Places at which the two sides' hashes differ, or one side has nothing; a group has two rows at most."""
-    nodes = level.groupBy(*keys).agg(*[F.first(F.when(F.col("side") == side, F.struct(*_carried(level))), True).alias(side) for side in "ab"])
-    return nodes.where(~F.col("a.digest").eqNullSafe(F.col("b.digest")))
+def _sides(nodes: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
+    """Both sides' nodes at each place where their hashes differ or one has nothing; a group has two rows at most."""
+    both = nodes.groupBy(*keys).agg(*[F.first(F.when(F.col("side") == side, F.struct(*carried)), True).alias(side) for side in "ab"])
+    return both.where(~F.col("a.digest").eqNullSafe(F.col("b.digest")))
 
 
-def _carried(level: DataFrame) -> list[str]:
-    return [c for c in ("record_id", "start", "stop", "digest") if c in level.columns]
+def descend(leaves: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Leaves of both sides below differing nodes, and the number of such nodes per level, from the top."""
+    (lowest, records_), *levels = tree(leaves)
+    suspect, counts = None, []
+    for i, (keys, level) in enumerate(reversed(levels)):
+        # Roots of several archives are above those of one.
+        above = i <= len(levels) - len(lowest)
+        if suspect is not None and above:
+            parent = suspect.withColumnRenamed("archive", "_parent")
+            level = level.withColumn("_parent", F.expr(f"archive div {FANOUT}")).join(parent, "_parent", "left_semi").drop("_parent")
+        elif suspect is not None:
+            level = level.join(suspect, suspect.columns, "left_semi")
+        suspect = cut(_sides(level, keys, ["digest"]).select(*keys))
+        counts.append(suspect.count())
+    return records_.join(suspect, suspect.columns, "left_semi"), counts
 
 
 def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
-    """Records that differ: archive, ordinal, record_id, state, and both offset ranges.
+    """Records that differ: archive, ordinal (of the original, if there), record_id, state, and both offset ranges.
 
     ``state`` is ``changed``, ``missing`` (in the replica) or ``extra``.
     """
     leaves = cut(original.withColumn("side", F.lit("a")).unionByName(replica.withColumn("side", F.lit("b"))))
-    suspect = None
-    for place, level in reversed(tree(leaves)):
-        keys = ["archive"] if place == "archive" else ["archive", "ordinal"]
-        found = _differing(level if suspect is None else _below(level, suspect, place), keys)
-        if "record_id" in level.columns:
-            break
-        suspect = cut(found.select(*keys))
+    below, _ = descend(leaves)
+    same_id = Window.partitionBy("side", "archive", "record_id").orderBy("ordinal")
+    numbered = below.withColumn("number", F.row_number().over(same_id))
+    found = _sides(numbered, ["archive", "record_id", "number"], ["ordinal", "start", "stop", "digest"])
     state = F.when(F.col("b.digest").isNull(), "missing").when(F.col("a.digest").isNull(), "extra").otherwise("changed")
     return found.select(
         "archive",
-        "ordinal",
-        F.coalesce("a.record_id", "b.record_id").alias("record_id"),
+        F.coalesce("a.ordinal", "b.ordinal").alias("ordinal"),
+        "record_id",
         state.alias("state"),
         *[F.col(f"{side}.{c}").alias(f"{name}_{c}") for side, name in (("a", "original"), ("b", "replica")) for c in ("start", "stop")],
     )
-
-
-def _below(level: DataFrame, suspect: DataFrame, place: str) -> DataFrame:
-    """Children of the suspect nodes."""
-    if place == "archive":
-        parent = suspect.withColumnRenamed("archive", "_parent")
-        return level.withColumn("_parent", F.expr(f"archive div {FANOUT}")).join(parent, "_parent", "left_semi").drop("_parent")
-    if "ordinal" not in suspect.columns:
-        return level.join(suspect, "archive", "left_semi")
-    parent = suspect.withColumnRenamed("ordinal", "_parent")
-    return level.withColumn("_parent", F.expr(f"ordinal div {FANOUT}")).join(parent, ["archive", "_parent"], "left_semi").drop("_parent")

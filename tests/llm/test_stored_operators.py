@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import hashlib
 import tempfile
 import zlib
 
@@ -232,3 +233,46 @@ def test_audit_of_empty_archives(spark):
     assert warc_fixity.audit(empty, empty).count() == 0
     one = spark.createDataFrame([(0, 0, "1", 0, 9, "d")], warc_fixity.RECORDS)
     assert [r.state for r in warc_fixity.audit(empty, one).collect()] == ["extra"]
+
+
+def replica(rows, change):
+    """Records (as ``records`` gives them) of one archive of payloads, some changed, lost or added."""
+    out, at = [], 0
+    for n, (name, payload) in enumerate(change(rows)):
+        out.append((0, n, name, at, at + len(payload), hashlib.sha256(payload.encode()).hexdigest()))
+        at += len(payload)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_audit_equals_plain_comparison(spark, monkeypatch, seed):
+    monkeypatch.setattr(warc_fixity, "FANOUT", 8)
+    rng = random.Random(seed)
+    rows = [(str(i), f"payload {i} " + "x" * rng.randint(0, 50)) for i in range(700)] + [("twice", "a"), ("twice", "b"), (None, "c")]
+    changed = {rng.randrange(700) for _ in range(4)}
+    lost = {rng.randrange(700) for _ in range(3)} - changed
+    extra = rng.randrange(700)
+
+    def change(rows):
+        for n, (name, payload) in enumerate(rows):
+            if n == extra:
+                yield "new", "new payload"
+            if n not in lost:
+                yield name, payload + "longer" if n in changed else payload
+
+    a, b = (spark.createDataFrame(replica(rows, c), warc_fixity.RECORDS) for c in (list, change))
+    got = {(r.record_id, r.state): r for r in warc_fixity.audit(a, b).collect()}
+    assert set(got) == {(str(n), "changed") for n in changed} | {(str(n), "missing") for n in lost} | {("new", "extra")}
+    assert all(r.ordinal == int(r.record_id) for r in got.values() if r.state != "extra")
+    leaves = a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b")))
+    below, counts = warc_fixity.descend(leaves)
+    # A record changes its own branch, and one more where it begins a node.
+    assert max(counts) <= 2 * (len(changed) + len(lost) + 1)
+    assert below.count() < leaves.count() / 2
+
+
+def test_audit_without_differences_opens_nothing(spark):
+    rows = [(str(i), "x" * (i % 7)) for i in range(200)]
+    a = spark.createDataFrame(replica(rows, list), warc_fixity.RECORDS)
+    below, counts = warc_fixity.descend(a.withColumn("side", F.lit("a")).unionByName(a.withColumn("side", F.lit("b"))))
+    assert below.count() == 0 and not any(counts)
