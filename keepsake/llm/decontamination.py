@@ -29,11 +29,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake.llm.common import id_text, slices
 from keepsake.llm.hashing import list_array, sets, shingles
+from keepsake.session import cut
 
 PERCENT = 80
 BLOCK_SHINGLES = 1 << 20
@@ -122,16 +123,33 @@ def _blocks(items: DataFrame, item_id: str, text: str) -> list[tuple[list[int],
             yield [r.item_id for r in rows], [np.array(r.hashes, np.int64).view(np.uint64) for r in rows]
 
 
-def _each_block(docs: DataFrame, items: DataFrame, item_id: str, item_text: str) -> Iterator[Callable[[], Index]]:
-    for ids, own in _blocks(items, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast((ids, own))
-        yield lambda shared=shared: Index(*shared.value)
+def _each_block(spark: SparkSession, items: DataFrame, item_id: str, item_text: str) -> Iterator[tuple[Callable[[], Index], Callable[[DataFrame], DataFrame]]]:
+    """Each block's index, and what to do with the result of its pass.
+
+    With several blocks a pass is written out and its block taken from the executors
+    before the next one is searched; a single block stays until the result is read.
+    """
+    blocks = _blocks(items, item_id, item_text)
+    block, following = next(blocks, None), next(blocks, None)
+    several = following is not None
+    while block is not None:
+        shared = spark.sparkContext.broadcast(block)
+
+        def done(result: DataFrame, shared=shared) -> DataFrame:
+            if not several:
+                return result
+            result = cut(result)
+            shared.destroy()
+            return result
+
+        yield (lambda shared=shared: Index(*shared.value)), done
+        block, following = following, next(blocks, None)
 
 
 def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """All pairs of a document and an item of which it holds at least ``PERCENT`` of the shingles."""
     plain, found = id_text(docs, doc_id, text), []
-    for index in _each_block(docs, items, item_id, item_text):
+    for index, done in _each_block(docs.sparkSession, items, item_id, item_text):
 
         def run(batches, index=index):
             known = index()
@@ -144,7 +162,7 @@ def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
                         names=["doc_id", "item_id", "n_shared", "n_item_shingles", "containment"],
                     )
 
-        found.append(plain.mapInArrow(run, HITS))
+        found.append(done(plain.mapInArrow(run, HITS)))
     if not found:
         return docs.sparkSession.createDataFrame([], HITS)
     out = found[0]
@@ -156,7 +174,7 @@ def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
     place = docs.columns.index(text)
-    for index in _each_block(docs, items, item_id, item_text):
+    for index, done in _each_block(docs.sparkSession, items, item_id, item_text):
 
         def run(batches, index=index):
             known = index()
@@ -165,5 +183,5 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
                 keep[[row for row, *_ in known.hits(batch.column(place))]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = done(docs.mapInArrow(run, docs.schema))
     return docs
