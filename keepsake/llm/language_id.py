@@ -124,7 +124,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     # Ids are chosen first, so that texts of other rows are not sorted.
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = rows.select("id", "lang").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
-    sample = rows.join(F.broadcast(chosen), ["id", "lang"]).select("rank", "lang", "text")
+    # One text of each chosen id, however many rows have it.
+    sample = rows.join(F.broadcast(chosen), ["id", "lang"]).groupBy("rank", "lang").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def run(batches):
         letters = kept_in_worker("letters", _letters)
