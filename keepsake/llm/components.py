@@ -1,6 +1,7 @@
 """Connected components of undirected edges, by alternating star contraction.
 
-Each task first reduces its edges to a forest. Then two steps alternate: a large
+Each task first reduces its edges to a forest. Up to ``LAST_EDGES`` edges, what is left
+is joined in one task. Beyond that, two steps alternate: a large
 star hangs every larger neighbour of a node on the least of its neighbourhood, a
 small star hangs the smaller neighbours there. Both keep the components; when
 nothing changes, every node hangs on the least node of its component. The number
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from keepsake.session import cut
 
 EDGES = "a bigint, b bigint"
+# Edges that one task may join at the end; some 200 bytes each.
+LAST_EDGES = 200_000
 
 
 def forest_edges(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -49,6 +52,14 @@ def _forest(batches):
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node of its component) of every node of ``edges`` (a, b)."""
     now = cut(edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).where("a <> b").mapInArrow(_forest, EDGES))
+    if now.count() <= LAST_EDGES:
+
+        def joined(batches):
+            yield from _forest([b for t in [pa.Table.from_batches(batches, schema)] for b in t.combine_chunks().to_batches()])
+
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        last = now.coalesce(1).mapInArrow(joined, EDGES)
+        return cut(last).select(F.col("a").alias("node"), F.col("b").alias("component"))
     before = None
     while (mark := _mark(now)) != before:
         before = mark

@@ -60,16 +60,21 @@ class Repeated:
 
     def flagged(self, rows: DataFrame) -> DataFrame:
         """``rows`` (with a column ``hash``) and ``possible``: false only where the hash occurs once."""
-        keys = self.groups.count()
-        blocks = max(1, -(-keys * BITS_PER_KEY // (64 * WORDS)))
-        if blocks > FILTER_BLOCKS:
-            return rows.withColumn("possible", F.lit(True))
-        bloom = F.broadcast(bloom_filter(self.groups.select(F.col("hash").alias("key")), blocks))
-        probed = rows.withColumn("key", F.col("hash")).withColumn("block", _block("key", blocks)).join(bloom, "block", "left")
-        hit = F.lit(True)
-        for w in range(WORDS):
-            hit = hit & (F.col(f"word{w}").bitwiseAND(_word("key", w)) == _word("key", w))
-        return probed.select(*rows.columns, F.coalesce(hit, F.lit(False)).alias("possible"))
+        return flagged(rows, "hash", self.groups.select("hash"))
+
+
+def flagged(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """``rows`` and ``possible``: false only where ``column`` is none of the ``keys`` (one column, distinct)."""
+    held = keys.select(F.col(keys.columns[0]).alias("key"))
+    blocks = max(1, -(-held.count() * BITS_PER_KEY // (64 * WORDS)))
+    if blocks > FILTER_BLOCKS:
+        return rows.withColumn("possible", F.lit(True))
+    bloom = F.broadcast(bloom_filter(held, blocks))
+    probed = rows.withColumn("key", F.col(column)).withColumn("block", _block("key", blocks)).join(bloom, "block", "left")
+    hit = F.lit(True)
+    for w in range(WORDS):
+        hit = hit & (F.col(f"word{w}").bitwiseAND(_word("key", w)) == _word("key", w))
+    return probed.select(*rows.columns, F.coalesce(hit, F.lit(False)).alias("possible"))
 
 
 def same_text(rows: DataFrame, name: str, fold: Callable[[Column | str], Column], value: Column) -> DataFrame:

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from keepsake.llm import linking
 from keepsake.llm.common import keyed, row_key, slices
 from keepsake.llm.components import components
-from keepsake.llm.hashing import list_array, mix, sets
+from keepsake.llm.hashing import list_array, mix, sets, shingles
 from keepsake.llm.sketches import gathered, sliced, within
 from keepsake.session import cut
 
@@ -172,7 +172,7 @@ def _grouped(classes: DataFrame, plain: DataFrame, percent: int) -> tuple[DataFr
     buckets = classes.select(F.explode("keys").alias("key"), F.col("class").alias("member"), "n")
     pairs = cut(linking.pivot_pairs(linking.with_pivots(buckets), percent).where(F.col("n_keys") >= LEAST_KEYS).select("a", "b"))
     texts = linking.texts_of(plain, pairs.select(F.explode(F.array("a", "b")).alias("member")).distinct(), _texts)
-    links = cut(linking.verified(pairs, texts, sets, percent))
+    links = cut(linking.verified(pairs, texts, shingles, percent))
     groups = cut(components(links))
     of = classes.select("class", "n").join(groups.withColumnRenamed("node", "class"), "class", "left")
     return links, of.select("class", "n", F.coalesce("component", "class").alias("group"))

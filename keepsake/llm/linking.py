@@ -27,6 +27,7 @@ PIVOTS = 4
 TILE = 256
 # Columns of one block of a tile's incidence matrices.
 COLUMNS = 8192
+PAIR_BYTES = 1 << 17
 
 TEXTS = "member bigint, text string"
 
@@ -64,22 +65,40 @@ def pivot_pairs(pivoted: DataFrame, percent: int) -> DataFrame:
     return pair.groupBy(F.greatest("member", "p.member").alias("a"), F.least("member", "p.member").alias("b")).agg(F.count(F.lit(1)).alias("n_keys"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, sets, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the Jaccard similarity."""
+def verified(pairs: DataFrame, texts: DataFrame, shingles, percent: int) -> DataFrame:
+    """The pairs (a, b) that reach the Jaccard similarity; ``shingles`` gives the hashes of a column's texts and their numbers."""
     both = pairs.select("a", "b").join(texts.select(F.col("member").alias("a"), F.col("text").alias("x")), "a")
     both = both.join(texts.select(F.col("member").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches):
-        for batch in slices(batches, "x"):
-            keep = []
-            for x, y in zip(sets(batch.column(2)), sets(batch.column(3))):
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
+        # Few texts at a time, as all their shingles are sorted.
+        for batch in slices(batches, "x", PAIR_BYTES):
+            for part in slices([batch], "y", PAIR_BYTES, ends=False):
+                keep = _alike(*shingles(part.column(2)), *shingles(part.column(3)), percent)
+                yield pa.RecordBatch.from_arrays([part.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
     return both.select("a", "b", "x", "y").mapInArrow(run, EDGES)
 
 
+def _alike(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sets reach the similarity: hashes of ``n[i]`` and ``m[i]`` shingles, repeats among them; empty sets do not."""
+    pairs = len(n)
+    # The number of the pair and the first bits of the hash, some 50, make one number to sort by.
+    bits = np.uint64(64 - max(1, pairs).bit_length())
+
+    def sets(hashes, many):
+        own = np.sort(np.repeat(np.arange(pairs, dtype=np.uint64) << bits, many) | hashes >> (np.uint64(64) - bits))
+        return own[np.append(True, own[1:] != own[:-1])] if len(own) else own
+
+    def count(members):
+        return np.bincount((members >> bits).astype(np.int64), minlength=pairs)
+
+    a, b = sets(x, n), sets(y, m)
+    every = np.sort(np.concatenate([a, b]))
+    shared = count(every[1:][every[1:] == every[:-1]])
+    return (shared > 0) & (100 * shared >= percent * (count(a) + count(b) - shared))
+
+
 def left_over(pivoted: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Visitors and hosts (key, member): of buckets of more than PIVOTS + 1 members that ``groups`` (node, component) leaves apart.
 
@@ -99,16 +118,31 @@ def left_over(pivoted: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFra
 
 def _tiled(rows: DataFrame, own: str, other: str, counts: DataFrame) -> DataFrame:
     """Give each row its own tile number and copy it to all tiles of the other side."""
+    more = [c for c in rows.columns if c not in ("key", "member")]
     tile = F.pmod(F.xxhash64("member"), F.ceil(F.col(f"n_{own}") / TILE).cast("bigint"))
     copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col(f"n_{other}") / TILE).cast("bigint") - 1))
-    return rows.join(counts, "key").select("key", "member", tile.alias(f"{own}_tile"), copies.alias(f"{other}_tile"), F.lit(own == "visitor").alias("visits"))
+    return rows.join(counts, "key").select("key", "member", *more, tile.alias(f"{own}_tile"), copies.alias(f"{other}_tile"), F.lit(own == "visitor").alias("visits"))
 
 
-def opened(visitors: DataFrame, hosts: DataFrame, texts: DataFrame, sets, percent: int) -> DataFrame:
-    """Links a, b between visitors and hosts (key, member each) of a key, as forests of tiles."""
+def opened(visitors: DataFrame, hosts: DataFrame, texts: DataFrame, sets, percent: int, near=None) -> DataFrame:
+    """Links a, b between visitors and hosts (key, member each) of a key, as forests of tiles.
+
+    ``near`` (two Arrow tables of further columns to a matrix of flags) may rule pairs
+    out before any text moves: of a tile only members with a partner left get theirs.
+    """
     counts = visitors.groupBy("key").agg(F.count(F.lit(1)).alias("n_visitor")).join(hosts.groupBy("key").agg(F.count(F.lit(1)).alias("n_host")), "key")
     both = _tiled(visitors, "visitor", "host", counts).unionByName(_tiled(hosts, "host", "visitor", counts))
-    rows = both.join(texts, "member")
+    if near is not None:
+
+        def partners(group: pa.Table) -> pa.Table:
+            flags = group.column("visits").to_numpy()
+            guests, rest = np.flatnonzero(flags), np.flatnonzero(~flags)
+            left = near(group.take(pa.array(guests)), group.take(pa.array(rest)))
+            chosen = np.concatenate([guests[left.any(axis=1)], rest[left.any(axis=0)]])
+            return group.select(["key", "member", "visitor_tile", "host_tile", "visits"]).take(pa.array(chosen))
+
+        both = cut(both.groupBy("key", "visitor_tile", "host_tile").applyInArrow(partners, both.select("key", "member", "visitor_tile", "host_tile", "visits").schema))
+    rows = both.select("key", "member", "visitor_tile", "host_tile", "visits").join(texts, "member")
 
     def compare(group: pa.Table) -> pa.Table:
         flags = group.column("visits").to_numpy()

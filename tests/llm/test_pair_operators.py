@@ -44,7 +44,9 @@ def test_shingle_hashes():
         assert names.setdefault(frozenset(hashes.tolist()), shingles(text)) == shingles(text)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("last", [0, 200_000])
+def test_components(spark, monkeypatch, last):
+    monkeypatch.setattr("keepsake.llm.components.LAST_EDGES", last)
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000 + i, 1000) for i in range(1, 200)] + [(5, 5)]
     edges += [(rng.randint(2000, 2400), rng.randint(2000, 2400)) for _ in range(250)]
@@ -124,7 +126,7 @@ def test_jaccard_clean_chooses_by_row(spark):
 
 def plain_dedup(rows):
     """Texts after dedup, and (doc, line) of the lines taken out."""
-    lines = [(i, n, x.strip(" \t\n\r\x0b\x0c")) for i, t in rows for n, x in enumerate((t or "").split("\n")) if len(words(x)) >= 5]
+    lines = [(i, n, x.strip(" \t\n\r\x0b\x0c")) for i, t in rows for n, x in enumerate((t or "").split("\n")) if words(x)]
     names = sorted({x for _, _, x in lines})
     sets = {x: {x[k : k + 8] for k in range(max(1, len(x) - 7))} for x in names}
     plain = Union()
@@ -169,14 +171,42 @@ def test_line_dedup_equals_brute_force(spark):
     assert {(r.doc_id, r.n_lines) for r in cleaned.collect()} == {(i, i) for i, _ in rows}
 
 
-def test_band_recall():
-    rng = random.Random(12)
-    a = [sentence(rng, 25) for _ in range(400)]
-    b = [x[:k] + "#" + x[k + 1 :] for x in a for k in [rng.randrange(len(x))]]
-    keys = [line_dedup.bands(*line_dedup.characters(t)) for t in (a, b)]
-    pairs = [similar(set(x.tolist()), set(y.tolist())) for x, y in zip(line_dedup.line_sets(pa.array(a)), line_dedup.line_sets(pa.array(b)))]
-    shared = (keys[0] == keys[1]).any(axis=1)
-    assert sum(pairs) > 300 and shared[np.array(pairs)].mean() > 0.98
+def test_recall_of_changed_lines(spark):
+    rows, linked = [], {}
+    for length in (10, 20, 45, 60, 80, 150, 400):
+        rng = random.Random(length)
+        a = [sentence(rng, length)[:length] for _ in range(300)]
+        # A change near the end leaves most shingles of a short line, one anywhere those of a long one.
+        b = [x[:k] + rng.choice("#&x9") + x[k + rng.randint(0, 1) :] for x in a for k in [rng.randrange(length) if length > 80 else length - rng.randint(1, 3)]]
+        pairs = zip(line_dedup.line_sets(pa.array(a)), line_dedup.line_sets(pa.array(b)))
+        linked[length] = [i for i, (x, y) in enumerate(pairs) if similar(set(x.tolist()), set(y.tolist()))]
+        rows += [(length * 10_000 + i, x) for i, x in enumerate(a)] + [(length * 10_000 + 1000 + i, x) for i, x in enumerate(b)]
+    left = {r.doc_id: r.text for r in line_dedup.clean(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    for length, own in linked.items():
+        found = [left[length * 10_000 + 1000 + i] == "" for i in own]
+        assert sum(found) >= (0.985 if length > 50 else 1) * len(found) and (len(found) > 50 or length < 20), length
+
+
+def test_lines_of_a_template_meet_few(spark):
+    texts = [f"Comments ({i})" for i in range(3000)] + [f"Posted on day {i % 900} by user{i}" for i in range(3000)]
+    shape = line_dedup.shapes(texts)
+    classes = spark.createDataFrame([(i, s) for i, s in enumerate(shape.to_pylist())], f"class bigint, shape {line_dedup.SHAPE}")
+    pivoted = linking.with_pivots(line_dedup._buckets(classes, 80))
+    sizes = pivoted.groupBy("key").count().collect()
+    assert sum(r["count"] ** 2 for r in sizes) < 100 * len(texts)
+
+
+def test_signatures_rule_out_no_short_pair():
+    rng = random.Random(31)
+    texts = [sentence(rng, 12)[: rng.randint(8, 47)] for _ in range(60)]
+    texts += [t[:-1] for t in texts] + [t + "s" for t in texts] + [t[1:] for t in texts] + ["a" * k for k in (1, 7, 8, 9, 20, 47)]
+    shape = line_dedup.shapes(texts)
+    table = pa.table({c: shape.field(c) for c in ("n", "marks")} | {"member": pa.array(range(len(texts)))})
+    near = line_dedup._near_tables(table, table)
+    sets = [set(x.tolist()) for x in line_dedup.line_sets(pa.array(texts))]
+    assert shape.field("n").to_pylist() == [len(x) for x in sets]
+    assert all(near[i, j] for i, x in enumerate(sets) for j, y in enumerate(sets) if i != j and similar(x, y))
+    assert 0 < near.sum() < near.size / 10
 
 
 def test_line_dedup_of_odd_rows(odd, none):
@@ -200,7 +230,7 @@ def test_line_dedup_tells_rows_of_one_id_apart(spark):
     assert sorted(lines) == sorted([a, b, d, f"{c}x", own, rows[-1][1]])
     texts = {n: [t for _, t, m in got if m == n] for _, _, n in rows}
     assert texts[1] == texts[2] == [""] and texts[5] == [f"{c}x"]
-    assert sorted(texts[6]) == sorted(["few words", "few words", f"{own}\nfew words"]) and sorted(texts[7]) == ["", rows[-1][1]]
+    assert sorted(texts[6]) == sorted(["", "", f"{own}\nfew words"]) and sorted(texts[7]) == ["", rows[-1][1]]
     assert all(r.n_lines - r.n_dropped == len([x for x in r.text.split("\n") if x]) for r in line_dedup.counted(docs).collect())
 
 
