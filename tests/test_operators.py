@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from keepsake.functions import content
-from keepsake.operators import extraction, graph, lexical, lifecycle, messages, packing, ranking, sessions, similarity, tools, vectors
+from keepsake.operators import admission, evaluation, extraction, graph, lexical, lifecycle, messages, packing, ranking, sessions, similarity, tools, vectors
 from keepsake.operators.ordering import with_next, with_position, with_previous
+from keepsake.plans import ingest
 from keepsake.sources import exchange, transcripts
+from keepsake.streaming import jobs
 
 def now():
     return F.lit("2024-02-01").cast("timestamp")
@@ -298,3 +300,39 @@ def test_blocks_in_blocks_are_opened(spark):
         nested = [{"type": "text", "content": nested}]
     rows = spark.createDataFrame([(1, text), (2, json.dumps(nested))], "id int, c string")
     assert [r.t for r in rows.select("id", content.flatten(F.col("c")).alias("t")).orderBy("id").collect()] == ["the  innermost text", "deep"]
+
+
+@pytest.mark.parametrize("whole", [10_000, 50])
+def test_percentiles_equal_exact_ones(spark, monkeypatch, whole):
+    monkeypatch.setattr(evaluation, "WHOLE_GROUP", whole)
+    rng = np.random.default_rng(6)
+    groups = {"a": rng.normal(size=3000), "b": rng.integers(0, 4, 2000).astype(float), "c": np.array([5.0]), None: rng.exponential(size=700), "same": np.full(900, 2.5)}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("a", None), ("empty", None)]
+    shares = [0.0, 0.5, 0.95, 1.0]
+    got = {r.g: r for r in evaluation.percentiles(spark.createDataFrame(rows, "g string, v double").repartition(4), "g", "v", shares).collect()}
+    assert set(got) == set(groups)
+    for g, values in groups.items():
+        assert got[g].n == len(values)
+        assert np.allclose([got[g][f"p{i}"] for i in range(4)], np.quantile(values, shares), atol=1e-12)
+
+
+def test_bumps_start_anew_only_without_batches(spark, tmp_path):
+    assert jobs.bumped(spark, f"{tmp_path}/none") is None
+    (tmp_path / "facts").mkdir()
+    assert jobs.bumped(spark, str(tmp_path)) is None
+    spark.createDataFrame([(1, 2)], "fact_id bigint, access_count bigint").write.parquet(f"{tmp_path}/facts/batch=0")
+    assert [r.access_count for r in jobs.bumped(spark, str(tmp_path)).collect()] == [2]
+
+
+def test_windows_of_two_batches_share_no_name(spark):
+    say = lambda a, b: spark.createDataFrame([("s", i, "user", f"a message with number {i}") for i in range(a, b)], "session_id string, seq bigint, role string, content string").withColumn("ts", now())
+    names = [{r.chunk_id for r in ingest.turns(say(a, a + 8), by_first=True).collect()} for a in (0, 8)]
+    assert len(names[0]) == len(names[1]) == 2 and not names[0] & names[1]
+
+
+def test_contradictions_give_edges_both_ways(spark):
+    rows = [(1, "it is not open", "it is open", ["Shop", "Door"], ["SHOP", "Key"]), (2, "it is open", "it is open", ["Shop"], ["Shop"])]
+    gone, edges = admission.contradiction_results(spark.createDataFrame(rows, "old_id bigint, old string, new string, old_entities array<string>, new_entities array<string>"))
+    assert [r.fact_id for r in gone.collect()] == [1]
+    found = {(r.src, r.dst) for r in edges.collect()}
+    assert found == {(b, a) for a, b in found} >= {("Shop", "Key"), ("Key", "Door"), ("Door", "SHOP")}
