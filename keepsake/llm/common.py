@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 # A task works on slices of a batch of about this much text (or one text, if longer).
 SLICE_BYTES = 1 << 19
+# Tokenizing keeps little besides the text, and larger slices cost it less.
+TOKEN_SLICE_BYTES = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +35,11 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return id_text(docs, doc_id, text).withColumn("row", row_key(F.col("doc_id"), F.col("text")))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches by the size of their texts, so that memory is bounded by the slice or the longest text."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES, ends: bool = True) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches by the size of their texts, so that memory is bounded by the slice or the longest text.
+
+    ``ends``: the task ends with the batches, and what it held is given back.
+    """
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -49,6 +54,21 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
                 start, held = i, 0
             held += n
         yield batch.slice(start)
+    if ends:
+        release()
+
+
+def release() -> None:
+    """Give memory that a task no longer uses back to the system; a worker that waits would keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # Only the GNU C library has it.
+        pass
 
 
 def kept_in_worker(key: str, make):

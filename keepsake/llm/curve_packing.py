@@ -114,6 +114,7 @@ def embedded(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, doc_i
                 ],
                 names=["doc_id", "n_tokens", "crc", "ids", "vector"],
             )
+        tok.rest()
 
     return id_text(docs, doc_id, text).mapInArrow(run, VECTORS)
 

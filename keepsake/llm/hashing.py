@@ -12,7 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 4 << 20
+# Bytes that are hashed at a time (or one word); the tables of powers that a worker keeps are as long.
+PIECE = 1 << 20
 _RANDOM = np.random.RandomState(20240201)
 _BYTE = _RANDOM.randint(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z

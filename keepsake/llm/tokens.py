@@ -13,8 +13,10 @@ import re
 
 import numpy as np
 
-# The cache is emptied beyond so many words; that costs time, never results.
-CACHE_WORDS = 900_000
+# The cache is emptied beyond so many words (some 200 bytes each), and beyond fewer at
+# the end of a task, when the worker may wait; that costs time, never results.
+CACHE_WORDS = 300_000
+KEPT_WORDS = 100_000
 # Words that aren't plain letters go to the tokenizer joined, so many at a time.
 JOIN = 512
 # Letters that are the same in all normal forms and in lower case one letter again, and a closing mark.
@@ -69,11 +71,16 @@ class WordTokenizer:
 
     def _clear(self) -> None:
         self.cache = _Cache()
-        self.ids = np.zeros(1 << 20, np.uint32)
-        self.starts = np.zeros(1 << 18, np.int64)
-        self.lengths = np.zeros(1 << 18, np.int32)
+        self.ids = np.zeros(1 << 18, np.uint32)
+        self.starts = np.zeros(1 << 16, np.int64)
+        self.lengths = np.zeros(1 << 16, np.int32)
         self.used = self.words = 0
 
+    def rest(self) -> None:
+        """At the end of a task: keep a small cache only."""
+        if len(self.cache) > KEPT_WORDS:
+            self._clear()
+
     def _store(self, many: list[list[int]]) -> None:
         """Ids of the waiting words in order; None for a word that makes its text go whole."""
         lengths = np.array([-1 if x is None else len(x) for x in many], np.int32)
