@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import id_text, kept_in_worker, slices
+from keepsake.llm.common import TOKEN_SLICE_BYTES, id_text, kept_in_worker, slices
 from keepsake.llm.tokens import WordTokenizer
 from keepsake.session import cut
 
@@ -52,21 +52,21 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, doc_
 
     def run(batches):
         tok = kept_in_worker(f"tokenizer {tokenizer}", lambda: WordTokenizer(tokenizer))
-        end = np.array([] if end_id is None else [end_id], np.uint32)
-        for batch in slices(batches):
+        for batch in slices(batches, most=TOKEN_SLICE_BYTES):
             ids, many = tok.encode([t or "" for t in batch.column(1).to_pylist()])
-            ends, own = np.cumsum(many), []
-            for e, n in zip(ends, many):
-                own.append(np.concatenate([ids[e - n : e], end]).astype("<u4"))
+            if end_id is not None:
+                ids, many = np.insert(ids, np.cumsum(many), end_id), many + 1
+            # Views of one array each; ids of a document are bytes first..last of it.
+            wide = memoryview(ids.astype("<u4").tobytes())
+            narrow = memoryview(ids.astype("<u2").tobytes()) if not len(ids) or int(ids.max()) < 1 << 16 else None
+            last = np.cumsum(many).tolist()
+            places = list(zip([0, *last], last))
+            stored = [b"".join((narrow[2 * a : 2 * b], b"\x02")) for a, b in places] if narrow is not None else [packed(ids[a:b]) for a, b in places]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(x) for x in own], pa.int64()),
-                    pa.array([zlib.crc32(x) for x in own], pa.int64()),
-                    pa.array([packed(x) for x in own], pa.binary()),
-                ],
+                [batch.column(0), pa.array(many, pa.int64()), pa.array([zlib.crc32(wide[4 * a : 4 * b]) for a, b in places], pa.int64()), pa.array(stored, pa.binary())],
                 names=["doc_id", "n_tokens", "crc", "ids"],
             )
+        tok.rest()
 
     return id_text(docs, doc_id, text).mapInArrow(run, TOKENS)
 
