@@ -267,7 +267,7 @@ def active(spark, sf):
 @query("merge_candidates", "LIF6", f"WITH {FACT_PAIRS} SELECT a, b, round(cosine, 4) AS cosine, round({AFF}, 4) AS affinity FROM cand WHERE {AFF} >= 0.35")
 def merge_candidates(spark, sf):
     rows = active(spark, sf)
-    out = lifecycle.merge_candidates(similarity.similar_pairs(rows, 0.35), rows, threshold=0.35)
+    out = lifecycle.merge_candidates(similarity.dated_pairs(rows, 0.35, lifecycle.affinity_value()), rows, threshold=0.35)
     return out.select("a", "b", F.round("cosine", 4).alias("cosine"), F.round("affinity", 4).alias("affinity"))
 
 
@@ -277,7 +277,8 @@ AGE_F = f"(0.5 + least({days_sql('ta')}, {days_sql('tb')}) * 86400 / greatest({d
 @query("merge_candidates_by_age", "LIF7", f"WITH {FACT_PAIRS} SELECT a, b, round(cosine * {AGE_F}, 4) AS combined FROM cand WHERE cosine * {AGE_F} >= 0.35")
 def merge_candidates_by_age(spark, sf):
     rows = active(spark, sf)
-    out = lifecycle.merge_candidates_by_age(similarity.similar_pairs(rows, 0.35), rows, d.as_of(), threshold=0.35)
+    now = spark.range(1).select(F.unix_micros(d.as_of())).first()[0]
+    out = lifecycle.merge_candidates_by_age(similarity.dated_pairs(rows, 0.35, lifecycle.age_value(now)), rows, d.as_of(), threshold=0.35)
     return out.select("a", "b", F.round("combined", 4).alias("combined"))
 
 
@@ -298,10 +299,12 @@ CLUSTER = f"""WITH RECURSIVE {FACT_PAIRS}, edge AS MATERIALIZED (SELECT a, b FRO
 
 @query("merge_clusters", "LIF8", f"{CLUSTER} SELECT id, keeper_id FROM chosen")
 def merge_clusters(spark, sf):
-    rows = active(spark, sf)
-    cand = lifecycle.merge_candidates(similarity.similar_pairs(rows, 0.35), rows, threshold=0.35)
-    nodes = rows.select(F.col("fact_id").alias("id"), "importance", "ts")
-    return lifecycle.choose_keepers(nodes, cand, ["importance", "ts"])
+    rows = cut(active(spark, sf).select(F.col("fact_id").alias("id"), "importance", "ts", F.col("embedding").alias("vec")))
+
+    def pairs(one_each):
+        return lifecycle.merge_candidates(similarity.dated_pairs(one_each, 0.35, lifecycle.affinity_value(), "id", "vec"), one_each, threshold=0.35)
+
+    return lifecycle.choose_keepers_by_vector(rows, ["importance", "ts"], pairs, ["ts"])
 
 
 @query("merged_rows", "LIF9", f"""{CLUSTER} SELECT keeper_id, count(*) AS consolidated_from, max(access_count) AS access_count, max(importance) AS importance,
