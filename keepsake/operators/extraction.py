@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +58,51 @@ FACT_RULES = [
     ("rule", r"(?:总是|始终|永远|绝对不|从不)\s*(.{1,60}?)(?:[，。！\n]|$)"),
     ("deadline", r"(?:截止|截止日期|deadline)[是为：:]\s*(.{1,30}?)(?:[，。！\n]|$)"),
 ]
+# Of these words (lower case) every match of the rule holds one. In the order of the rules.
+RULE_WORDS = dict(zip((p for _, p in FACT_RULES), [
+    ["my name is", "i am", "i'm"],
+    ["i work", "i am working"],
+    ["im a", "i'm a"],
+    ["im a", "i'm a"],
+    ["i've been", "i have been"],
+    ["i've been", "i have been"],
+    ["i'm", "i am", "my role"],
+    ["i live in", "i am in", "i stay in", "i'm from", "i'm based in"],
+    ["i bought", "i rent", "i own", "i moved to"],
+    ["bought", "purchased", "own", "rent", "moved to"],
+    ["i studied", "i went to", "i graduated from", "i did my"],
+    ["my "],
+    ["i've been", "i have been"],
+    ["i like", "i love", "i prefer", "i enjoy", "i hate", "i dislike"],
+    ["my partner", "my wife", "my husband", "my sister", "my brother", "my friend", "my coworker", "my colleague", "my neighbor"],
+    ["my phone is", "my email is", "my address is", "my birthday is", "my goal is", "my project is"],
+    ["remember:", "note:", "important:"],
+    ["always", "never"],
+    ["the api", "the key", "the token", "the secret", "the password"],
+    ["deadline", "due date", "by"],
+    ["i used", "i ran", "i executed", "i called", "i invoked", "using", "via"],
+    ["installed", "added", "enabled", "activated"],
+    ["switched to", "now using", "changed to", "upgrade to"],
+    ["the current", "the active"],
+    ["to fix", "to solve", "to handle", "to do", "to implement", "to run", "to search", "to find", "to create", "to build"],
+    ["the best way to", "the correct way to", "the right way to"],
+    ["workflow", "step", "process"],
+    ["always", "when"],
+    ["我叫", "我的名字是"],
+    ["我在"],
+    ["我是", "我做"],
+    ["我的"],
+    ["我"],
+    ["我现在", "我目前"],
+    ["我在", "我毕业于", "我就读于", "我读书于"],
+    ["我的学校"],
+    ["我"],
+    ["我"],
+    ["我的"],
+    ["记住", "注意", "重要"],
+    ["总是", "始终", "永远", "绝对不", "从不"],
+    ["截止", "deadline"],
+], strict=True))
 IMPORTANCE_FLOOR = {
     "identity": 0.80, "rule": 0.80, "preference": 0.75, "work": 0.65, "personal": 0.65, "reminder": 0.65,
     "decision": 0.60, "procedure": 0.55, "location": 0.55, "capability_gained": 0.55, "env_change": 0.50,
@@ -79,18 +126,24 @@ EPISODE_TYPES = [
 
 
 def rule_matches(text: Column) -> Column:
-    """Array of (category, content): every match of every rule, a snippet once, by its first rule."""
-    def hits(category: str, pattern: str) -> Column:
-        as_fact = lambda m: F.struct(F.lit(category).alias("category"), F.substring(tx.strip(m), 1, 200).alias("content"))
-        return F.transform(tx.all_matches(text, pattern), as_fact)
+    """Array of (category, content): every match of every rule, a snippet once, by its first rule.
 
-    found = F.filter(F.concat(*[hits(c, p) for c, p in FACT_RULES]), lambda x: x["content"] != "")
+    A rule is only tried on a text that holds, in any case, one of the words each of its matches has.
+    """
+    none = F.array().cast("array<string>")
+
+    def hits(low: Column, category: str, pattern: str) -> Column:
+        as_fact = lambda m: F.struct(F.lit(category).alias("category"), F.substring(tx.strip(m), 1, 200).alias("content"))
+        held = reduce(lambda a, b: a | b, [low.contains(w) for w in RULE_WORDS[pattern]])
+        # The other way round, so that a null text stays null.
+        return F.transform(F.when(~held, none).otherwise(tx.all_matches(text, pattern)), as_fact)
 
     def first_only(all_hits: Column) -> Column:
         texts = F.transform(all_hits, lambda y: y["content"])
         return tx.let(texts, lambda ts: F.filter(all_hits, lambda x, i: F.array_position(ts, x["content"]) == i + 1))
 
-    return tx.let(found, first_only)
+    found = tx.let(F.lower(text), lambda low: F.concat(*[hits(low, c, p) for c, p in FACT_RULES]))
+    return tx.let(F.filter(found, lambda x: x["content"] != ""), first_only)
 
 
 def drop_contained(facts: Column) -> Column:
@@ -113,7 +166,8 @@ def rule_facts(turns: DataFrame, id_col: str, text_col: str = "text", dedup: boo
     """
     found = turns.select(id_col, rule_matches(F.col(text_col)).alias("_f"))
     kept = drop_contained(F.col("_f")) if dedup else F.col("_f")
-    return found.select(id_col, F.posexplode(kept).alias("fact_no", "_x")).select(
+    # The outer form: for the other one the planner repeats the whole match expression in a filter on its size.
+    return found.select(id_col, F.posexplode_outer(kept).alias("fact_no", "_x")).where("fact_no is not null").select(
         id_col, "fact_no", "_x.category", "_x.content", F.lit(0.8).alias("confidence")
     )
 
@@ -131,13 +185,17 @@ _OBJECT = r'\{(?:[^{}"]++|' + _STRING + "|" + _FLAT + r")*+\}"
 
 def parse_array(raw: Column) -> Column:
     """JSON array text of a model answer: fences off, and a broken tail cut after the last whole object."""
-    body = F.when(
-        tx.strip(raw).startswith("```"), F.regexp_replace(F.regexp_replace(tx.strip(raw), r"^```[^\n]*\n", ""), r"```[^`]*$", "")
+    bare = lambda t: F.when(
+        t.startswith("```"), F.regexp_replace(F.regexp_replace(t, r"^```[^\n]*\n", ""), r"```[^`]*$", "")
     ).otherwise(raw)
-    whole = F.regexp_extract(body, r"(?s)(\[.*\])", 1)
-    ok = F.try_parse_json(whole)
-    prefix = F.regexp_extract(body, r"(?s)\[\s*(" + _OBJECT + r"(?:\s*+,\s*+" + _OBJECT + r")*+)", 1)
-    return F.when((whole != "") & ok.isNotNull(), whole).when(prefix != "", F.concat(F.lit("["), prefix, F.lit("]")))
+
+    def found(body: Column) -> Column:
+        prefix = F.regexp_extract(body, r"(?s)\[\s*(" + _OBJECT + r"(?:\s*+,\s*+" + _OBJECT + r")*+)", 1)
+        cut_off = tx.let(prefix, lambda p: F.when(p != "", F.concat(F.lit("["), p, F.lit("]"))))
+        whole = F.regexp_extract(body, r"(?s)(\[.*\])", 1)
+        return tx.let(whole, lambda w: F.when((w != "") & F.try_parse_json(w).isNotNull(), w).otherwise(cut_off))
+
+    return tx.let(tx.let(tx.strip(raw), bare), found)
 
 
 def model_facts(answers: DataFrame, id_col: str, raw_col: str) -> DataFrame:
