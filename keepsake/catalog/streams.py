@@ -100,7 +100,7 @@ def stream_ingest(spark, sf):
 
     from keepsake.operators import extraction
     from keepsake.plans import ingest
-    from keepsake.session import ensure_checkpoint_dir
+    from keepsake.session import cut, ensure_checkpoint_dir
 
     base = f"{ensure_checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
     said = jobs.parquet_stream(spark, sf, "orders").select(
@@ -109,9 +109,10 @@ def stream_ingest(spark, sf):
     )
 
     def step(batch):
-        turns = ingest.gate(ingest.turns(batch, min_messages=1, by_first=True).withColumn("best", F.lit(None).cast("double")))
+        # Three tables are made of the turns and two of the facts.
+        turns = cut(ingest.gate(ingest.turns(batch, min_messages=1, by_first=True).withColumn("best", F.lit(None).cast("double"))).select("chunk_id", "user_text", "outcome"))
         kept = turns.filter("outcome = 'admitted'")
-        facts = extraction.rule_facts(kept.select("chunk_id", F.col("user_text").alias("text")), "chunk_id")
+        facts = cut(extraction.rule_facts(kept.select("chunk_id", F.col("user_text").alias("text")), "chunk_id"))
         due = jobs.upkeep_due(F.count(F.lit(1)), F.lit(0), F.lit(0), F.lit(0))
         return {"log": turns.select("chunk_id", "outcome"), "facts": facts, "upkeep": facts.agg(*[v.alias(k) for k, v in due.items()])}
 

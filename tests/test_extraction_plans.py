@@ -52,3 +52,26 @@ def test_answers_are_parsed_once_per_row(spark):
     p = plan(extraction.model_facts(spark.createDataFrame([(1, "[]")], "id int, raw string"), "id", "raw"))
     assert p.count("regexp_extract(") == 2
     assert p.count("from_json") + p.count("JsonToStructs") == 1
+
+
+def test_streamed_turns_are_made_once(spark, tmp_path, monkeypatch):
+    from keepsake.catalog import streams
+    from keepsake.plans import ingest
+
+    spark.sql("select id % 3 o_custkey, id o_orderkey, date'2024-01-01' o_orderdate, 'O' o_orderstatus, '1-URGENT' o_orderpriority from range(24)").coalesce(1).write.parquet(str(tmp_path / "o"))
+    next((tmp_path / "o").glob("*.parquet")).rename(tmp_path / "orders.parquet")
+    seen = spark.sparkContext.accumulator(0)
+    own = ingest.turns
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    def turns(*a, **k):
+        made = own(*a, **k)
+        return made.mapInArrow(counted, made.schema)
+
+    monkeypatch.setattr(ingest, "turns", turns)
+    out = streams.stream_ingest(spark, str(tmp_path)).collect()
+    assert sum(r.n for r in out) == seen.value == 6
