@@ -86,13 +86,19 @@ class _Best:
         self.floor = np.full(queries, -np.inf)
         self.found = None
 
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, scores: np.ndarray, ids: np.ndarray, mask: np.ndarray | None = None) -> None:
         n, k = len(scores), self.k
         cutoff = self.floor
-        if n > k:
-            cutoff = np.maximum(cutoff, np.partition(scores, n - k, axis=0)[n - k])
-        r, q = np.nonzero((scores >= cutoff) & (scores > -np.inf))
-        found = (q, ids[r], scores[r, q])
+        # Once each query has ``k`` rows, few scores pass the worst of them, and nothing is put in order but these.
+        if n > k and np.isneginf(cutoff).any():
+            shown = scores if mask is None else np.where(mask, scores, -np.inf)
+            cutoff = np.maximum(cutoff, np.partition(shown, n - k, axis=0)[n - k])
+        r, q = np.nonzero(scores >= cutoff - 1e-9)
+        if mask is not None:
+            keep = mask[r, q]
+            r, q = r[keep], q[keep]
+        # Equal vectors must tie whatever kernel computed them; the slack is wider than the rounding.
+        found = (q, ids[r], np.round(scores[r, q], 12))
         if self.found is not None:
             found = tuple(np.concatenate(p) for p in zip(self.found, found))
         if not len(found[0]):
@@ -121,11 +127,9 @@ def _product(batches, queries: _Queries, k: int, scopes: tuple[str, ...], schema
         step = max(1, SCORES_PER_STEP // len(queries.ids))
         for a in range(0, len(rows), step):
             part = batch.slice(a, step)
-            # Equal vectors must tie whatever kernel computed them.
-            scores = np.round(rows[a : a + step] @ queries.vectors, 12)
+            scores = rows[a : a + step] @ queries.vectors
             for scope in scopes:
-                mask = queries.allowed(part) if scope == FILTERED else None
-                best[scope].add(scores if mask is None else np.where(mask, scores, -np.inf), ids[a : a + step])
+                best[scope].add(scores, ids[a : a + step], queries.allowed(part) if scope == FILTERED else None)
     for scope, own in best.items():
         if own.found is not None:
             q, ids, s = own.found
