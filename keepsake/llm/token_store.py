@@ -148,11 +148,13 @@ def encode(docs: list[np.ndarray], lengths: np.ndarray, codes: np.ndarray) -> tu
     row = np.repeat(np.arange(len(docs)), many)
     inside = ends - n_bits - before[row]
     place = inside + 8 * byte_start[row]
-    word = codes[ids] << (32 - n_bits - (place & 7))
-    out = np.zeros(int(n_bytes.sum()) + 4)
-    for k in range(4):
-        out += np.bincount((place >> 3) + k, (word >> (24 - 8 * k)) & 255, len(out))[: len(out)]
-    raw = out.astype(np.uint8)
+    # A code of at most 32 bits lies in two neighbouring words of 32 bits; bits never overlap, so sums below 2**32 join them.
+    word, shift = place >> 5, 64 - n_bits - (place & 31)
+    both = codes[ids].astype(np.uint64) << shift.astype(np.uint64)
+    size = int(n_bytes.sum()) // 4 + 2
+    out = np.bincount(word, both >> np.uint64(32), size)
+    out[1:] += np.bincount(word, both & np.uint64(0xFFFFFFFF), size)[:-1]
+    raw = out.astype(">u4").view(np.uint8)
     bits = [raw[s : s + n].tobytes() for s, n in zip(byte_start, n_bytes)]
     marks = [inside[f : f + n : STEP] for f, n in zip(firsts, many)]
     return bits, marks

@@ -13,10 +13,10 @@ import re
 
 import numpy as np
 
-# The cache is emptied beyond so many words (some 200 bytes each), and beyond fewer at
-# the end of a task, when the worker may wait; that costs time, never results.
-CACHE_WORDS = 300_000
-KEPT_WORDS = 100_000
+# Beyond so many words (some 200 bytes each), and beyond fewer at the end of a task, when the
+# worker may wait, the cache keeps its most frequent words only; that costs time, never results.
+CACHE_WORDS = 400_000
+KEPT_WORDS = 200_000
 # Words that aren't plain letters go to the tokenizer joined, so many at a time.
 JOIN = 512
 # Letters that are the same in all normal forms and in lower case one letter again, and a closing mark.
@@ -38,6 +38,11 @@ class _Cache(dict):
         return place
 
 
+def _room(array: np.ndarray, least: int) -> np.ndarray:
+    """The array, longer by half or more if it has fewer than ``least`` places; new ones are 0."""
+    return array if least <= len(array) else np.concatenate([array, np.zeros(max(least - len(array), len(array) // 2), array.dtype)])
+
+
 class WordTokenizer:
     """``encode`` gives the ids of texts as the tokenizer itself would, without special tokens."""
 
@@ -56,7 +61,7 @@ class WordTokenizer:
         # How the vocabulary shows bytes: printable ones as they are, the others from 256 on.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = iter(range(256, 512))
-        self.shown = [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+        self.shown = {b: chr(b) if b in printable else chr(next(others)) for b in range(256)}
         self.closing = {c: self._plain("a" + c)[1:] for c in ",."}
         if self.drops_space:
             self.mark = self._plain("~")
@@ -64,32 +69,50 @@ class WordTokenizer:
             vocabulary = self.tokenizer.get_vocab()
             self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
             self.opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
-        self._clear()
-
-    def _plain(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _clear(self) -> None:
         self.cache = _Cache()
         self.ids = np.zeros(1 << 18, np.uint32)
         self.starts = np.zeros(1 << 16, np.int64)
         self.lengths = np.zeros(1 << 16, np.int32)
+        self.seen = np.zeros(1 << 16, np.int64)
         self.used = self.words = 0
 
+    def _plain(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _keep(self, most: int) -> None:
+        """Forget all but the ``most`` words seen most often; those seen once go too, and earlier counts weigh half."""
+        seen = self.seen[: self.words]
+        kept = np.flatnonzero(seen > 1)
+        if len(kept) > most:
+            kept = np.sort(kept[np.argpartition(-seen[kept], most)[:most]])
+        lengths, ends, ids = self._ids_of(kept)
+        # The cache's words are in the order of their places.
+        words = list(self.cache)
+        self.cache = _Cache()
+        self.cache.update(zip(map(words.__getitem__, kept.tolist()), range(len(kept))))
+        self.used, self.words = len(ids), len(kept)
+        # Only as large as needed: a worker that waits holds no more.
+        self.starts, self.lengths, self.seen = ends - np.maximum(lengths, 0), lengths, seen[kept] >> 1
+        self.ids = ids
+
+    def _ids_of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lengths of the words at ``places`` (-1 for one that makes its text go whole), the ends of their ids, and all ids."""
+        lengths = self.lengths[places]
+        held = np.maximum(lengths, 0).astype(np.int64)
+        ends = np.cumsum(held)
+        return lengths, ends, self.ids[np.repeat(self.starts[places] - (ends - held), held) + np.arange(ends[-1] if len(ends) else 0)]
+
     def rest(self) -> None:
         """At the end of a task: keep a small cache only."""
         if len(self.cache) > KEPT_WORDS:
-            self._clear()
+            self._keep(KEPT_WORDS)
 
     def _store(self, many: list[list[int]]) -> None:
         """Ids of the waiting words in order; None for a word that makes its text go whole."""
         lengths = np.array([-1 if x is None else len(x) for x in many], np.int32)
         flat = np.array([i for x in many if x for i in x], np.uint32)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.words + len(many) > len(self.lengths):
-            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.ids = _room(self.ids, self.used + len(flat))
+        self.lengths, self.starts, self.seen = (_room(x, self.words + len(many)) for x in (self.lengths, self.starts, self.seen))
         held = np.maximum(lengths, 0)
         self.ids[self.used : self.used + len(flat)] = flat
         self.lengths[self.words : self.words + len(many)] = lengths
@@ -101,7 +124,7 @@ class WordTokenizer:
         """Ids of waiting words in their order."""
         out: list = [None] * len(words)
         rest = []
-        match, tokenize, cache, drops = PLAIN.fullmatch, self.model.tokenize, self.cache, self.drops_space
+        match, tokenize, cache, drops, closing = PLAIN.fullmatch, self.model.tokenize, self.cache, self.drops_space, self.closing
         for k, word in enumerate(words):
             opens = word[:1] == "\n"
             bare = word[1:] if opens else word
@@ -111,20 +134,22 @@ class WordTokenizer:
             if not bare:
                 out[k] = [] if drops else None
                 continue
-            plain = match(bare)
-            if plain:
+            found = match(bare)
+            if found:
                 # A word with a closing mark is the word and the mark.
-                letters, mark = plain[1], self.closing.get(plain[2])
+                letters, mark = found.groups()
+                shown = letters.lower() if drops else letters
+                if not shown.isascii():
+                    shown = shown.encode().decode("latin-1").translate(self.shown)
+                if not drops and not opens:
+                    shown = "Ġ" + shown
                 known = cache.get(word[:-1], self.words) if mark else self.words
                 if known < self.words:
                     at = self.starts[known]
                     ids = self.ids[at : at + self.lengths[known]].tolist()
                 else:
-                    shown = letters.lower() if drops else letters
-                    if not shown.isascii():
-                        shown = "".join(map(self.shown.__getitem__, shown.encode()))
-                    ids = [t.id for t in tokenize(shown if drops or opens else "Ġ" + shown)]
-                out[k] = ids + mark if mark else ids
+                    ids = [t.id for t in tokenize(shown)]
+                out[k] = ids + closing[mark] if mark else ids
             elif not drops and (bare[0].isspace() or bare[-1].isspace()):
                 out[k] = None
             else:
@@ -153,7 +178,7 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, text after text, and their number in each text."""
         if len(self.cache) > CACHE_WORDS:
-            self._clear()
+            self._keep(KEPT_WORDS)
         places, counts = [], []
         getitem = self.cache.__getitem__
         for text in texts:
@@ -174,12 +199,10 @@ class WordTokenizer:
             self._store(self._tokenize(self.cache.waiting))
             self.cache.waiting = []
         flat = np.fromiter(places, np.int64, len(places))
-        lengths = self.lengths[flat].astype(np.int64)
+        self.seen[: self.words] += np.bincount(flat, minlength=self.words)
+        lengths, ends, ids = self._ids_of(flat)
         bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         whole = np.unique(np.searchsorted(bounds, np.flatnonzero(lengths < 0), "right") - 1) if len(flat) else flat
-        lengths = np.maximum(lengths, 0)
-        ends = np.cumsum(lengths)
-        ids = self.ids[np.repeat(self.starts[flat] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
         many = np.diff(np.concatenate([[0], ends]).astype(np.int64)[bounds])
         return (ids, many) if not len(whole) else self._with_whole(texts, ids, many, whole)
 

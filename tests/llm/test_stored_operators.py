@@ -276,3 +276,21 @@ def test_audit_without_differences_opens_nothing(spark):
     a = spark.createDataFrame(replica(rows, list), warc_fixity.RECORDS)
     below, counts = warc_fixity.descend(a.withColumn("side", F.lit("a")).unionByName(a.withColumn("side", F.lit("b"))))
     assert below.count() == 0 and not any(counts)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_the_word_cache_keeps_frequent_words(name, monkeypatch):
+    """Words seen more than once stay over a full cache and the end of a task; the ids are the tokenizer's all along."""
+    path = public_tokenizers.path(name)
+    monkeypatch.setattr("keepsake.llm.tokens.KEPT_WORDS", 20)
+    monkeypatch.setattr("keepsake.llm.tokens.CACHE_WORDS", 60)
+    own, plain, asked = WordTokenizer(path), Tokenizer.from_file(path), []
+    tokenize = own._tokenize
+    monkeypatch.setattr(own, "_tokenize", lambda words: asked.append(list(words)) or tokenize(words))
+    for i in range(6):
+        texts = [f"the cat über le élan, the cat\nand w{i}x{k} {chr(97 + i)}{chr(97 + k)}zq. the cat" for k in range(20)] + ["", "a  \tb c"]
+        ids, many = own.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(many)[:-1])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        own.rest()
+    assert len(own.cache) <= 60
+    assert not any({"cat", "über"} & set(words) for words in asked[1:])
