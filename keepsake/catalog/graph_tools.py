@@ -121,7 +121,7 @@ def asked_entities(spark, sf):
 two AS (SELECT DISTINCT start, dst AS node FROM one JOIN edges ON src = node) SELECT * FROM (SELECT * FROM one UNION SELECT * FROM two) WHERE start <> node""")
 def k_hop(spark, sf):
     starts = asked_entities(spark, sf).select(tx.slug(F.col("entity")).alias("start"))
-    return graph.related(cut(edges_of(spark, sf)), starts, 2)
+    return graph.related(cut(edges_of(spark, sf).select("src", "dst")), starts, 2)
 
 
 ENTITY_VECTORS = d.FACT_VECTORS.replace(d.FACTS, d.FACT_ENTITIES)

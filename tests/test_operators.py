@@ -336,3 +336,17 @@ def test_contradictions_give_edges_both_ways(spark):
     assert [r.fact_id for r in gone.collect()] == [1]
     found = {(r.src, r.dst) for r in edges.collect()}
     assert found == {(b, a) for a, b in found} >= {("Shop", "Key"), ("Key", "Door"), ("Door", "SHOP")}
+
+
+def test_related_nodes_of_more_starts_than_bits(spark):
+    """Nodes within two hops of 150 starts, with loops, repeated edges, a hub, unknown and null starts; each start and mid node meets no edge twice."""
+    edges = [(f"n{i}", f"n{(i * 7 + 3) % 200}") for i in range(200)] + [("n0", f"n{i}") for i in range(0, 200, 9)] + [("n5", "n5"), ("n6", "n45"), ("n6", "n45"), ("n45", "n6")]
+    starts = [f"n{i}" for i in range(149)] + ["n0", "nowhere"]
+    want = set()
+    for s in starts:
+        one = {b for a, b in edges if a == s}
+        want |= {(s, n) for n in one | {b for a, b in edges if a in one} if n != s}
+    table = spark.createDataFrame([(s,) for s in [*starts, None]], "start string")
+    got = graph.related(spark.createDataFrame(edges, "src string, dst string"), table, 2).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert graph.related(spark.createDataFrame([], "src string, dst string"), table, 2).count() == 0
