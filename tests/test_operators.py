@@ -339,7 +339,7 @@ def test_contradictions_give_edges_both_ways(spark):
 
 
 def test_related_nodes_of_more_starts_than_bits(spark):
-    """Nodes within two hops of 150 starts, with loops, repeated edges, a hub, unknown and null starts; each start and mid node meets no edge twice."""
+    """Nodes within two hops of 150 starts, with loops, repeated edges, a hub, unknown and null starts."""
     edges = [(f"n{i}", f"n{(i * 7 + 3) % 200}") for i in range(200)] + [("n0", f"n{i}") for i in range(0, 200, 9)] + [("n5", "n5"), ("n6", "n45"), ("n6", "n45"), ("n45", "n6")]
     starts = [f"n{i}" for i in range(149)] + ["n0", "nowhere"]
     want = set()
