@@ -225,6 +225,23 @@ def test_bands_find_nearly_all_pairs(spark, monkeypatch, tile):
     assert similarity.banded_pairs(rows.limit(0), 0.85).count() == 0
 
 
+def test_tiles_grow_with_rows_within_memory():
+    """Rows are sent once per tile, so the number of tiles must not grow with the rows while a tile has room."""
+    assert 1_200_000 / similarity._tile_rows(1_200_000, 64) <= 25
+    assert similarity._tile_rows(100, 64) == similarity.TILE_ROWS
+    assert similarity._tile_rows(10**9, 1024) * 1024 <= similarity.TILE_NUMBERS
+
+
+def test_tiles_send_on_pairs_in_steps(spark, monkeypatch):
+    """Equal vectors: all pairs, in batches of bounded size."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(similarity, "SCORES_PER_STEP", 100)
+    tile = pa.table({"id": pa.array(range(40), pa.int64()), "vec": pa.array([[1.0, 0.0]] * 40, pa.list_(pa.float32())), "home": [True] * 40})
+    made = list(similarity._tile(tile, tile, 0.9))
+    assert max(b.num_rows for b in made) <= 100 and sum(b.num_rows for b in made) == 40 * 39 / 2
+
+
 def test_bands_grow_with_rows_and_threshold():
     assert similarity.bands_for(0.9, 1 << 20, 0.9)[1] == 16 > similarity.bands_for(0.9, 1 << 14, 0.9)[1]
     assert similarity.bands_for(0.95, 1 << 20, 0.9)[0] < similarity.bands_for(0.85, 1 << 20, 0.9)[0]
