@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,23 +88,53 @@ def _impact(avg_len) -> Column:
     return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / avg_len))
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (bucket, range, term, impact, doc) to one row per bucket, range and term, wherever batches end."""
+    keys = ["bucket", "range", "term"]
+
+    def rows(part: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        first = part.select(keys).take(pa.array(starts)).combine_chunks()
+        top = np.maximum.reduceat(part.column("impact").to_numpy(), starts)
+        docs = pa.ListArray.from_arrays(pa.array(np.append(starts, part.num_rows), pa.int32()), pa.concat_arrays(part.column("doc").chunks))
+        return pa.RecordBatch.from_arrays([*[pa.concat_arrays(first.column(k).chunks) for k in keys], pa.array(top), docs], names=[*keys, "top", "docs"])
+
+    rest = None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        part = pa.Table.from_batches([batch])
+        part = part if rest is None else pa.concat_tables([rest, part]).combine_chunks()
+        changes = [pc.not_equal(part.column(k).slice(1), part.column(k).slice(0, part.num_rows - 1)).to_numpy() for k in keys]
+        starts = np.append(0, np.flatnonzero(np.logical_or.reduce(changes)) + 1)
+        # The last one may go on in the next batch.
+        if len(starts) > 1:
+            yield rows(part.slice(0, int(starts[-1])), starts[:-1])
+        rest = part.slice(int(starts[-1]))
+    if rest is not None:
+        yield rows(rest, np.array([0]))
+
+
 def write_index(index: Index, path: str, buckets: int = 64, range_docs: int = 128) -> None:
     """Store the index for searches that read a part of it.
 
     Terms are dealt to ``buckets`` by hash, each a folder, and documents to ranges of
-    about ``range_docs``. ``postings`` lie by bucket, range and term; ``blocks`` has the
-    greatest impact of each term in each range, ``idf`` the weights by bucket.
+    about ``range_docs``. ``postings`` has a row per bucket, range and term, with its
+    documents as a list and their greatest impact, which ``blocks`` has without the
+    list; ``idf`` has the weights by bucket.
     """
     totals = index.stats.first()
     ranges = max(1, -(-totals.n_docs // range_docs))
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
     places = {"bucket": bucket, "range": F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int")}
-    # A bucket with frequent terms goes to several tasks, by range.
+    # A bucket with frequent terms goes to several tasks, by range; a term's documents of a range are in one of them.
     placed = index.postings.withColumns(places).repartition("bucket", F.pmod("range", F.lit(16)))
-    placed.sortWithinPartitions("bucket", "range", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    placed = placed.select("bucket", "range", "term", _impact(F.lit(totals.avg_len)).alias("impact"), F.struct("doc_id", "tf", "doc_len").alias("doc"))
+    lists = placed.sortWithinPartitions("bucket", "range", "term").mapInArrow(
+        _listed, f"bucket int, range int, term string, top double, docs array<{placed.schema['doc'].dataType.simpleString()}>"
+    )
+    lists.write.partitionBy("bucket").parquet(f"{path}/postings")
     stored = index.postings.sparkSession.read.parquet(f"{path}/postings")
-    blocks = stored.groupBy("bucket", "range", "term").agg(F.max(_impact(F.lit(totals.avg_len))).alias("top"))
-    blocks.write.partitionBy("bucket").parquet(f"{path}/blocks")
+    stored.drop("docs").write.partitionBy("bucket").parquet(f"{path}/blocks")
     index.idf.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/idf")
     index.stats.withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/stats")
 
@@ -112,7 +146,8 @@ def search_stored(spark: SparkSession, path: str, queries: DataFrame, k: int, te
     range no document exceeds the sum of its terms' greatest impacts, and one document
     has at least the greatest of them. So the k-th best of these least scores is a score
     that k documents reach, and ranges whose greatest possible score is below it are
-    left out for that query.
+    left out for that query. Lists of the terms asked for go to their range's task, which
+    sums the scores of its documents.
     """
     stats = spark.read.parquet(f"{path}/stats").first()
     terms = _query_terms(queries, text_col).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(stats.buckets)).cast("int"))
@@ -121,10 +156,13 @@ def search_stored(spark: SparkSession, path: str, queries: DataFrame, k: int, te
     part = lambda name: spark.read.parquet(f"{path}/{name}").where(F.col("bucket").isin(wanted))
     gains = cut(terms.join(part("idf"), ["bucket", "term"]).select("query_id", "bucket", "term", (F.col("repeat") * F.col("idf")).alias("gain")))
     kept = possible_ranges(part("blocks"), gains, k)
-    asked = kept.join(gains, "query_id")
+    asking = kept.groupBy("range").agg(F.collect_set("query_id").alias("asking"))
+    terms = gains.select("bucket", "term").distinct()
+    lists = part("postings").select("bucket", "term", "range", "docs").join(broadcast_if_small(terms), ["bucket", "term"], "left_semi")
+    met = lists.repartition("range").join(asking, "range").join(broadcast_if_small(gains), ["bucket", "term"]).where(F.array_contains("asking", F.col("query_id")))
     weight = F.col("gain") * _impact(F.lit(stats.avg_len))
-    found = part("postings").join(broadcast_if_small(asked), ["bucket", "range", "term"])
-    scored = found.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score")).filter("score > 0")
+    found = met.select("range", "query_id", "gain", F.explode("docs").alias("_d")).select("range", "query_id", "gain", "_d.*")
+    scored = found.groupBy("range", "query_id", "doc_id").agg(F.sum(weight).alias("score")).filter("score > 0").drop("range")
     return cut(top_per_group(scored, ["query_id"], [F.desc(F.round("score", 9)), F.asc("doc_id")], k))
 
 

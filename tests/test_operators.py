@@ -278,6 +278,25 @@ def test_stored_search_equals_search(spark, tmp_path, range_docs):
     assert show(lexical.search_stored(spark, f"{tmp_path}/ix", asked, 5)) == show(lexical.search(index, asked, 5))
 
 
+def test_stored_lists_are_whole(spark, tmp_path):
+    """A list of documents per bucket, range and term, also where it is longer than an Arrow batch or a document comes twice."""
+    docs, asked = lexical_docs(spark)
+    twice = docs.unionByName(docs.where("fact_id < 20"))
+    index = lexical.build_index(twice)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        lexical.write_index(index, f"{tmp_path}/ix", buckets=4, range_docs=200)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    stored = spark.read.parquet(f"{tmp_path}/ix/postings")
+    assert stored.count() == stored.select("bucket", "range", "term").distinct().count() == spark.read.parquet(f"{tmp_path}/ix/blocks").count()
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "term", "tf", "doc_len").collect()))
+    assert rows(stored.select("term", F.inline("docs"))) == rows(index.postings)
+    show = lambda hits: sorted((r.query_id, r.rank, r.doc_id, round(r.score, 8)) for r in hits.collect())
+    hits = lexical.search_stored(spark, f"{tmp_path}/ix", asked, 5)
+    assert show(hits) == show(lexical.search(index, asked, 5))
+
+
 def test_stored_search_reads_a_part(spark, tmp_path):
     docs, _ = lexical_docs(spark)
     path = f"{tmp_path}/ix"
