@@ -42,16 +42,18 @@ SKIP_FACT, SKIP_EPISODE, SKIP_PROCEDURE, CHECK_FACT = 0.95, 0.95, 0.90, 0.80
 # --- end of fixed values ---
 
 ENTITY_RE = "|".join(ENTITY)
-DATE_RE = "(?i)" + tx.LEFT + r"\d{4}[-/]\d{2}[-/]\d{2}" + tx.RIGHT + "|" + tx.LEFT + f"(?:{DATE_WORDS})" + tx.RIGHT + "|" + DATE_ZH
-FACT_RE = "(?i)" + tx.LEFT + f"(?:{FACT_WORDS})" + tx.RIGHT + "|" + FACT_ZH
+# The words once more with the first letter in front, as most places hold none of them: at any place at most one of them matches.
+_any = lambda words: tx.any_of(words.split("|"))
+DATE_RE = "(?i)" + tx.LEFT + r"\d{4}[-/]\d{2}[-/]\d{2}" + tx.RIGHT + "|" + tx.LEFT + _any(DATE_WORDS) + tx.RIGHT + "|" + DATE_ZH
+FACT_RE = "(?i)" + tx.LEFT + _any(FACT_WORDS) + tx.RIGHT + "|" + _any(FACT_ZH[3:-1])
 # Some of these end in a colon, so the boundary itself is needed here.
-VALUE_RE = rf"(?iU)\b(?:{VALUE_WORDS})\b|{VALUE_ZH}"
+VALUE_RE = r"(?iU)\b" + _any(VALUE_WORDS) + rf"\b|{_any(VALUE_ZH[3:-1])}"
 
 
 def factors(text: Column, novelty: Column) -> dict[str, Column]:
     """The five admission factors, each 0 to 1. ``novelty`` is 1 minus the best stored score."""
     head = F.substring(text, 1, ADMISSION_CHARS)
-    zh = F.length(F.regexp_replace(head, r"[^\x{4e00}-\x{9fff}]", ""))
+    zh = F.length(F.regexp_replace(head, r"[^\x{4e00}-\x{9fff}]+", ""))
     words = F.greatest(tx.word_count(head), F.lit(1)) + F.floor(zh / 2)
     one = F.lit(1.0)
     return {

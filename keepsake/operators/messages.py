@@ -20,7 +20,9 @@ def turn_chunk(col: str = "seq") -> Column:
 def clean(messages: DataFrame) -> DataFrame:
     """Flattened text without platform noise; empty and injected messages are dropped."""
     body = tx.strip_noise(ct.flatten(F.col("content")))
-    return messages.withColumn("text", body).filter((F.col("text") != "") & ~tx.is_injected(F.col("text")))
+    # As a row of its own: otherwise the planner repeats the whole expression in the filter, for each time it is named there.
+    made = messages.drop("text").select("*", F.explode_outer(F.array(body)).alias("text"))
+    return made.filter((F.col("text") != "") & ~tx.is_injected(F.col("text")))
 
 
 def noise_sessions(messages: DataFrame) -> DataFrame:

@@ -70,56 +70,72 @@ def nearest(new: DataFrame, stored: DataFrame | None, id_col: str, k: int = 1) -
     return hits.groupBy("query_id").agg(F.max_by(id_col, F.struct("score", -F.col(id_col))).alias(id_col), F.max("score").alias("score"))
 
 
-def earlier_wins(rows: DataFrame, score: float, id_col: str = "id") -> DataFrame:
-    """Drops rows that resemble an earlier row of the batch above ``score``. Rows hold id, ts, embedding.
+def earlier_wins(rows: DataFrame, vectors: DataFrame, text: str, score: float, id_col: str = "id") -> DataFrame:
+    """Drops rows that resemble an earlier row of the batch above ``score``. Rows hold id, ts and a text, and get its ``embedding``.
 
-    Copies of a vector fold to the earliest first, so a batch of copies forms no pairs.
+    ``vectors`` has the embedding of every text. Copies of a text or a vector fold to the earliest first. What resembles
+    an earlier row goes in a few passes over the rows; pairs are only formed of what these leave undecided.
     """
-    first = rows.groupBy("embedding").agg(F.min(F.struct("ts", id_col)).alias("_f")).select(
-        F.col("_f.ts").alias("ts"), F.col(f"_f.{id_col}").alias(id_col), "embedding"
-    )
-    first = cut(first)
-    pairs = similarity.similar_pairs(first, 2 * score - 1 + 1e-9, id_col)
-    nodes = first.select(F.col(id_col).alias("id"), (-F.unix_micros("ts")).alias("early"))
-    chosen = lifecycle.choose_keepers(nodes, pairs, ["early"]).filter("id = keeper_id")
-    return rows.join(chosen.select(F.col("id").alias(id_col)), id_col, "left_semi")
+    # Few columns of fixed width first: these are summed up without a sort.
+    by_time = rows.groupBy(text, "ts").agg(F.min(id_col).alias(id_col))
+    by_text = by_time.groupBy(text).agg(F.min(F.struct("ts", id_col)).alias("_f"))
+    # A hash in front of the vector: long arrays are only compared where it is equal.
+    first = by_text.join(vectors, text).groupBy(F.xxhash64("embedding").alias("_h"), "embedding").agg(F.min("_f").alias("_f"))
+    first = cut(first.select(F.col("_f.ts").alias("ts"), F.col(f"_f.{id_col}").alias(id_col), "embedding"))
+    threshold = 2 * score - 1 + 1e-9
+    nodes = lambda df: df.select(F.col(id_col).alias("id"), (-F.unix_micros("ts")).alias("early"))
+    chosen, left = first.limit(0).select(id_col), first
+    if first.groupBy(id_col).count().where(F.col("count") > 1).isEmpty():
+        linked = first.where("embedding is not null")
+        chosen, left = similarity.settle(linked, threshold, [F.asc_nulls_last("ts"), F.asc(id_col)], id_col)
+        chosen = chosen.unionByName(first.where("embedding is null").select(id_col))
+    if left is not None:
+        pairs = similarity.similar_pairs(left, threshold, id_col)
+        own = lifecycle.choose_keepers(nodes(left), pairs, ["early"]).filter("id = keeper_id")
+        chosen = chosen.unionByName(own.select(F.col("id").alias(id_col)))
+    return rows.join(chosen, id_col, "left_semi").join(vectors, text).select(*rows.columns, "embedding")
 
 
 def run(rows: DataFrame, stored: Stored = Stored(), encode: Callable[[DataFrame, str], DataFrame] | None = None, dims: int = 384, min_messages: int = 2) -> Ingested:
     """One batch. ``rows``: (session_id, seq, role, content, ts). ``encode`` adds ``embedding`` for a text column."""
     encode = encode or (lambda df, col: embedding.hashed(df, col, dims))
-    found = turns(rows, min_messages=min_messages).withColumn("query_id", F.xxhash64("chunk_id"))
-    found = cut(encode(found.withColumn("_head", F.substring("user_text", 1, admission.ADMISSION_CHARS)), "_head").drop("_head"))
-    best = nearest(found.select("query_id", "embedding"), stored.episodes, "episode_id", 3)
+    found = cut(turns(rows, min_messages=min_messages).withColumn("query_id", F.xxhash64("chunk_id")))
+    # Vectors of windows are only needed, and made, where there are stored episodes to be compared with.
+    seen = encode(found.withColumn("_head", F.substring("user_text", 1, admission.ADMISSION_CHARS)), "_head").select("query_id", "embedding")
+    best = nearest(seen, stored.episodes, "episode_id", 3)
     scored = found.withColumn("best", F.lit(None).cast("double")) if best is None else found.join(
         best.select("query_id", F.col("score").alias("best")), "query_id", "left"
     )
-    judged = cut(gate(scored.drop("embedding")))
+    judged = cut(gate(scored))
     kept = judged.filter("outcome = 'admitted'").select("query_id", "session_id", "window_id", "chunk_id", "ts", "turn_text", "user_text").withColumn(
         "language", scene.language(F.col("user_text"))
     ).withColumn("domain", scene.domain(F.col("user_text"))).withColumn("summary", ct.summary_fallback(F.col("turn_text")))
     kept = cut(kept)
-    eps = cut(encode(kept.withColumn("_s", F.substring("summary", 1, ct.EMBED_CHARS)), "_s").drop("_s").withColumn("id", F.col("query_id")))
-    near = nearest(eps.select("query_id", "embedding"), stored.episodes, "episode_id")
-    fresh = eps if near is None else eps.join(near.filter(F.col("score") > admission.SKIP_EPISODE), "query_id", "left_anti")
-    new_eps = cut(earlier_wins(fresh, admission.SKIP_EPISODE))
-
-    raw = extraction.rule_facts(kept.select("query_id", F.col("user_text").alias("text")), "query_id").filter(~tx.contains_secret(F.col("content")))
-    raw = cut(raw)
-    facts = raw.join(kept.select("query_id", "session_id", "language", "domain", "ts"), "query_id").withColumn(
-        "id", F.xxhash64("query_id", "fact_no", "content")
-    )
-    facts = cut(encode(facts, "content"))
+    # Equal texts are encoded once.
+    encoded = lambda df, col: cut(encode(df.select(col).distinct(), col))
+    fresh = kept.withColumn("_s", F.substring("summary", 1, ct.EMBED_CHARS)).withColumn("id", F.col("query_id"))
+    summaries = encoded(fresh, "_s")
+    near = nearest(fresh.join(summaries, "_s").select("query_id", "embedding"), stored.episodes, "episode_id")
+    if near is not None:
+        fresh = fresh.join(near.filter(F.col("score") > admission.SKIP_EPISODE), "query_id", "left_anti")
+    new_eps = cut(earlier_wins(fresh, summaries, "_s", admission.SKIP_EPISODE).drop("_s"))
+
+    # What a fact takes over from its window goes with it as one value, so nothing is joined back.
+    source = F.struct("query_id", "session_id", "language", "domain", "ts")
+    found_facts = extraction.rule_facts(kept.select(source.alias("_w"), F.col("user_text").alias("text")), "_w").filter(~tx.contains_secret(F.col("content")))
+    raw = cut(found_facts.select("_w.query_id", "fact_no", "category", "content", "confidence", "_w.session_id", "_w.language", "_w.domain", "_w.ts"))
+    facts = raw.withColumn("id", F.xxhash64("query_id", "fact_no", "content"))
+    contents = encoded(facts, "content")
     matches = None
     fresh_facts = facts
     if stored.facts is not None:
         active = stored.facts.filter("superseded_by IS NULL")
-        hit = nearest(facts.select(F.col("id").alias("query_id"), "embedding"), active, "fact_id").select(F.col("query_id").alias("id"), "fact_id", "score")
+        hit = nearest(facts.join(contents, "content").select(F.col("id").alias("query_id"), "embedding"), active, "fact_id").select(F.col("query_id").alias("id"), "fact_id", "score")
         matches = hit.withColumn("action", admission.ingest_action(F.col("score")))
         fresh_facts = facts.join(matches.filter("action = 'skip'"), "id", "left_anti")
-    new_facts = cut(earlier_wins(fresh_facts, admission.SKIP_FACT))
+    new_facts = cut(earlier_wins(fresh_facts, contents, "content", admission.SKIP_FACT))
 
-    types = extraction.type_episodes(raw, "query_id")
+    types = extraction.type_episodes(raw.join(new_eps.select("query_id"), "query_id", "left_semi"), "query_id")
     chained = extraction.chain_episodes(
         new_eps.join(types, "query_id", "left").select(
             F.col("id").alias("episode_id"), "query_id", "session_id", F.substring("turn_text", 1, ct.EPISODE_CHARS).alias("content"),

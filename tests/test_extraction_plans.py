@@ -75,3 +75,68 @@ def test_streamed_turns_are_made_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ingest, "turns", turns)
     out = streams.stream_ingest(spark, str(tmp_path)).collect()
     assert sum(r.n for r in out) == seen.value == 6
+
+
+def test_a_batch_of_near_copies_forms_no_pairs(spark, monkeypatch):
+    from keepsake.operators import similarity
+    from keepsake.plans import ingest
+
+    def said(i):
+        return f"I like tea from shop {'x' * (i % 3)}{i // 30}, I always use bash. My name is Tom Lee and the deadline is 2024-03-01."
+
+    rows = spark.createDataFrame([(i // 4, i, "user", said(i), 1_000_000 * (100 - i)) for i in range(240)], "session_id bigint, seq bigint, role string, content string, at bigint")
+    rows = rows.withColumn("ts", F.timestamp_micros("at")).drop("at")
+    want = [sorted(r.content for r in t.collect()) for t in _tables(ingest.run(rows, dims=64))]
+    monkeypatch.setattr(similarity, "similar_pairs", None)
+    got = ingest.run(rows, dims=64)
+    assert [sorted(r.content for r in t.collect()) for t in _tables(got)] == want
+    assert 0 < len(want[0]) < 60
+    assert got.facts.where("embedding is null").isEmpty()
+
+
+def _tables(done):
+    return done.episodes, done.facts, done.procedures
+
+
+def test_one_pass_settles_what_pairs_would(spark, monkeypatch):
+    import numpy as np
+
+    from keepsake.operators import similarity
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 8))
+    vectors = np.vstack([centres[rng.integers(30, size=300)] + rng.normal(scale=0.15, size=(300, 8)), rng.normal(size=(60, 8)), np.zeros((2, 8))]).astype(np.float32)
+    rows = [(int(i), [float(x) for x in v], int(t) if t else None) for i, (v, t) in enumerate(zip(vectors, rng.integers(0, 5, size=len(vectors))))]
+    df = spark.createDataFrame(rows, "id bigint, vec array<float>, at bigint").repartition(3)
+    unit = vectors.astype(np.float64) / np.maximum(np.linalg.norm(vectors.astype(np.float64), axis=1, keepdims=True), 1e-30)
+    near = np.round(unit @ unit.T, 12) >= 0.9
+    want = []
+    for i, _, _ in sorted(rows, key=lambda r: (r[2] is None, r[2] or 0, r[0])):
+        if not near[i, want].any():
+            want.append(i)
+    for block in (8192, 40, 7):
+        monkeypatch.setattr(similarity, "FIRST_ROWS", block)
+        stay, left = similarity.settle(df, 0.9, [F.asc_nulls_last("at"), F.asc("id")], "id", "vec")
+        got = {r.id for r in stay.collect()}
+        rest = {r.id for r in left.collect()} if left is not None else set()
+        assert left is None or block < 8192
+        assert rest or block > 7
+        # What is left is near nothing that stays, and holds all others that would stay.
+        assert got <= set(want) and set(want) - got <= rest and not near[np.ix_(sorted(rest), sorted(got))].any()
+
+
+def test_message_text_is_made_once_per_row(spark):
+    from keepsake.operators import messages
+
+    said = spark.createDataFrame([(1, 1, "user", "  [cron: a"), (1, 2, "user", " x "), (1, 3, "user", None)], "session_id int, seq int, role string, content string")
+    assert [r.text for r in messages.clean(said).collect()] == ["x"]
+    assert plan(messages.clean(said)).lower().count("reply_to_current") == 1
+
+
+def test_words_with_common_beginnings():
+    import re
+
+    words = ["use", "uses", "used", "i am", "i'm", "rule:", "a"]
+    found = lambda p, text: re.findall(rf"(?i)(?<!\w)(?:{p})(?!\w)", text)
+    for text in ("Use uses used user", "I'm here, i am. rule: a", "rule:x re use", ""):
+        assert found(tx.any_of(words), text) == found("|".join(words), text)
