@@ -17,7 +17,7 @@ from keepsake.session import cut
 
 def requests(spark, sf):
     """Recall requests with named-entity and time marks."""
-    named = F.size(tx.all_matches(F.col("text"), tx.LEFT + r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*" + tx.RIGHT)) > 3
+    named = F.size(tx.all_matches(F.col("text"), tx.CAPITALISED)) > 3
     return d.query_vectors(spark, sf).withColumn("has_entities", named).withColumn("has_time", F.col("query_id") % 3 == 0)
 
 

@@ -342,7 +342,7 @@ QW = f"""qw AS (SELECT query_id, CASE WHEN e AND t THEN [0.8, 0.8, 1.4, 1.2] WHE
 @query("rrf_query_weights", "FUS2 EXT8", f"""{LISTS}, {QW}, wl AS (SELECT l.*, w[list_no] AS weight FROM lists l JOIN qw USING (query_id)),
 {fuse_sql('weight', 10, source='wl')} SELECT query_id, fact_id, round(rrf, 6) AS rrf, rank FROM fused""")
 def rrf_query_weights(spark, sf):
-    named = F.size(tx.all_matches(F.col("text"), tx.LEFT + r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*" + tx.RIGHT)) > 3
+    named = F.size(tx.all_matches(F.col("text"), tx.CAPITALISED)) > 3
     w = d.queries(spark, sf).select(
         "query_id", ranking.fusion_weights(named, F.col("query_id") % 3 == 0).alias("w")
     )

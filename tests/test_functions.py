@@ -99,3 +99,12 @@ def test_broken_model_output(spark):
     df = spark.createDataFrame([(1, raw), (2, "no json")], "id int, raw string")
     got = extraction.model_facts(df, "id", "raw").collect()
     assert [(r.id, r.content, r.importance) for r in got] == [(1, "a whole fact here", 0.8)]
+
+
+def test_entities_of_very_long_runs(spark):
+    """A run of capitalised words longer than a task's stack; ends and boundaries as before."""
+    texts = ["Abcd " * 20000, "Foo Bar9 Baz\n Qux. Élan Éa Abé xAb A Bc", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(tx.capitalised_entities(F.col("text")).alias("e")).collect()
+    assert rows[0].e == [("Abcd " * 20000).strip()]
+    assert rows[1].e == ["Foo", "Baz\n Qux", "Bc"]
+    assert rows[2].e == [] and rows[3].e is None
