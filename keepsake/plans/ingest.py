@@ -88,7 +88,7 @@ def earlier_wins(rows: DataFrame, vectors: DataFrame, text: str, score: float, i
     if first.groupBy(id_col).count().where(F.col("count") > 1).isEmpty():
         linked = first.where("embedding is not null")
         chosen, left = similarity.settle(linked, threshold, [F.asc_nulls_last("ts"), F.asc(id_col)], id_col)
-        chosen = chosen.unionByName(first.where("embedding is null").select(id_col))
+        chosen = chosen.where("id = keeper_id").select(F.col("id").alias(id_col)).unionByName(first.where("embedding is null").select(id_col))
     if left is not None:
         pairs = similarity.similar_pairs(left, threshold, id_col)
         own = lifecycle.choose_keepers(nodes(left), pairs, ["early"]).filter("id = keeper_id")

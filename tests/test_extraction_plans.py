@@ -116,8 +116,11 @@ def test_one_pass_settles_what_pairs_would(spark, monkeypatch):
             want.append(i)
     for block in (8192, 40, 7):
         monkeypatch.setattr(similarity, "FIRST_ROWS", block)
-        stay, left = similarity.settle(df, 0.9, [F.asc_nulls_last("at"), F.asc("id")], "id", "vec")
-        got = {r.id for r in stay.collect()}
+        done, left = similarity.settle(df, 0.9, [F.asc_nulls_last("at"), F.asc("id")], "id", "vec")
+        keeper = {r.id: r.keeper_id for r in done.collect()}
+        got = {i for i, k in keeper.items() if i == k}
+        # What goes has the first that stays and is near.
+        assert all(k == next(w for w in want if near[i, w]) for i, k in keeper.items() if i != k)
         rest = {r.id for r in left.collect()} if left is not None else set()
         assert left is None or block < 8192
         assert rest or block > 7
